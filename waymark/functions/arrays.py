@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 MAX_SYMBOLS = 35_000  # code points from U+4E00 up to the surrogates
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def decode_pipe(text: Column, drop_empty: bool = True) -> Column:
     parts = F.split(text, r"\|")
     return F.filter(parts, lambda s: s != "") if drop_empty else parts
@@ -38,7 +43,7 @@ def tail(steps: Column, n: int) -> Column:
 
 def collapse(values: Column) -> Column:
     """Drop elements equal to the one before."""
-    return F.filter(values, lambda x, i: (i == 0) | (x != F.get(values, i - 1)))
+    return let(values, lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
 
 
 def first_index(steps: Column, test: Callable[[Column], Column]) -> Column:
@@ -49,7 +54,7 @@ def first_index(steps: Column, test: Callable[[Column], Column]) -> Column:
 
 def remove_before(steps: Column, at: Column, drop: Callable[[Column], Column], window: int) -> Column:
     """Without the elements passing drop in the window before position at."""
-    return F.filter(steps, lambda s, i: ~((i >= at - window) & (i < at) & drop(s)))
+    return let(at, lambda p: F.filter(steps, lambda s, i: ~((i >= p - window) & (i < p) & drop(s))))
 
 
 def insert_at(steps: Column, at: Column, items: Column) -> Column:
@@ -57,18 +62,19 @@ def insert_at(steps: Column, at: Column, items: Column) -> Column:
 
 
 def drop_at(steps: Column, at: Column) -> Column:
-    return F.filter(steps, lambda s, i: i != at)
+    return let(at, lambda p: F.filter(steps, lambda s, i: i != p))
 
 
 def move_before(steps: Column, source: Column, target: Column) -> Column:
     """Move the element at source in front of target; NULL unless target is earlier."""
-    moved = insert_at(drop_at(steps, source), target, F.array(F.get(steps, source)))
-    return F.when(source > target, moved)
+    return let(F.struct(source.alias("s"), target.alias("t")), lambda p: F.when(
+        p["s"] > p["t"], insert_at(drop_at(steps, p["s"]), p["t"], F.array(F.get(steps, p["s"])))))
 
 
 def swap(steps: Column, a: Column, b: Column) -> Column:
-    return F.transform(steps, lambda s, i: F.when(i == a, F.get(steps, b))
-                       .when(i == b, F.get(steps, a)).otherwise(s))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.transform(
+        steps, lambda s, i: F.when(i == p["a"], F.get(steps, p["b"]))
+        .when(i == p["b"], F.get(steps, p["a"])).otherwise(s)))
 
 
 def equal_rate(a: Column, b: Column) -> Column:
@@ -84,14 +90,13 @@ def edit_distance(a: Column, b: Column) -> Column:
     The distinct tokens of the two arrays are numbered within the row and written
     as one character each, for the built-in levenshtein.
     """
-    symbols = F.array_distinct(F.concat(a, b))
-
-    def text(values: Column) -> Column:
+    def text(values: Column, symbols: Column) -> Column:
         codes = F.transform(values, lambda x: F.lpad(F.hex(F.array_position(symbols, x) + 0x4DFF), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    return F.when(F.size(symbols) > MAX_SYMBOLS, F.raise_error(F.lit("too many distinct tokens in one pair"))) \
-        .otherwise(F.levenshtein(text(a), text(b)))
+    return let(F.array_distinct(F.concat(a, b)), lambda symbols: F.when(
+        F.size(symbols) > MAX_SYMBOLS, F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int"))
+        .otherwise(F.levenshtein(text(a, symbols), text(b, symbols))))
 
 
 def edit_rate(a: Column, b: Column) -> Column:
@@ -102,10 +107,10 @@ def edit_rate(a: Column, b: Column) -> Column:
 
 def is_cycling(generated: Column, span: int = 8) -> Column:
     """True if the last span elements repeat with period 1 to 4."""
-    last = F.slice(generated, F.size(generated) - span + 1, span)
-    repeats = F.exists(F.array(*[F.lit(p) for p in (1, 2, 3, 4)]), lambda p: F.forall(
-        F.transform(last, lambda x, i: x == F.get(last, i % p)), lambda ok: ok))
-    return F.when(F.size(generated) < span, F.lit(False)).otherwise(repeats)
+    def repeats(last: Column) -> Column:
+        return F.exists(F.array(*[F.lit(p) for p in (1, 2, 3, 4)]), lambda p: F.forall(
+            F.transform(last, lambda x, i: x == F.get(last, i % p)), lambda ok: ok))
+    return F.when(F.size(generated) < span, F.lit(False)).otherwise(let(tail(generated, span), repeats))
 
 
 def pad(values: Column, size: Column, filler: Column) -> Column:

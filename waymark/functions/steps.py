@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.rulesets import fabrication as fab
+from waymark.session import by_distinct
 
 
 def canonical(step: Column) -> Column:
@@ -46,9 +47,9 @@ def category(step: Column, exact=None, prefixes=None, keywords=None) -> Column:
     for name, steps in exact.items():
         chain = chain.when(step.isin(steps), F.lit(name))
     for prefix, name in fab.CATEGORY_PREFIXES if prefixes is None else prefixes:
-        chain = chain.when(F.startswith(upper, F.lit(prefix)), F.lit(name))
+        chain = chain.when(upper.startswith(prefix), F.lit(name))
     for word, name in fab.CATEGORY_KEYWORDS if keywords is None else keywords:
-        chain = chain.when(F.contains(upper, F.lit(word)), F.lit(name))
+        chain = chain.when(upper.contains(word), F.lit(name))
     return chain.otherwise(F.lit("UNKNOWN"))
 
 
@@ -67,28 +68,28 @@ def _any(tests: list[Column]) -> Column:
 def flag(name: str, step: Column, cat: Column) -> Column:
     """One feature flag of a step with its category."""
     up = F.upper(step)
-    coat = F.contains(up, F.lit("SPIN COAT")) | F.contains(up, F.lit("COAT PHOTORESIST"))
+    coat = up.contains("SPIN COAT") | up.contains("COAT PHOTORESIST")
     litho = cat == "LITHO"
-    expose = litho & ~coat & F.contains(up, F.lit("EXPOSE"))
-    develop = litho & ~coat & ~F.contains(up, F.lit("EXPOSE")) & F.contains(up, F.lit("DEVELOP"))
-    bake = (litho & ~coat & ~F.contains(up, F.lit("EXPOSE")) & ~F.contains(up, F.lit("DEVELOP"))
-            & F.contains(up, F.lit("BAKE")))
+    expose = litho & ~coat & up.contains("EXPOSE")
+    develop = litho & ~coat & ~up.contains("EXPOSE") & up.contains("DEVELOP")
+    bake = (litho & ~coat & ~up.contains("EXPOSE") & ~up.contains("DEVELOP")
+            & up.contains("BAKE"))
     base = cat.isin([c for c, names in fab.CATEGORY_FLAGS.items() if name in names])
     deposit, cure = cat == "DEPOSIT", up == "CURE PASSIVATION"
-    oxidation, ship = up == "THERMAL OXIDATION", F.contains(up, F.lit("SHIP LOT"))
+    oxidation, ship = up == "THERMAL OXIDATION", up.contains("SHIP LOT")
     return {
         "coats_resist": litho & coat,
         "needs_resist_present": expose | bake,
         "exposes_resist": expose,
-        "advances_litho_level": expose & (F.contains(up, F.lit("ALIGN MASK LEVEL"))
-                                          | F.contains(up, F.lit("EXPOSE LITHO LEVEL"))),
+        "advances_litho_level": expose & (up.contains("ALIGN MASK LEVEL")
+                                          | up.contains("EXPOSE LITHO LEVEL")),
         "needs_resist_exposed": develop, "develops_resist": develop,
         "opens_implant_window": base | develop,
-        "marks_passivation_exist": deposit & F.contains(up, F.lit("PASSIVATION")),
-        "needs_passivation_cured": base | (deposit & F.contains(up, F.lit("BACKSIDE METAL"))),
+        "marks_passivation_exist": deposit & up.contains("PASSIVATION"),
+        "needs_passivation_cured": base | (deposit & up.contains("BACKSIDE METAL")),
         "needs_passivation_exist": cure, "marks_passivation_cured": cure,
         "activates_dopants": base & ~cure,
-        "marks_sort_done": F.contains(up, F.lit("WAFER SORT TEST")),
+        "marks_sort_done": up.contains("WAFER SORT TEST"),
         "needs_sort_done": ship, "is_logistics_only": base | ship,
         "makes_surface_dirty": base & ~oxidation, "makes_surface_clean": base | oxidation,
     }.get(name, base)
@@ -98,13 +99,14 @@ def feature_flags(step: Column, cat: Column) -> dict[str, Column]:
     return {name: flag(name, step, cat) for name in fab.FLAGS}
 
 
-def in_event(event: str, step: Column, cat: Column) -> Column:
+def in_event(event: str, step: Column, cat: Column, known: Column | None = None) -> Column:
     """Event membership: prefix, or the name list if known, or what the name suggests."""
+    known = is_categorised(step) if known is None else known
     up = F.upper(step)
-    by_prefix = _any([F.startswith(up, F.lit(p)) for p in fab.EVENT_PREFIXES.get(event, [])])
+    by_prefix = _any([up.startswith(p) for p in fab.EVENT_PREFIXES.get(event, [])])
     names = fab.EXACT.events[event]
     listed = step.isin([n for n in names if not n.endswith("*")])
-    return by_prefix | F.when(is_categorised(step), listed).otherwise(_suggested(event, step, cat))
+    return by_prefix | F.when(known, listed).otherwise(_suggested(event, step, cat))
 
 
 def _suggested(event: str, step: Column, cat: Column) -> Column:
@@ -126,29 +128,33 @@ def reaches(milestone: str, step: Column) -> Column:
     up = F.upper(step)
     stem, others = fab.MILESTONE_WORDS[milestone]
     return up.isin(fab.EXACT.events[milestone]) | (
-        F.contains(up, F.lit(stem)) & _any([F.contains(up, F.lit(o)) for o in others]))
+        up.contains(stem) & _any([up.contains(o) for o in others]))
 
 
-def class_mask(step: Column, cat: Column) -> Column:
+def class_mask(step: Column, cat: Column, known: Column) -> Column:
     """Event classes and milestones of any step name as one integer."""
     parts = []
     for name, bit in fab.BY_CLASS.bits.items():
-        test = reaches(name, step) if name in fab.MILESTONE_WORDS else in_event(name, step, cat)
+        test = reaches(name, step) if name in fab.MILESTONE_WORDS else in_event(name, step, cat, known)
         parts.append(F.when(test, bit).otherwise(0))
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def with_classes(df: DataFrame, step: str = "step") -> DataFrame:
-    """Add the category and the class mask of a step column."""
-    return (df.withColumn("category", category(F.col(step)))
-            .withColumn("class_mask", class_mask(F.col(step), F.col("category"))))
+    """Add the category and the class mask of a step column, judged once per distinct name."""
+    def build(names: DataFrame) -> DataFrame:
+        return (names.withColumns({"category": category(F.col(step)), "known_name": is_categorised(F.col(step))})
+                .withColumn("class_mask", class_mask(F.col(step), F.col("category"), F.col("known_name")))
+                .drop("known_name"))
+    return by_distinct(df, step, build)
 
 
 def class_steps(names: Column) -> Column:
     """array<string> -> array<struct<step, mask, level>> for the class rules."""
-    known = F.transform(names, lambda s: F.struct(s.alias("step"), category(s).alias("cat")))
+    known = F.transform(names, lambda s: F.struct(
+        s.alias("step"), category(s).alias("cat"), is_categorised(s).alias("known")))
     return F.transform(known, lambda x: F.struct(
-        x["step"].alias("step"), class_mask(x["step"], x["cat"]).alias("mask"),
+        x["step"].alias("step"), class_mask(x["step"], x["cat"], x["known"]).alias("mask"),
         fab.BY_CLASS.level_of(x["step"]).alias("level")))
 
 
@@ -156,7 +162,7 @@ def block(step: Column) -> Column:
     """Coarse block of a step, the first matching test decides."""
     up, chain = F.upper(step), F
     for name, parts, starts in fab.BLOCKS:
-        tests = [F.contains(up, F.lit(p)) for p in parts] + [F.startswith(up, F.lit(p)) for p in starts]
+        tests = [up.contains(p) for p in parts] + [up.startswith(p) for p in starts]
         chain = chain.when(_any(tests), F.lit(name))
     return chain.otherwise(F.lit("OTHER"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waymark.functions import steps as S
 from waymark.operators.ordered import running_state
+from waymark.session import by_distinct
 
 # How soon a step must follow, anchors, order of blocks.
 STRIP_WITHIN, CLEAN_WITHIN, ANNEAL_WITHIN = 6, 8, 12
@@ -18,7 +19,7 @@ ALIGN = "ALIGN MASK LEVEL "
 def _has(step: Column, *parts: str) -> Column:
     test = F.lit(False)
     for p in parts:
-        test = test | F.contains(step, F.lit(p))
+        test = test | step.contains(p)
     return test
 
 
@@ -31,17 +32,19 @@ def strict_advisory(df: DataFrame, keys: Sequence[str], order: Sequence[str], st
     from the first position of each block.
     """
     keys = list(keys)
-    up, cat = F.upper(F.col(step)), S.category(F.col(step))
-    marked = df.select(*keys, *order, F.col(step).alias("step"), up.alias("up"), cat.alias("cat"))
-    align = F.startswith(F.col("up"), F.lit(ALIGN))
-    anneal = ((F.col("cat") == "ANNEAL") | _has(F.col("up"), "ANNEAL", "DRIVE IN", "RAPID THERMAL")
-              | F.startswith(F.col("up"), F.lit("RTA")))
-    event = lambda name: S.in_event(name, F.col("step"), F.col("cat"))
-    flagged = marked.select(
-        *keys, *order, "step", "up", align.alias("align"), event("EXPOSE").alias("expose"),
-        event("DEVELOP").alias("develop"), event("PATTERNED_ETCH").alias("etch"),
-        event("CLEAN_SURFACE").alias("clean"), event("IMPLANT").alias("implant"), anneal.alias("anneal"),
-        F.startswith(F.col("up"), F.lit("STRIP ")).alias("strip"))
+    def build(names: DataFrame) -> DataFrame:
+        known = names.withColumns({"up": F.upper("step"), "cat": S.category(F.col("step")),
+                                   "known": S.is_categorised(F.col("step"))})
+        u = F.col("up")
+        event = lambda name: S.in_event(name, F.col("step"), F.col("cat"), F.col("known"))
+        return known.withColumns({
+            "align": u.startswith(ALIGN), "expose": event("EXPOSE"), "develop": event("DEVELOP"),
+            "etch": event("PATTERNED_ETCH"), "clean": event("CLEAN_SURFACE"), "implant": event("IMPLANT"),
+            "strip": u.startswith("STRIP "),
+            "anneal": ((F.col("cat") == "ANNEAL") | _has(u, "ANNEAL", "DRIVE IN", "RAPID THERMAL")
+                       | u.startswith("RTA"))}).drop("cat", "known")
+
+    flagged = by_distinct(df.select(*keys, *order, F.col(step).alias("step")), "step", build)
 
     ahead = running_state(
         flagged, keys, order, reverse=True, index="left", hot_rows=hot_rows,
@@ -80,7 +83,7 @@ def strict_advisory(df: DataFrame, keys: Sequence[str], order: Sequence[str], st
         "ild": _has(u, "INTERLAYER DIELECTRIC", "INTERLEVEL DIELECTRIC"),
         "via": _has(u, "VIA") & _has(u, "FILL", "ETCH"),
         "metal": u.isin("DEPOSIT METAL 1", "DEPOSIT TOP METAL"),
-        "passivation": F.startswith(u, F.lit("DEPOSIT PASSIVATION")),
+        "passivation": u.startswith("DEPOSIT PASSIVATION"),
         "backside": u == "DEPOSIT BACKSIDE METAL", "ship": u == "SHIP LOT",
         "sort": u == "WAFER SORT TEST", "yield": u == "YIELD ANALYSIS",
         "param": u.isin("PARAMETRIC TEST", "ELECTRICAL PARAMETRIC TEST")}
@@ -108,7 +111,7 @@ def verdicts(found: DataFrame, rows: DataFrame, keys: Sequence[str], step: str =
     keys = list(keys)
     name = F.col(step)
     unknown = ((S.category(name) == "UNKNOWN") & (name != "")
-               & ~(F.startswith(name, F.lit("[")) & F.endswith(name, F.lit("]"))))
+               & ~(name.startswith("[") & F.endswith(name, F.lit("]"))))
     broken = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("v"))
     out = rows.groupBy(*keys).agg(F.count_if(unknown).alias("u")).join(broken, keys, "left")
     verdict = (F.when(F.col("v") > 0, "INVALID").when(F.col("u") > 0, "INSUFFICIENT_INFORMATION").otherwise("VALID"))

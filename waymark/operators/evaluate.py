@@ -62,7 +62,7 @@ def next_step_scores(ranks: Column, gold: Column, *, internal: bool = False) ->
     out = {name: test.cast("double") for name, test in scores.items()}
     out["mrr"] = F.when(at > 0, 1 / at).otherwise(0.0)
     if internal:
-        kinds = F.array_position(F.transform(listed, category), category(gold))
+        kinds = F.array_position(F.transform(listed, lambda s: category(s)), category(gold))
         out["top1_category"] = (F.coalesce(kinds, F.lit(0)) == 1).cast("double")
         out["mrr_category"] = F.when(kinds > 0, 1 / kinds).otherwise(0.0)
     return out
@@ -75,13 +75,13 @@ def completion_scores(predicted: Column, gold: Column, *, internal: bool = False
     n, shorter = F.size(gold), F.least(F.size(predicted), F.size(gold))
     exact = (predicted == gold).cast("double")
     if not internal:
-        p_blocks, g_blocks = (A.collapse(F.transform(s, block)) for s in (predicted, gold))
+        p_blocks, g_blocks = (A.collapse(F.transform(s, lambda x: block(x))) for s in (predicted, gold))
         return {"ned": A.edit_rate(predicted, gold), "exact": exact,
                 "token_accuracy": ratio(A.equal_rate(predicted, gold), shorter),
                 "block_accuracy": ratio(A.equal_rate(p_blocks, g_blocks),
                                         F.least(F.size(p_blocks), F.size(g_blocks)))}
-    p_words, g_words = (A.collapse(F.transform(s, first_word)) for s in (predicted, gold))
-    p_kinds, g_kinds = (F.transform(s, category) for s in (predicted, gold))
+    p_words, g_words = (A.collapse(F.transform(s, lambda x: first_word(x))) for s in (predicted, gold))
+    p_kinds, g_kinds = (F.transform(s, lambda x: category(x)) for s in (predicted, gold))
     length = F.greatest(F.lit(1), n)
     return {"exact": exact, "ned_similarity": 1 - A.edit_rate(predicted, gold),
             "token_accuracy": A.equal_rate(predicted, gold) / length,

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from waymark.functions.arrays import let
 from waymark.operators.ordered import running_state
 
 
@@ -92,7 +93,7 @@ class RuleBook:
         if self.level is None:
             return F.lit(None).cast("int")
         number = F.regexp_extract(step, self.level.pattern, 1)
-        return F.when(F.startswith(step, F.lit(self.level.prefix)) & (number != ""), number.cast("int"))
+        return F.when(step.startswith(self.level.prefix) & (number != ""), number.cast("int"))
 
     def has(self, mask: Column, event: str) -> Column:
         return mask.bitwiseAND(F.lit(self.bits[event])) != 0
@@ -103,7 +104,7 @@ def member(kind: object, step: Column) -> Column:
         return kind(step)
     names = [n for n in kind if not n.endswith("*")]
     tests = [step.isin(names)] if names else []
-    tests += [F.startswith(step, F.lit(n[:-1])) for n in kind if n.endswith("*")]
+    tests += [step.startswith(n[:-1]) for n in kind if n.endswith("*")]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -116,10 +117,7 @@ def fires(book: RuleBook, rule, mask: Column, level: Column, position: Column,
         near = [F.coalesce(position - last(e) <= n, F.lit(False)) for e, n in rule.needs]
         return book.has(mask, rule.trigger) & ~reduce(lambda a, b: a & b, near)
     if isinstance(rule, Level):
-        moved = (level > previous_level + 1) | (level < previous_level)
-        if rule.ignore_zero:
-            moved = moved & (previous_level > 0)
-        return F.coalesce(moved, F.lit(False))
+        return _moved(rule, level, previous_level)
     missing = reduce(lambda a, b: a | b, [last(e).isNull() for e in rule.needs])
     broken = book.has(mask, rule.trigger) & missing
     return broken & last(rule.trigger).isNull() if isinstance(rule, FirstOf) else broken
@@ -209,18 +207,17 @@ def array_violations(book: RuleBook, steps: str) -> Column:
     attribution; pos is 0-based. Everything stays in one row.
     """
     column = F.col(steps)
-    masks = F.transform(column, lambda x: x["mask"])
 
-    def hits(i: int, rule) -> Column:
+    def hits(i: int, rule, masks: Column) -> Column:
         def one(x: Column, p: Column) -> Column:
             if isinstance(rule, Windowed):
                 broken = book.has(x["mask"], rule.trigger) & ~reduce(
                     lambda a, b: a & b, [_seen(book, masks, e, p, n) for e, n in rule.needs])
             elif isinstance(rule, Level):
                 prior = F.filter(F.slice(column, 1, p), lambda y: y["level"].isNotNull())
-                before = F.try_element_at(prior, F.lit(-1))["level"]
-                moved = (x["level"] > before + 1) | (x["level"] < before)
-                broken = F.coalesce(moved & (before > 0) if rule.ignore_zero else moved, F.lit(False))
+                broken = let(F.try_element_at(prior, F.lit(-1))["level"], lambda before: _moved(
+                    rule, x["level"], before))
+                broken = x["level"].isNotNull() & broken
             else:
                 broken = book.has(x["mask"], rule.trigger) & ~reduce(
                     lambda a, b: a & b, [_seen(book, masks, e, p, None) for e in rule.needs])
@@ -233,8 +230,13 @@ def array_violations(book: RuleBook, steps: str) -> Column:
                                            x["step"].alias("step")))
         return F.transform(column, one)
 
-    parts = [hits(i, rule) for i, rule in enumerate(book.rules, 1)]
-    return F.array_sort(F.array_compact(F.concat(*parts)))
+    return let(F.transform(column, lambda x: x["mask"]), lambda masks: F.array_sort(F.array_compact(
+        F.concat(*[hits(i, rule, masks) for i, rule in enumerate(book.rules, 1)]))))
+
+
+def _moved(rule: Level, level: Column, before: Column) -> Column:
+    moved = (level > before + 1) | (level < before)
+    return F.coalesce(moved & (before > 0) if rule.ignore_zero else moved, F.lit(False))
 
 
 def _seen(book: RuleBook, masks: Column, event: str, p: Column, within: int | None) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from waymark.plans import rule_queries  # noqa: F401  (registers queries)
+from waymark.plans import mining_queries, rule_queries, score_queries  # noqa: F401  (register queries)
 from waymark.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from waymark.functions import steps as S
 from waymark.operators import advisory
@@ -148,7 +148,6 @@ r AS (SELECT user_id, rule, step_index, severity, row_number() OVER (PARTITION B
 SELECT user_id, rule, step_index, severity, CAST(place AS INT) AS place FROM r WHERE place <= 3""")
 def ranked_findings(spark, sf):
     order = F.col("severity").desc(), F.col("step_index"), F.col("rule_ord")
-    from pyspark.sql import Window
     ranked = journey_violations(spark, sf).withColumn(
         "place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
     return ranked.filter("place <= 3").select("user_id", "rule", "step_index", "severity", "place")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A table is broadcast only after its row count was seen to be at most this.
@@ -40,3 +42,16 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = cut_lineage(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def by_distinct(df: DataFrame, column: str, build: Callable[[DataFrame], DataFrame],
+                max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add columns that depend on one column only, computed once per distinct value.
+
+    The distinct values are counted up to max_rows; if there are more, build runs
+    on the rows themselves, which needs no join at all.
+    """
+    values = cut_lineage(df.select(column).distinct().limit(max_rows + 1))
+    if values.count() > max_rows:
+        return build(df)
+    return df.join(F.broadcast(build(values)), column, "left")
