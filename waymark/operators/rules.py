@@ -200,14 +200,13 @@ def report(found: DataFrame, sequences: DataFrame, keys: Sequence[str]) -> DataF
 
 # -- arrays of steps ---------------------------------------------------------------------
 
-def array_violations(book: RuleBook, steps: str) -> Column:
-    """Violations of an array<struct<step, mask, level>> column as an ordered array.
+def array_violations(book: RuleBook, column: Column, only: str | None = None) -> Column:
+    """Violations of an array<struct<step, mask, level>> as an ordered array.
 
     Elements are struct<a, b, rule_no, severity, pos, step>, (a, b) being the order of
-    attribution; pos is 0-based. Everything stays in one row.
+    attribution; pos is 0-based. Everything stays in one row. With ``only``, one
+    rule is checked.
     """
-    column = F.col(steps)
-
     def hits(i: int, rule, masks: Column) -> Column:
         def one(x: Column, p: Column) -> Column:
             if isinstance(rule, Windowed):
@@ -231,7 +230,8 @@ def array_violations(book: RuleBook, steps: str) -> Column:
         return F.transform(column, one)
 
     return let(F.transform(column, lambda x: x["mask"]), lambda masks: F.array_sort(F.array_compact(
-        F.concat(*[hits(i, rule, masks) for i, rule in enumerate(book.rules, 1)]))))
+        F.concat(*[hits(i, rule, masks) for i, rule in enumerate(book.rules, 1)
+                   if only is None or rule.rule == only]))))
 
 
 def _moved(rule: Level, level: Column, before: Column) -> Column:
