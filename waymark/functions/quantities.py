@@ -18,13 +18,14 @@ def normalise(text: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """array<struct<quantity, raw_value, unit, canonical_value, lo, hi>> of a text."""
-    found = []
-    for pattern, quantity, factor, lo, hi, unit in fab.QUANTITIES:
-        numbers = F.regexp_extract_all(text, F.lit(fab.NUMBER + r"\s*(?:" + pattern + ")"), 1)
-        found.append(F.transform(numbers, lambda n, q=quantity, f=factor, lo=lo, hi=hi, u=unit: F.struct(
-            F.lit(q).alias("quantity"), n.cast("double").alias("raw_value"), F.lit(u).alias("unit"),
-            (n.cast("double") * f).alias("canonical_value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))))
-    return F.concat(*found)
+    return F.concat(*[_of_kind(text, *kind) for kind in fab.QUANTITIES])
+
+
+def _of_kind(text: Column, pattern: str, quantity: str, factor: float, lo: float, hi: float, unit: str) -> Column:
+    numbers = F.regexp_extract_all(text, F.lit(fab.NUMBER + r"\s*(?:" + pattern + ")"), F.lit(1))
+    return F.transform(numbers, lambda n: F.struct(
+        F.lit(quantity).alias("quantity"), n.cast("double").alias("raw_value"), F.lit(unit).alias("unit"),
+        (n.cast("double") * factor).alias("canonical_value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
 
 
 def extract(df: DataFrame, text: str) -> DataFrame:

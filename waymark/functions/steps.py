@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -149,13 +150,19 @@ def with_classes(df: DataFrame, step: str = "step") -> DataFrame:
     return by_distinct(df, step, build)
 
 
-def class_steps(names: Column) -> Column:
-    """array<string> -> array<struct<step, mask, level>> for the class rules."""
-    known = F.transform(names, lambda s: F.struct(
-        s.alias("step"), category(s).alias("cat"), is_categorised(s).alias("known")))
-    return F.transform(known, lambda x: F.struct(
-        x["step"].alias("step"), class_mask(x["step"], x["cat"], x["known"]).alias("mask"),
-        fab.BY_CLASS.level_of(x["step"]).alias("level")))
+def literal_steps(*names: str) -> Column:
+    """array<struct<step, mask, level>> of names from the vocabulary, as a constant."""
+    items = []
+    for name in names:
+        level = re.search(r"^ALIGN MASK LEVEL.*?(\d+)$", name)
+        items.append(F.struct(F.lit(name).alias("step"), F.lit(_mask_of_known(name)).alias("mask"),
+                              F.lit(int(level.group(1)) if level else None).cast("int").alias("level")))
+    return F.array(*items)
+
+
+def _mask_of_known(name: str) -> int:
+    listed = lambda kind: any(name.startswith(n[:-1]) if n.endswith("*") else name == n for n in kind)
+    return sum(bit for event, bit in fab.BY_CLASS.bits.items() if listed(fab.EXACT.events[event]))
 
 
 def block(step: Column) -> Column:

@@ -1,33 +1,35 @@
 """Labelled test sets: violations injected into sequences, renamed and reshaped variants.
 
-Everything works on one row per bounded segment, without a shuffle; random
-choices are ordered by hashes of the row's key, so they repeat exactly.
+Injection works on one row per bounded segment, without a shuffle; random choices
+are ordered by hashes of the row's key, so they repeat exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.functions.arrays import let
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import array_violations, as_steps, rule_name
+from waymark.operators.rules import array_violations, rule_name
 from waymark.rulesets import fabrication as fab
+from waymark.session import by_distinct
 
 
-def _among(values: Sequence[str]):
-    return lambda s: s.isin(list(values))
+def injectors(steps: Column, name: Callable[[Column], Column] = lambda x: x) -> dict[str, Column]:
+    """rule -> the steps with that rule broken, or NULL where it does not apply.
 
+    Elements are step names, or anything of which ``name`` gives the step name.
+    """
+    def _among(values: Sequence[str]):
+        return lambda x: name(x).isin(list(values))
 
-def _starts(prefix: str):
-    return lambda s: s.startswith(prefix)
-
+    def _starts(prefix: str):
+        return lambda x: name(x).startswith(prefix)
 
-def injectors(steps: Column) -> dict[str, Column]:
-    """rule -> the steps with that rule broken, or NULL where it does not apply."""
     out = {}
     for rule, triggers, removed, window in fab.REMOVALS:
         at = A.first_index(steps, _among(triggers))
@@ -40,7 +42,7 @@ def injectors(steps: Column) -> dict[str, Column]:
                                                   _starts("EXPOSE LITHO LEVEL"), 15))
     out["RULE_METAL_ETCH_NO_LITHO"] = F.when(metal.isNotNull(), unlit)
 
-    aligned = F.transform(steps, lambda s, i: F.when(s.startswith("ALIGN MASK LEVEL"), i))
+    aligned = F.transform(steps, lambda s, i: F.when(name(s).startswith("ALIGN MASK LEVEL"), i))
     swapped = let(F.array_compact(aligned), lambda at: F.when(
         F.size(at) >= 2, A.swap(steps, F.get(at, F.lit(0)), F.get(at, F.lit(1)))))
     out["RULE_LITHO_LEVEL_SKIP"] = swapped
@@ -52,16 +54,18 @@ def injectors(steps: Column) -> dict[str, Column]:
 def inject(df: DataFrame, steps: str, key: Sequence[str], seed: int) -> DataFrame:
     """Add injected_steps and injected_rule: one violation per row, checked to fire.
 
+    steps is an array<struct<step, mask, level>> with the masks of the exact rules.
+
     All injectors are tried, those whose own rule fires are kept, and the one
     that comes first in the hash order of the row is taken. If none fires, the
     ship step is moved before the test where possible, else both are NULL.
     """
-    variants = injectors(F.col(steps))
+    variants = injectors(F.col(steps), lambda x: x["step"])
     names = {rule: f"__v_{i}" for i, rule in enumerate(variants)}
     tried = df.withColumns({names[r]: v for r, v in variants.items()})
     options = []
     for rule, column in names.items():
-        broken = array_violations(fab.EXACT, as_steps(F.col(column), fab.EXACT), only=rule)
+        broken = array_violations(fab.EXACT, F.col(column), only=rule)
         options.append(F.when(F.col(column).isNotNull() & (F.size(broken) > 0), F.struct(
             F.xxhash64(F.lit(seed), *key, F.lit(rule)).alias("h"), F.lit(rule).alias("rule"),
             F.col(column).alias("steps"))))
@@ -126,7 +130,7 @@ def anomaly_rows(df: DataFrame, family: str, key: Sequence[str], steps: str, n_v
 
 def training_twins(df: DataFrame, key: Sequence[str], family: str, steps: str, seed: int) -> DataFrame:
     """Each valid sequence and an injected copy of it; sequences already broken are left out."""
-    checked = df.filter(F.size(array_violations(fab.EXACT, as_steps(F.col(steps), fab.EXACT))) == 0)
+    checked = df.filter(F.size(array_violations(fab.EXACT, F.col(steps))) == 0)
     both = inject(checked, steps, key, seed)
     twins = F.array(
         F.struct(F.col(steps).alias("steps"), F.lit(1).alias("is_valid"), F.lit("").alias("rule")),
@@ -136,62 +140,75 @@ def training_twins(df: DataFrame, key: Sequence[str], family: str, steps: str, s
         *key, family, "t.*")
 
 
-def renamed(steps: Column, tag: Column, fraction: Column, *key: Column) -> Column:
-    """Rename max(1, round(fraction * eligible)) of the distinct eligible steps of a row."""
-    eligible = F.filter(F.array_distinct(steps), lambda s: S.may_rename(s, S.category(s)))
-    shuffled = F.array_sort(F.transform(eligible, lambda s: F.struct(F.xxhash64(s, *key).alias("h"), s.alias("s"))))
-
-    def apply(order: Column) -> Column:
-        n = F.greatest(F.lit(1), F.bround(fraction * F.size(order)).cast("int"))
-        pairs = F.transform(F.slice(order, 1, n), lambda x: F.struct(
-            x["s"].alias("old"), S.rename(x["s"], S.category(x["s"]), tag).alias("new")))
-        return let(F.map_from_entries(pairs), lambda names: F.transform(
-            steps, lambda s: F.coalesce(F.try_element_at(names, s), s)))
-
-    return F.when(F.size(eligible) == 0, steps).otherwise(let(shuffled, apply))
-
-
 def _unit(*columns: Column) -> Column:
     """A hashed uniform number in [0, 1)."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) / float(1 << 20)
 
 
-def reshaped(steps: Column, *key: Column) -> Column:
-    """Drop some metrology, insert up to three cleans, maybe add a second metal cycle."""
-    metrology = ["MEASURE", "INSPECT", "PATTERN_INSPECT"]
-    kept = F.filter(steps, lambda s, i: ~(S.category(s).isin(metrology) & (_unit(F.lit("drop"), i, *key) < 0.3)))
-
+def add_steps(steps: Column, *key: Column) -> Column:
+    """Insert up to three cleans and maybe a second metal cycle at the next mask level."""
     def with_cleans(values: Column) -> Column:
         n = F.when(F.size(values) < 3, 0).otherwise(F.floor(_unit(F.lit("cleans"), *key) * 4))
         def insert(acc: Column, k: Column) -> Column:
             at = 1 + F.floor(_unit(F.lit("at"), k, *key) * (F.size(acc) - 1)).cast("int")
-            return F.when(k <= n, A.insert_at(acc, at, F.array(F.lit("CLEAN AFTER ETCH")))).otherwise(acc)
+            return F.when(k <= n, A.insert_at(acc, at, S.literal_steps("CLEAN AFTER ETCH"))).otherwise(acc)
         return F.aggregate(F.array(*[F.lit(k) for k in (1, 2, 3)]), values, insert)
 
     def with_cycle(values: Column) -> Column:
-        levels = F.array_compact(F.transform(values, lambda s: F.regexp_extract(
-            s, "^ALIGN MASK LEVEL ([0-9]+)$", 1).try_cast("int")))
-        level = (F.coalesce(F.array_max(levels), F.lit(0)) + 1).cast("string")
+        level = F.coalesce(F.array_max(F.transform(values, lambda x: x["level"])), F.lit(0)) + 1
         anchor = F.array_max(F.array_compact(F.transform(
-            values, lambda s, i: F.when(s == "CLEAN AFTER METAL ETCH", i))))
-        cycle = F.array(*[F.replace(F.lit(s), F.lit("{n}"), level) for s in fab.SECOND_METAL_CYCLE])
+            values, lambda x, i: F.when(x["step"] == "CLEAN AFTER METAL ETCH", i))))
+        constants = S.literal_steps(*fab.SECOND_METAL_CYCLE)
+        cycle = F.transform(constants, lambda x: F.struct(
+            F.replace(x["step"], F.lit("{n}"), level.cast("string")).alias("step"), x["mask"].alias("mask"),
+            F.when(x["step"].startswith("ALIGN"), level).cast("int").alias("level")))
         wanted = (_unit(F.lit("cycle"), *key) < 0.5) & anchor.isNotNull()
         return F.when(wanted, A.insert_at(values, anchor + 1, cycle)).otherwise(values)
 
-    return let(let(kept, with_cleans), with_cycle)
+    return let(let(steps, with_cleans), with_cycle)
 
 
-def novel_variants(df: DataFrame, key: Sequence[str], steps: str, tag: Column, fractions: Sequence[float],
+def novel_variants(df: DataFrame, key: Sequence[str], steps: str, tag: str, fractions: Sequence[float],
                    structural: bool = True) -> DataFrame:
-    """Variants with new names (and, for half of them, a new shape) that break no rule.
+    """Variants with new names (and, for half of them, a new shape) that break no class rule.
 
-    One row per input row and rename fraction; the class rules decide which stay.
+    df has arrays of step names; the result one row per input row and rename
+    fraction with steps as array<struct<step, mask, level>>. Of the distinct
+    eligible names of a row max(1, round(fraction * count)) are renamed, in hash
+    order. Names are classified once per distinct name, on exploded rows.
     """
-    keys = [F.col(k) for k in key]
-    rows = df.withColumn("rename_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    rows = rows.withColumn("steps", renamed(F.col(steps), tag, F.col("rename_fraction"), *keys))
+    keys = [*key, "rename_fraction"]
+    cols = [F.col(k) for k in keys]
+    rows = df.select(*key, F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("rename_fraction"),
+                     F.col(steps).alias("__s")).select(*keys, F.posexplode("__s").alias("pos", "step"))
+
+    def name_columns(names: DataFrame) -> DataFrame:
+        kinds = names.withColumn("category", S.category(F.col("step")))
+        return kinds.withColumns({"eligible": S.may_rename(F.col("step"), F.col("category")),
+                                  "new_step": S.rename(F.col("step"), F.col("category"), F.lit(tag))})
+
+    named = by_distinct(rows, "step", name_columns)
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("step", *cols), "step")
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    chosen = (named.filter("eligible").select(*keys, "step", "new_step").distinct()
+              .withColumns({"__r": F.row_number().over(order), "__n": count})
+              .filter(F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("rename_fraction") * F.col("__n"))))
+              .select(*keys, "step", F.col("new_step").alias("chosen")))
+    out = named.join(chosen, [*keys, "step"], "left").withColumn("step", F.coalesce("chosen", "step"))
+    half = _unit(F.lit("shape"), *cols) < 0.5
+    if structural:
+        lost = half & F.col("category").isin("MEASURE", "INSPECT", "PATTERN_INSPECT") & (
+            _unit(F.lit("drop"), "pos", *cols) < 0.3)
+        out = out.filter(~lost)
+    arrays = collect_steps(S.with_classes(out.select(*keys, "pos", "step")), keys, fab.BY_CLASS)
     if structural:
-        half = _unit(F.lit("shape"), F.col("rename_fraction"), *keys) < 0.5
-        rows = rows.withColumn("steps", F.when(half, reshaped(F.col("steps"), *keys)).otherwise(F.col("steps")))
-    valid = F.size(array_violations(fab.BY_CLASS, S.class_steps(F.col("steps")))) == 0
-    return rows.withColumn("tag", tag).filter(valid).select(*key, "rename_fraction", "tag", "steps")
+        arrays = arrays.withColumn("steps", F.when(half, add_steps(F.col("steps"), *cols)).otherwise(F.col("steps")))
+    return arrays.filter(F.size(array_violations(fab.BY_CLASS, F.col("steps"))) == 0).withColumn("tag", F.lit(tag))
+
+
+def collect_steps(rows: DataFrame, keys: Sequence[str], book, mask: str = "class_mask", pos: str = "pos") -> DataFrame:
+    """Exploded rows of bounded segments back to array<struct<step, mask, level>>."""
+    item = F.struct(F.col(pos).alias("i"), F.col("step"), F.col(mask).alias("mask"),
+                    book.level_of(F.col("step")).alias("level"))
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(
+        x["step"].alias("step"), x["mask"].alias("mask"), x["level"].alias("level"))).alias("steps"))

@@ -30,7 +30,7 @@ CURE, SHIP, SORT = "CURE PASSIVATION", "SHIP LOT", "WAFER SORT TEST"
 
 
 def _items(*names: str) -> Column:
-    return S.class_steps(F.array(*[F.lit(n) for n in names])).cast(f"array<{STEP_TYPE}>")
+    return S.literal_steps(*names).cast(f"array<{STEP_TYPE}>")
 
 
 def _named(*names: str):
@@ -98,8 +98,11 @@ def fix(steps: Column, rule: Column, at: Column) -> Column:
 
 
 def repair(df: DataFrame, steps: str, max_rounds: int = 30) -> DataFrame:
-    """Add repaired (array<string>), fixes (what was done), now_valid and remaining rules."""
-    start = F.struct(S.class_steps(F.col(steps)).cast(f"array<{STEP_TYPE}>").alias("steps"),
+    """Add repaired, fixes (what was done), now_valid and remaining rules.
+
+    steps and repaired are array<struct<step, mask, level>> with class masks.
+    """
+    start = F.struct(F.col(steps).cast(f"array<{STEP_TYPE}>").alias("steps"),
                      F.array().cast("array<string>").alias("fixes"), F.lit(True).alias("open"))
 
     def round_(state: Column, _: Column) -> Column:
@@ -121,14 +124,14 @@ def repair(df: DataFrame, steps: str, max_rounds: int = 30) -> DataFrame:
         f"struct<steps:array<{STEP_TYPE}>,fixes:array<string>,open:boolean>"), round_))
     left = F.transform(array_violations(BOOK, F.col("__r.steps")), lambda v: rule_name(BOOK, v["rule_no"]))
     return (out.withColumn("__left", F.array_sort(F.array_distinct(left)))
-            .withColumns({"repaired": F.transform("__r.steps", lambda x: x["step"]), "fixes": F.col("__r.fixes"),
+            .withColumns({"repaired": F.col("__r.steps"), "fixes": F.col("__r.fixes"),
                           "now_valid": F.size("__left") == 0, "remaining": F.col("__left")})
             .drop("__r", "__left"))
 
 
 def certify(df: DataFrame, steps: str) -> DataFrame:
     """Add is_valid and the number of violations under the class rules."""
-    n = F.size(array_violations(BOOK, S.class_steps(F.col(steps))))
+    n = F.size(array_violations(BOOK, F.col(steps)))
     return df.withColumn("n_violations", n).withColumn("is_valid", F.col("n_violations") == 0)
 
 

@@ -249,12 +249,6 @@ def rule_name(book: RuleBook, number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(r.rule) for r in book.rules]), number)
 
 
-def as_steps(names: Column, book: RuleBook, mask: Callable[[Column], Column] | None = None) -> Column:
-    """array<string> -> array<struct<step, mask, level>>."""
-    return F.transform(names, lambda s: F.struct(
-        s.alias("step"), (mask or book.mask)(s).alias("mask"), book.level_of(s).alias("level")))
-
-
 # -- rules as a graph ------------------------------------------------------------------------
 
 def causal_edges(book: RuleBook, spark) -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
-from waymark.plans import mining_queries, rule_queries, score_queries  # noqa: F401  (register queries)
+from waymark.plans import (mining_queries, rule_queries, score_queries, serving_queries,  # noqa: F401
+                           text_queries, transform_queries)  # importing registers the queries
 from waymark.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from waymark.functions import steps
 from waymark.operators.ordered import running_state, segments
 from waymark.operators.rules import FirstOf, Level, Milestone, RuleBook, Windowed
+from waymark.rulesets import fabrication as fab
+from waymark.session import by_distinct
 
 ORDER = ["ts", "event_id"]
 FAMILIES = ["MOSFET", "IGBT", "IC"]
@@ -80,6 +83,18 @@ def route_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments(rows, ["user_id", "family"], {"step": F.col("step")}, max_len=MAX_LEN)
 
 
+def classed_segments(spark: SparkSession, sf: str, book: RuleBook) -> DataFrame:
+    """Routes with canonical names as array<struct<step, mask, level>> for one of the fabrication books."""
+    rows = running_state(routes(spark, sf), ["user_id", "family"], ORDER)
+    rows = rows.withColumn("step", steps.canonical(F.col("step")))
+    if book is fab.BY_CLASS:
+        rows = steps.with_classes(rows).withColumnRenamed("class_mask", "mask")
+    else:
+        rows = by_distinct(rows, "step", lambda names: names.withColumn("mask", book.mask(F.col("step"))))
+    fields = {"step": F.col("step"), "mask": F.col("mask"), "level": book.level_of(F.col("step"))}
+    return segments(rows, ["user_id", "family"], fields, max_len=MAX_LEN)
+
+
 # -- the same in SQL -------------------------------------------------------------------
 
 def names(values) -> str:
