@@ -14,6 +14,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """A generator column holding value; filters above it do not get a copy of the expression."""
+    return F.explode(F.array(value))
+
+
 def decode_pipe(text: Column, drop_empty: bool = True) -> Column:
     parts = F.split(text, r"\|")
     return F.filter(parts, lambda s: s != "") if drop_empty else parts

@@ -62,7 +62,8 @@ def inject(df: DataFrame, steps: str, key: Sequence[str], seed: int) -> DataFram
     """
     variants = injectors(F.col(steps), lambda x: x["step"])
     names = {rule: f"__v_{i}" for i, rule in enumerate(variants)}
-    tried = df.withColumns({names[r]: v for r, v in variants.items()})
+    tried = df.withColumn("__v", A.once(F.struct(*[v.alias(names[r]) for r, v in variants.items()])))
+    tried = tried.select(*df.columns, "__v.*")
     options = []
     for rule, column in names.items():
         broken = array_violations(fab.EXACT, F.col(column), only=rule)
@@ -73,7 +74,7 @@ def inject(df: DataFrame, steps: str, key: Sequence[str], seed: int) -> DataFram
         F.lit(0).cast("bigint").alias("h"), F.lit("RULE_SHIP_BEFORE_TEST").alias("rule"),
         F.col(names["RULE_SHIP_BEFORE_TEST"]).alias("steps")))
     best = F.coalesce(F.array_min(F.array_compact(F.array(*options))), last_resort)
-    return (tried.withColumn("__best", best)
+    return (tried.withColumn("__best", A.once(best))
             .withColumns({"injected_steps": F.col("__best.steps"), "injected_rule": F.col("__best.rule")})
             .drop("__best", *names.values()))
 
@@ -202,7 +203,8 @@ def novel_variants(df: DataFrame, key: Sequence[str], steps: str, tag: str, frac
         out = out.filter(~lost)
     arrays = collect_steps(S.with_classes(out.select(*keys, "pos", "step")), keys, fab.BY_CLASS)
     if structural:
-        arrays = arrays.withColumn("steps", F.when(half, add_steps(F.col("steps"), *cols)).otherwise(F.col("steps")))
+        arrays = arrays.withColumn("steps", A.once(
+            F.when(half, add_steps(F.col("steps"), *cols)).otherwise(F.col("steps"))))
     return arrays.filter(F.size(array_violations(fab.BY_CLASS, F.col("steps"))) == 0).withColumn("tag", F.lit(tag))
 
 

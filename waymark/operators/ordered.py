@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from waymark.functions.times import micros
+
 HOT_ROWS = 5_000_000      # sequences with more rows than this are cut
 MAX_CHUNKS = 50_000       # bound on chunks over all cut sequences
 MICRO = 64                # histogram cells per chunk
@@ -92,7 +94,7 @@ def _scan(df, keys, order, reverse, spec: _Spec) -> DataFrame:
 def _numeric(column: str, df: DataFrame) -> Column:
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp"))
+        return micros(F.col(column), kind)
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(column))
     if isinstance(kind, T.NumericType):

@@ -120,10 +120,10 @@ def repair(df: DataFrame, steps: str, max_rounds: int = 30) -> DataFrame:
             v.isNull(), closed).otherwise(apply(v))))
 
     rounds = F.sequence(F.lit(1), F.lit(max_rounds))
-    out = df.withColumn("__r", F.aggregate(rounds, start.cast(
-        f"struct<steps:array<{STEP_TYPE}>,fixes:array<string>,open:boolean>"), round_))
+    out = df.withColumn("__r", A.once(F.aggregate(rounds, start.cast(
+        f"struct<steps:array<{STEP_TYPE}>,fixes:array<string>,open:boolean>"), round_)))
     left = F.transform(array_violations(BOOK, F.col("__r.steps")), lambda v: rule_name(BOOK, v["rule_no"]))
-    return (out.withColumn("__left", F.array_sort(F.array_distinct(left)))
+    return (out.withColumn("__left", A.once(F.array_sort(F.array_distinct(left))))
             .withColumns({"repaired": F.col("__r.steps"), "fixes": F.col("__r.fixes"),
                           "now_valid": F.size("__left") == 0, "remaining": F.col("__left")})
             .drop("__r", "__left"))

@@ -14,7 +14,7 @@ from waymark.plans.registry import query
 from waymark.plans.score_queries import FRACTIONS
 from waymark.plans.sql_text import CLASS_FLAGS, CLASS_VIOLATIONS
 from waymark.rulesets import fabrication as fab
-from waymark.session import by_distinct
+from waymark.session import by_distinct, cut_lineage
 
 KEYS = ["user_id", "family"]
 
@@ -70,9 +70,13 @@ def step_names(column: str):
 
 
 def repaired(spark, sf):
-    """Route segments after repair, those that became valid: names and class steps."""
+    """Names of the route segments after repair, those that became valid.
+
+    Written once, because the callers read it for the distinct names and again for the rows.
+    """
     fixed = repair.repair(classed_segments(spark, sf, fab.BY_CLASS), "steps").filter("now_valid")
-    return fixed.select("user_id", "segment", "family", F.transform("repaired", lambda x: x["step"]).alias("steps"))
+    return cut_lineage(fixed.select("user_id", "segment", "family",
+                                    F.transform("repaired", lambda x: x["step"]).alias("steps")))
 
 
 @query("injected_sequences")

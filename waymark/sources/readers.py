@@ -11,6 +11,7 @@ import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from waymark.functions.arrays import decode_pipe
 from waymark.operators.ordered import running_state, segments
@@ -171,6 +172,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files arriving in a folder, as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_event_stream(spark: SparkSession, folder: str, schema: str | StructType, names: str = "*.parquet",
+                      files_per_trigger: int = 100) -> DataFrame:
+    """Parquet files arriving in a folder (those whose name matches), as a stream."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", names)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
