@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from waymark.rulesets import fabrication as fab
 
 
+QUANTITY_TYPE = ("array<struct<quantity:string,raw_value:double,unit:string,canonical_value:double,"
+                 "lo:double,hi:double>>")
+
+
 def normalise(text: Column) -> Column:
     """Superscripts to digits, 'x10' to 'e', micro sign to u, special blanks to blanks."""
     out = F.translate(text, *fab.SUPERSCRIPTS)
@@ -18,14 +22,16 @@ def normalise(text: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """array<struct<quantity, raw_value, unit, canonical_value, lo, hi>> of a text."""
-    return F.concat(*[_of_kind(text, *kind) for kind in fab.QUANTITIES])
+    return F.concat(*[_of_kind(text, letters, *kind) for letters, kind in zip(fab.UNIT_LETTERS, fab.QUANTITIES)])
 
 
-def _of_kind(text: Column, pattern: str, quantity: str, factor: float, lo: float, hi: float, unit: str) -> Column:
+def _of_kind(text: Column, letters: str, pattern: str, quantity: str, factor: float, lo: float, hi: float, unit: str) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(fab.NUMBER + r"\s*(?:" + pattern + ")"), F.lit(1))
-    return F.transform(numbers, lambda n: F.struct(
+    found = F.transform(numbers, lambda n: F.struct(
         F.lit(quantity).alias("quantity"), n.cast("double").alias("raw_value"), F.lit(unit).alias("unit"),
         (n.cast("double") * factor).alias("canonical_value"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")))
+    # a substring test is far cheaper than a pattern that has to fail at every position
+    return F.when(text.contains(letters), found).otherwise(F.array().cast(QUANTITY_TYPE))
 
 
 def extract(df: DataFrame, text: str) -> DataFrame:

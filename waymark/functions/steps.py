@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -143,13 +143,21 @@ def class_mask(step: Column, cat: Column, known: Column) -> Column:
 
 def with_classes(df: DataFrame, step: str = "step") -> DataFrame:
     """Add the category and the class mask of a step column, judged once per distinct name."""
+    kind, known, mask = _class_columns(step, df.sparkSession.sparkContext.applicationId)
+
     def build(names: DataFrame) -> DataFrame:
-        return (names.withColumns({"category": category(F.col(step)), "known_name": is_categorised(F.col(step))})
-                .withColumn("class_mask", class_mask(F.col(step), F.col("category"), F.col("known_name")))
+        return (names.withColumns({"category": kind, "known_name": known}).withColumn("class_mask", mask)
                 .drop("known_name"))
     return by_distinct(df, step, build)
 
 
+@lru_cache(maxsize=16)
+def _class_columns(step: str, application: str) -> tuple[Column, Column, Column]:
+    """The expressions of with_classes; building them takes long enough to keep them."""
+    name = F.col(step)
+    return category(name), is_categorised(name), class_mask(name, F.col("category"), F.col("known_name"))
+
+
 def literal_steps(*names: str) -> Column:
     """array<struct<step, mask, level>> of names from the vocabulary, as a constant."""
     items = []

@@ -137,7 +137,7 @@ def describe(rule, step: Column, level: Column, previous_level: Column) -> Colum
 # -- long rows ----------------------------------------------------------------------
 
 def with_state(df: DataFrame, book: RuleBook, keys: Sequence[str], order: Sequence[str], *,
-               step: str = "step", mask: Column | None = None, lags=None, total: str | None = None,
+               step: str = "step", mask: Column | None = None, lags=None, sums=None, total: str | None = None,
                hot_rows: int | None = None) -> DataFrame:
     """Long rows with mask, level, position and the state before each step."""
     marked = df.withColumns({"mask": book.mask(F.col(step)) if mask is None else mask,
@@ -146,11 +146,18 @@ def with_state(df: DataFrame, book: RuleBook, keys: Sequence[str], order: Sequen
     if book.level is not None:
         values["previous_level"] = (F.col("level").isNotNull(), F.col("level"))
     out = running_state(
-        marked, keys, order, total=total, lags=lags, hot_rows=hot_rows, values=values,
+        marked, keys, order, total=total, lags=lags, sums=sums, hot_rows=hot_rows, values=values,
         last={f"last_{e}": book.has(F.col("mask"), e) for e in book.enablers})
     return out if values else out.withColumn("previous_level", F.lit(None).cast("int"))
 
 
+def any_broken(book: RuleBook) -> Column:
+    """True where a row of ``with_state`` breaks any rule."""
+    tests = [fires(book, rule, F.col("mask"), F.col("level"), F.col("step_index"), lambda e: F.col(f"last_{e}"),
+                   F.col("previous_level")) for rule in book.rules]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def violations(state: DataFrame, book: RuleBook, keys: Sequence[str], *, step: str = "step") -> DataFrame:
     """One row per broken rule: keys, rule, rule_ord, step_index, step, severity, description, reason."""
     level, previous = F.col("level"), F.col("previous_level")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from waymark.functions import steps as S
 from waymark.operators import components, decode, inject, mining as M, repair
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import violations, with_state
+from waymark.operators.rules import any_broken, with_state
 from waymark.plans.inputs import (ORDER, ROUTES, ROUTE_SEGMENTS, classed_segments, names, route_segments, routes,
                                   table)
 from waymark.plans.registry import query
 from waymark.plans.score_queries import FRACTIONS
 from waymark.plans.sql_text import CLASS_FLAGS, CLASS_VIOLATIONS
 from waymark.rulesets import fabrication as fab
-from waymark.session import by_distinct, cut_lineage
+from waymark.session import by_distinct, cut_lineage, small
 
 KEYS = ["user_id", "family"]
 
@@ -140,50 +140,46 @@ def certified_sequences(spark, sf):
 
 # -- legality-aware next steps and completions --------------------------------------------------------
 
-def step_profile(df):
-    """next, mask, level, category of every distinct step."""
-    classed = S.with_classes(df.select("step").distinct())
-    return classed.select(F.col("step").alias("next"), F.col("class_mask").alias("mask"),
-                          fab.BY_CLASS.level_of(F.col("step")).alias("level"), "category")
-
-
 def model_and_prefixes(spark, sf, k):
-    """Candidate lists of the routes and the prefix states at every cut."""
+    """Candidate lists, step profiles, category pairs and the prefix states at every cut.
+
+    The n-gram table is written once; step profiles and the category grammar are
+    read off it, so the routes are scanned for the counts and for the prefixes only.
+    """
     rows = routes(spark, sf).withColumn("step", S.canonical(F.col("step")))
-    classed = S.with_classes(rows)
-    state = with_state(classed, fab.BY_CLASS, KEYS, ORDER, mask=F.col("class_mask"), total="n",
+    state = with_state(S.with_classes(rows), fab.BY_CLASS, KEYS, ORDER, mask=F.col("class_mask"), total="n",
                        lags={"lag1": (F.col("step"), 1), "lag2": (F.col("step"), 2),
-                             "previous_category": (F.col("category"), 1)})
-    counts = M.ngram_counts(state, KEYS)
-    lists = decode.candidates(counts, step_profile(rows), k)
+                             "previous_category": (F.col("category"), 1)},
+                       sums={"tests_before": (F.col("step") == decode.LAST_TEST).cast("bigint")})
+    lagged = M.with_lags(rows, KEYS, ORDER)
+    counts = cut_lineage(M.ngram_counts(lagged, KEYS))
+
+    closing = spark.createDataFrame([(decode.LAST_TEST,), (decode.TERMINAL,)], "step string")
+    steps = counts.filter("len = 0").select(F.col("next").alias("step")).unionByName(closing).distinct()
+    profile = cut_lineage(S.with_classes(steps).select(
+        F.col("step").alias("next"), F.col("class_mask").alias("mask"),
+        fab.BY_CLASS.level_of(F.col("step")).alias("level"), "category"))
+    kind = profile.select(F.col("next").alias("context"), F.col("category").alias("from_kind"))
+    pairs = (counts.filter("len = 1").join(kind, "context").join(profile, "next")
+             .select("from_kind", F.col("category").alias("to_kind")).distinct())
+
+    # a prefix is valid if no earlier row of it broke a rule: one more sum over the same sorted rows
+    judged = running_state(state.withColumn("broken", any_broken(fab.BY_CLASS).cast("bigint")), KEYS, ORDER,
+                           index="i", sums={"broken_before": F.col("broken")})
     fractions = F.explode(F.array(*[F.lit(f) for f in FRACTIONS])).alias("fraction")
-    cuts = state.select("*", fractions).filter(
+    cuts = judged.select("*", fractions).filter(
         F.col("step_index") == F.greatest(F.lit(1), F.floor(F.col("n") * F.col("fraction"))))
-    found = violations(state, fab.BY_CLASS, KEYS)
-    first = found.groupBy(*KEYS).agg(F.min("step_index").alias("first_bad"))
-    tested = running_state(rows, KEYS, ORDER, index="i").filter(F.col("step") == decode.LAST_TEST).groupBy(*KEYS).agg(
-        F.min("i").alias("first_test"))
-    prefixes = (cuts.join(first, KEYS, "left").join(tested, KEYS, "left")
-                .withColumns({"prefix_valid": F.coalesce(F.col("first_bad") >= F.col("step_index"), F.lit(True)),
-                              "has_test": F.coalesce(F.col("first_test") < F.col("step_index"), F.lit(False)),
-                              "cut": F.col("step_index")}))
+    prefixes = cuts.withColumns({"prefix_valid": F.col("broken_before") == 0, "has_test": F.col("tests_before") > 0,
+                                 "cut": F.col("step_index")})
     keep = [*KEYS, "fraction", "cut", "lag1", "lag2", "previous_category", "prefix_valid", "has_test",
             *decode.state_columns(fab.BY_CLASS), F.col("step").alias("gold")]
-    return rows, lists, prefixes.select(*keep)
-
-
-def closing_terms(spark, rows):
-    """Profiles of the steps, with the two closing steps among them in any case."""
-    extra = spark.createDataFrame([(decode.LAST_TEST,), (decode.TERMINAL,)], "step string")
-    return step_profile(rows.select("step").unionByName(extra))
+    return decode.candidates(counts, profile, k), profile, pairs, prefixes.select(*keep)
 
 
 @query("legality_rerank")
 def legality_rerank(spark, sf):
-    rows, lists, prefixes = model_and_prefixes(spark, sf, k=15)
-    with_candidates = M.back_off(prefixes, lists, ["lag1", "lag2"])
-    pairs = M.transitions(running_state(S.with_classes(rows), KEYS, ORDER, lags={"lag1": (F.col("category"), 1)}),
-                          "category")
+    lists, _, pairs, prefixes = model_and_prefixes(spark, sf, k=15)
+    with_candidates = M.back_off(prefixes, small(lists), ["lag1", "lag2"])
     out = decode.rerank(with_candidates, fab.BY_CLASS, 5, "soft", pairs)
     model = F.transform("candidates", lambda c: c["next"])
     return out.select("user_id", "fraction", "gold", F.array_join(F.slice(model, 1, 5), "|").alias("model_next"),
@@ -201,23 +197,23 @@ def baseline_next_to_model(spark, sf):
 
 @query("greedy_completion")
 def greedy_completion(spark, sf):
-    rows, lists, prefixes = model_and_prefixes(spark, sf, k=40)
-    out = decode.complete(prefixes, lists, fab.BY_CLASS, closing_terms(spark, rows), max_steps=8)
+    lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=40)
+    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=8)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"))
 
 
 @query("top_ten_completion")
 def top_ten_completion(spark, sf):
-    rows, lists, prefixes = model_and_prefixes(spark, sf, k=10)
-    out = decode.complete(prefixes, lists, fab.BY_CLASS, closing_terms(spark, rows), max_steps=8, top=10,
+    lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=10)
+    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=8, top=10,
                           fallback=True, finish=False)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"))
 
 
 @query("beam_completion")
 def beam_completion(spark, sf):
-    rows, lists, prefixes = model_and_prefixes(spark, sf, k=5)
-    out = decode.beam_complete(prefixes, [*KEYS, "fraction"], lists, fab.BY_CLASS, closing_terms(spark, rows), beam=3,
+    lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=5)
+    out = decode.beam_complete(prefixes, [*KEYS, "fraction"], lists, fab.BY_CLASS, profile, beam=3,
                                branch=5, max_steps=3)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"),
                       F.round("logp", 6).alias("logp"))
