@@ -11,7 +11,7 @@ from waymark.operators.rules import any_broken, with_state
 from waymark.plans.inputs import (ORDER, ROUTES, ROUTE_SEGMENTS, classed_segments, names, route_segments, routes,
                                   table)
 from waymark.plans.registry import query
-from waymark.plans.score_queries import FRACTIONS
+from waymark.plans.score_queries import FRACTIONS, NGRAMS
 from waymark.plans.sql_text import CLASS_FLAGS, CLASS_VIOLATIONS
 from waymark.rulesets import fabrication as fab
 from waymark.session import by_distinct, cut_lineage, small
@@ -176,7 +176,37 @@ def model_and_prefixes(spark, sf, k):
     return decode.candidates(counts, profile, k), profile, pairs, prefixes.select(*keep)
 
 
-@query("legality_rerank")
+_STATE = ["clean12", "expose15", "develop15", "develop12", "opener15", "fill6", "deposited", "cured", "sorted", "prior"]
+_CANDIDATE = [f"is_{e.lower()}" for e in fab.BY_CLASS.events]
+# the windows of the row after the cut are the state a candidate meets
+RERANK = f"""{ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS},
+{NGRAMS.replace('FROM j', 'FROM c')},
+n AS (SELECT user_id, count(*) AS n FROM j GROUP BY 1),
+d AS (SELECT DISTINCT step AS next, category AS kind, level AS c_level, {', '.join(f'{f} AS c_{f}' for f in _CANDIDATE)} FROM cx),
+e AS (SELECT l.user_id, l.step AS gold, l.lag1, l.lag2, fr AS fraction, {', '.join('cx.' + s for s in _STATE)}, pc.category AS kind0
+  FROM l JOIN n USING (user_id) JOIN cx ON cx.user_id = l.user_id AND cx.step_index = l.step_index
+  LEFT JOIN c pc ON pc.user_id = l.user_id AND pc.step_index = l.step_index - 1,
+  (SELECT unnest([0.6::DOUBLE, 0.8::DOUBLE]) AS fr) WHERE l.step_index = greatest(1, floor(n * fr))),
+gr AS (SELECT DISTINCT a.category AS k0, b.category AS k1 FROM c a JOIN c b ON b.user_id = a.user_id
+  AND b.step_index = a.step_index + 1),
+b AS (SELECT e.*, CASE WHEN lag2 IS NOT NULL THEN 2 ELSE 1 END AS want FROM e),
+k AS (SELECT b.*, r.rank, r.next, d.* EXCLUDE (next) FROM b JOIN r ON r.len = want AND r.rank <= 15
+  AND r.context = CASE want WHEN 2 THEN lag2 || '|' || lag1 ELSE lag1 END JOIN d ON d.next = r.next),
+g2 AS (SELECT *, CASE WHEN (c_is_deposition = 1 AND clean12 = 0) OR (c_is_metal_etch = 1 AND (expose15 = 0 OR develop15 = 0))
+    OR (c_is_patterned_etch = 1 AND develop12 = 0) OR (c_is_implant = 1 AND opener15 = 0) OR (c_is_cmp = 1 AND fill6 = 0)
+    OR coalesce(prior > 0 AND (c_level > prior + 1 OR c_level < prior), FALSE)
+    OR (c_is_pad_window_open = 1 AND (deposited = 0 OR cured = 0)) OR (c_is_electrical_test = 1 AND cured = 0)
+    OR (c_is_ship = 1 AND sorted = 0) OR (c_is_backside_metal = 1 AND cured = 0) THEN 2
+  WHEN EXISTS (SELECT 1 FROM gr WHERE k0 = kind0 AND k1 = kind) THEN 0 ELSE 1 END AS grp FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, fraction ORDER BY grp, rank) AS place FROM g2),
+rr AS (SELECT user_id, fraction, any_value(gold) AS gold,
+  string_agg(next, '|' ORDER BY rank) FILTER (rank <= 5) AS model_next,
+  string_agg(next, '|' ORDER BY place) FILTER (place <= 5) AS reranked,
+  string_agg(next, '|' ORDER BY rank) FILTER (rank <= 3) AS baseline3,
+  string_agg(next, '|' ORDER BY place) FILTER (place <= 3) AS model3 FROM o GROUP BY 1, 2)"""
+
+
+@query("legality_rerank", f"WITH {RERANK} SELECT user_id, fraction, gold, model_next, reranked FROM rr")
 def legality_rerank(spark, sf):
     lists, _, pairs, prefixes = model_and_prefixes(spark, sf, k=15)
     with_candidates = M.back_off(prefixes, small(lists), ["lag1", "lag2"])
@@ -186,7 +216,8 @@ def legality_rerank(spark, sf):
                       F.array_join("reranked", "|").alias("reranked"))
 
 
-@query("baseline_next_to_model")
+@query("baseline_next_to_model", f"""WITH {RERANK}
+SELECT user_id, fraction, baseline3 AS baseline_next, model3 AS model_next FROM rr""")
 def baseline_next_to_model(spark, sf):
     """The plain and the legality-aware three next steps side by side, with the tail of the prefix."""
     out = legality_rerank(spark, sf)
