@@ -56,7 +56,10 @@ def ranked_next(counts: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def candidate_lists(counts: DataFrame, k: int) -> DataFrame:
-    """One row per context: its k best successors with their share, in order."""
+    """One row per context: its k best successors with their share, in order.
+
+    counts is read twice (ranking and totals), so callers write it once.
+    """
     totals = counts.groupBy("len", "context").agg(F.sum("cnt").alias("total"))
     top = ranked_next(counts, k).join(totals, ["len", "context"])
     item = F.struct("rank", "next", (F.col("cnt") / F.col("total")).alias("p"))
@@ -85,7 +88,10 @@ def back_off(prefixes: DataFrame, lists: DataFrame, lags: Sequence[str], out: st
 # -- likelihood -------------------------------------------------------------------------
 
 def sequence_nll(lagged: DataFrame, counts: DataFrame, keys: Sequence[str], step: str = "step") -> DataFrame:
-    """Mean negative log-likelihood per sequence under add-one bigrams."""
+    """Mean negative log-likelihood per sequence under add-one bigrams.
+
+    counts is read three times, so callers write it once.
+    """
     pairs = counts.filter(F.col("len") == 1).select(F.col("context").alias("lag1"), F.col("next").alias(step), "cnt")
     totals = pairs.groupBy("lag1").agg(F.sum("cnt").alias("total"))
     size = counts.filter(F.col("len") == 0).agg(F.count(F.lit(1)).alias("v")).scalar()
@@ -173,6 +179,20 @@ def split(df: DataFrame, group: str, order: Sequence[str], val: float = 0.1, tes
     return ranked.withColumn("part", part).drop("__rank", "__n")
 
 
+def holdout_examples(df: DataFrame, holdout: str, fraction: float, *, held_out: bool = False,
+                     first: int | None = None, order: str | None = None) -> DataFrame:
+    """Cut every sequence (family, steps) of the other families, or of the held-out one, at a fraction.
+
+    Sequences with nothing behind the cut are left out. ``first`` takes that many
+    sequences in the given order, as a small probe set.
+    """
+    rows = df.filter((F.col("family") == holdout) if held_out else (F.col("family") != holdout))
+    if first is not None:
+        rows = rows.orderBy(order).limit(first)
+    cut = F.greatest(F.lit(1), F.floor(F.size("steps") * F.lit(float(fraction)))).cast("int")
+    return rows.withColumn("cut", cut).filter(F.col("cut") < F.size("steps"))
+
+
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int,
                     hot_rows: int | None = None) -> DataFrame:
     """n draws with replacement, each key with probability proportional to its weight.
@@ -180,7 +200,8 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int,
     Draws are hashed uniform numbers placed on the line of running weights; each
     takes the key whose stretch it falls into (an as-of lookup in one scan).
     """
-    items = df.select(F.lit(0).alias("__all"), F.col(key).alias("key"), F.col(weight).alias("w"))
+    items = df.filter(F.col(weight) > 0).select(F.lit(0).alias("__all"), F.col(key).alias("key"),
+                                                F.col(weight).alias("w"))
     line = running_state(items, ["__all"], ["key"], sums={"start": F.col("w")}, hot_rows=hot_rows)
     total = df.agg(F.sum(weight)).scalar()
     draws = df.sparkSession.range(n).select(

@@ -190,6 +190,19 @@ def first_violation(found: DataFrame, book: RuleBook, keys: Sequence[str]) -> Da
     return found.groupBy(*keys).agg(best).select(*keys, "v.rule", "v.step_index")
 
 
+def oracle(found: DataFrame, sequences: DataFrame, book: RuleBook, keys: Sequence[str]) -> DataFrame:
+    """keys, is_valid (1 or 0) and the attributed rule ('' if valid) of every sequence."""
+    first = first_violation(found, book, keys).select(*keys, "rule")
+    joined = sequences.select(*keys).distinct().join(first, list(keys), "left")
+    return joined.select(*keys, F.col("rule").isNull().cast("int").alias("is_valid"),
+                         F.coalesce("rule", F.lit("")).alias("rule"))
+
+
+def violation_text() -> Column:
+    """'[rule] step i ('name'): description' of a row of ``violations``."""
+    return F.format_string("[%s] step %d ('%s'): %s", "rule", "step_index", "step", "description")
+
+
 def report(found: DataFrame, sequences: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per sequence: validity, number of violations, its distinct rules in order.
 

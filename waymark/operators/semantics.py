@@ -104,6 +104,14 @@ def describe(steps: DataFrame, semantics: DataFrame) -> DataFrame:
     return out.select("step", F.coalesce("own", "of_twin", "of_match", general).alias("description"))
 
 
+def look_up(steps: DataFrame, texts: DataFrame) -> DataFrame:
+    """step, description: the text recorded for the upper-case name, else for the name as it is."""
+    raw = texts.select("step", F.col("description").alias("as_is"))
+    upper = texts.select(F.col("step").alias("up"), F.col("description").alias("as_upper"))
+    out = steps.withColumn("up", F.upper("step")).join(upper, "up", "left").join(raw, "step", "left")
+    return out.select("step", F.coalesce("as_upper", "as_is").alias("description"))
+
+
 def render(step: Column, description: Column, parameters: Column) -> Column:
     """'step: description  [params: first]'."""
     first = F.get(parameters, F.lit(0))

@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from waymark.functions import steps as S
 from waymark.operators import advisory
 from waymark.operators.ordered import running_state, segments
-from waymark.operators.rules import (check, first_violation, report, violations, with_state)
+from waymark.operators.rules import (check, first_violation, oracle, report, violation_text, violations,
+                                     with_state)
 from waymark.plans.inputs import (GRADED, JOURNEY_BOOK, JOURNEY_BOOK_BY_STEP, JOURNEYS, MAX_LEN, ORDER, ROUTES,
                                   isin, journey_segments, journeys, routes, table)
 from waymark.plans.registry import query
@@ -181,6 +182,23 @@ def fab_first_violation(spark, sf):
     return first_violation(found, fab.EXACT, ["user_id", "family"])
 
 
+@query("rule_oracle", f"""WITH {ROUTES}, {exact_violations()}, r AS (SELECT *, row_number() OVER (
+  PARTITION BY user_id ORDER BY rule_ord, step_index) AS n FROM v),
+u AS (SELECT DISTINCT user_id, family FROM j)
+SELECT u.user_id, u.family, CAST(r.rule IS NULL AS INT) AS is_valid, coalesce(r.rule, '') AS rule
+FROM u LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON r.user_id = u.user_id""")
+def rule_oracle(spark, sf):
+    found = violations(exact_state(spark, sf), fab.EXACT, ["user_id", "family"])
+    return oracle(found, routes(spark, sf), fab.EXACT, ["user_id", "family"])
+
+
+@query("violation_texts", f"""WITH {JOURNEY_RULES} SELECT user_id, '[' || rule || '] step ' || step_index || ' (''' || step
+  || '''): ''' || step || ''' needs CLICK within 3 steps before it' AS line FROM v WHERE rule = 'PURCHASE_NO_CLICK'""")
+def violation_texts(spark, sf):
+    found = journey_violations(spark, sf).filter(F.col("rule") == "PURCHASE_NO_CLICK")
+    return found.select("user_id", violation_text().alias("line"))
+
+
 @query("fab_class_violations", f"""WITH {ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS}
 SELECT user_id, family, rule, step_index, step FROM cv""")
 def fab_class_violations(spark, sf):

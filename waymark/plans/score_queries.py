@@ -15,6 +15,7 @@ from waymark.plans.inputs import (FAMILIES, JOURNEY_BOOK, JOURNEYS, MAX_LEN, ORD
 from waymark.plans.registry import query
 from waymark.plans.rule_queries import JOURNEY_RULES, journey_violations
 from waymark.plans.sql_text import block_case, category_case
+from waymark.session import cut_lineage, small
 
 FRACTIONS = [0.6, 0.8]
 FAMILY_SQL = f"[{names(FAMILIES)}][CAST(user_id % 3 AS INT) + 1]"
@@ -72,6 +73,15 @@ def next_step_gold(spark, sf):
     return joined.select("example_id", F.coalesce(step, F.lit("")).alias("next_step"))
 
 
+@query("holdout_examples", f"""WITH {ROUTES}, {ROUTE_SEGMENTS}, c AS (SELECT *, CAST(greatest(1, floor(len(steps) * 0.8::DOUBLE))
+  AS INT) AS cut FROM s WHERE family <> 'IGBT')
+SELECT user_id, segment, family, cut, steps[cut + 1] AS next_step FROM c WHERE cut < len(steps)""")
+def holdout_examples(spark, sf):
+    """One example per sequence of the families that are not held out, where something follows the cut."""
+    return M.holdout_examples(route_segments(spark, sf), "IGBT", 0.8).select(
+        "user_id", "segment", "family", "cut", F.get("steps", F.col("cut")).alias("next_step"))
+
+
 @query("suffix_gold", f"""WITH {JOURNEYS}, {SEGMENTS}, {EXAMPLES}
 SELECT example_id, array_to_string(suffix, '|') AS suffix, CAST(len(suffix) AS INT) AS n FROM x""")
 def suffix_gold(spark, sf):
@@ -96,18 +106,19 @@ def lagged_journeys(spark, sf):
 
 
 def journey_ngrams(spark, sf):
-    return M.ngram_counts(lagged_journeys(spark, sf), ["user_id"])
+    """The n-gram table, written once for its several readers."""
+    return cut_lineage(M.ngram_counts(lagged_journeys(spark, sf), ["user_id"]))
 
 
 @query("ngram_counts", f"WITH {JOURNEYS}, {NGRAMS} SELECT len, context, next, CAST(cnt AS BIGINT) AS cnt FROM g")
 def ngram_counts(spark, sf):
-    return journey_ngrams(spark, sf).drop("first_seen")
+    return M.ngram_counts(lagged_journeys(spark, sf), ["user_id"]).drop("first_seen")
 
 
 @query("ngram_topk", f"""WITH {JOURNEYS}, {NGRAMS} SELECT len, context, next, CAST(cnt AS BIGINT) AS cnt,
   CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
 def ngram_topk(spark, sf):
-    return M.ranked_next(journey_ngrams(spark, sf), 3).drop("first_seen")
+    return M.ranked_next(M.ngram_counts(lagged_journeys(spark, sf), ["user_id"]), 3).drop("first_seen")
 
 
 @query("unigram_topk", f"""WITH {JOURNEYS}, {NGRAMS} SELECT next AS step, CAST(cnt AS BIGINT) AS cnt FROM r
@@ -130,7 +141,7 @@ def predicted(df, keys):
     """Top five next steps by back-off for every cut of every sequence."""
     lagged = running_state(df, keys, ORDER, total="n",
                            lags={"lag1": (F.col("step"), 1), "lag2": (F.col("step"), 2)})
-    lists = M.candidate_lists(M.ngram_counts(lagged, keys), 5)
+    lists = small(M.candidate_lists(cut_lineage(M.ngram_counts(lagged, keys)), 5))
     out = M.back_off(prefix_rows(lagged), lists, ["lag1", "lag2"])
     return out.withColumn("ranks", F.transform("candidates", lambda c: c["next"]))
 

@@ -203,26 +203,32 @@ rr AS (SELECT user_id, fraction, any_value(gold) AS gold,
   string_agg(next, '|' ORDER BY rank) FILTER (rank <= 5) AS model_next,
   string_agg(next, '|' ORDER BY place) FILTER (place <= 5) AS reranked,
   string_agg(next, '|' ORDER BY rank) FILTER (rank <= 3) AS baseline3,
-  string_agg(next, '|' ORDER BY place) FILTER (place <= 3) AS model3 FROM o GROUP BY 1, 2)"""
+  string_agg(next, '|' ORDER BY place) FILTER (place <= 3) AS model3,
+  any_value(CASE WHEN lag2 IS NULL THEN lag1 ELSE lag2 || ' -> ' || lag1 END) AS tail FROM o GROUP BY 1, 2)"""
 
 
-@query("legality_rerank", f"WITH {RERANK} SELECT user_id, fraction, gold, model_next, reranked FROM rr")
-def legality_rerank(spark, sf):
+def reranked(spark, sf):
     lists, _, pairs, prefixes = model_and_prefixes(spark, sf, k=15)
     with_candidates = M.back_off(prefixes, small(lists), ["lag1", "lag2"])
     out = decode.rerank(with_candidates, fab.BY_CLASS, 5, "soft", pairs)
     model = F.transform("candidates", lambda c: c["next"])
     return out.select("user_id", "fraction", "gold", F.array_join(F.slice(model, 1, 5), "|").alias("model_next"),
-                      F.array_join("reranked", "|").alias("reranked"))
+                      F.array_join("reranked", "|").alias("reranked"),
+                      F.concat_ws(" -> ", "lag2", "lag1").alias("prefix_tail"))
+
+
+@query("legality_rerank", f"WITH {RERANK} SELECT user_id, fraction, gold, model_next, reranked FROM rr")
+def legality_rerank(spark, sf):
+    return reranked(spark, sf).drop("prefix_tail")
 
 
 @query("baseline_next_to_model", f"""WITH {RERANK}
-SELECT user_id, fraction, baseline3 AS baseline_next, model3 AS model_next FROM rr""")
+SELECT user_id, fraction, tail AS prefix_tail, baseline3 AS baseline_next, model3 AS model_next FROM rr""")
 def baseline_next_to_model(spark, sf):
     """The plain and the legality-aware three next steps side by side, with the tail of the prefix."""
-    out = legality_rerank(spark, sf)
+    out = reranked(spark, sf)
     first = lambda c: F.array_join(F.slice(F.split(c, r"\|"), 1, 3), "|")
-    return out.select("user_id", "fraction", first("model_next").alias("baseline_next"),
+    return out.select("user_id", "fraction", "prefix_tail", first("model_next").alias("baseline_next"),
                       first("reranked").alias("model_next"))
 
 
