@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.ordered import running_state
 from waymark.rulesets.fabrication import SPECIAL_TOKENS
+from waymark.session import cut_lineage
 
 SEP = "|"
 
@@ -105,9 +106,10 @@ def sequence_nll(lagged: DataFrame, counts: DataFrame, keys: Sequence[str], step
 
 def order_statistic(df: DataFrame, value: str, quantile: float, hot_rows: int | None = None) -> DataFrame:
     """sorted[min(n - 1, int(q * n))], exactly; not interpolated."""
-    counted = df.groupBy(F.lit(0).alias("__all"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    counted = cut_lineage(df.groupBy(F.lit(0).alias("__all"), F.col(value).alias("value"))
+                          .agg(F.count(F.lit(1)).alias("cnt")))
     ranked = running_state(counted, ["__all"], ["value"], sums={"below": F.col("cnt")}, hot_rows=hot_rows)
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = counted.agg(F.sum("cnt")).scalar()
     at = F.least(n - 1, F.floor(F.lit(float(quantile)) * n))
     return ranked.filter((at >= F.col("below")) & (at < F.col("below") + F.col("cnt"))).select(
         F.col("value").alias("threshold"))
@@ -148,7 +150,12 @@ def distinct_sequences(df: DataFrame, steps: str, row_order: str) -> DataFrame:
 
 
 def bucket_weights(lengths: DataFrame, length: str, buckets: int = 8) -> DataFrame:
-    """Sampling weight of each row so that every occupied length bucket has the same mass."""
+    """Sampling weight of each row so that every occupied length bucket has the same mass.
+
+    The lengths are needed for their range, the bucket sizes and the rows, so the
+    table (one row per sequence) is written once.
+    """
+    lengths = cut_lineage(lengths)
     low = lengths.agg(F.min(length)).scalar()
     high = lengths.agg(F.max(length)).scalar()
     span = F.greatest(F.lit(1), high - low)
@@ -200,10 +207,10 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int,
     Draws are hashed uniform numbers placed on the line of running weights; each
     takes the key whose stretch it falls into (an as-of lookup in one scan).
     """
-    items = df.filter(F.col(weight) > 0).select(F.lit(0).alias("__all"), F.col(key).alias("key"),
-                                                F.col(weight).alias("w"))
+    items = cut_lineage(df.filter(F.col(weight) > 0).select(F.lit(0).alias("__all"), F.col(key).alias("key"),
+                                                            F.col(weight).alias("w")))
     line = running_state(items, ["__all"], ["key"], sums={"start": F.col("w")}, hot_rows=hot_rows)
-    total = df.agg(F.sum(weight)).scalar()
+    total = items.agg(F.sum("w")).scalar()
     draws = df.sparkSession.range(n).select(
         F.lit(0).alias("__all"), F.col("id").alias("draw"),
         (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) / float(1 << 53) * total).alias("at"))

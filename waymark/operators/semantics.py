@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions.steps import category, lookup
 from waymark.rulesets import fabrication as fab
-from waymark.session import by_distinct
+from waymark.session import by_distinct, cut_lineage
 
 
 def merge_semantics(rows: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def best_match(left: DataFrame, right: DataFrame, group: str, name: str, thresho
 
     def tokens(df: DataFrame, *extra: str) -> DataFrame:
         split = F.array_distinct(F.filter(F.split(F.trim(F.col(name)), r"\s+"), lambda t: t != ""))
-        return df.select(group, name, *extra, split.alias("tokens")).distinct()
+        return cut_lineage(df.select(group, name, *extra, split.alias("tokens")).distinct())  # read three times
 
     a = tokens(left)
     b = tokens(right, *([rank] if rank != name else []))
@@ -92,8 +92,9 @@ def describe(steps: DataFrame, semantics: DataFrame) -> DataFrame:
     def with_kind(df: DataFrame) -> DataFrame:
         return by_distinct(df, "step", lambda n: n.withColumn("kind", category(F.col("step"))))
 
-    known = semantics.filter(F.size("descriptions") > 0).select("step", F.get("descriptions", F.lit(0)).alias("text"))
-    wanted = with_kind(steps.select("step").distinct())
+    known = cut_lineage(semantics.filter(F.size("descriptions") > 0).select(
+        "step", F.get("descriptions", F.lit(0)).alias("text")))
+    wanted = cut_lineage(with_kind(steps.select("step").distinct()))
     twin = lookup(fab.DOCUMENTED_TWINS, F.col("step"), F.lit(None).cast("string"))
     out = wanted.join(known.withColumnRenamed("text", "own"), "step", "left").withColumn("twin", twin)
     out = out.join(known.select(F.col("step").alias("twin"), F.col("text").alias("of_twin")), "twin", "left")

@@ -13,6 +13,7 @@ from waymark.plans.registry import query
 from waymark.plans.score_queries import LAGGED, NGRAMS, lagged_journeys, journey_ngrams, rounded
 from waymark.plans.sql_text import category_case
 from waymark.rulesets import fabrication as fab
+from waymark.session import cut_lineage
 
 
 @query("category_grammar", f"""WITH {ROUTES}, {LAGGED} SELECT DISTINCT {category_case('lag1')} AS from_kind,
@@ -225,7 +226,7 @@ th AS (SELECT nll AS t FROM o WHERE i = least(n - 1, CAST(floor(0.9::DOUBLE * n)
 SELECT user_id, CAST(nll <= t AS INT) AS is_valid, round(1 / (1 + exp(nll - t)), 6) AS p_valid FROM nll, th""")
 def nll_verdicts(spark, sf):
     scored = M.sequence_nll(lagged_journeys(spark, sf), journey_ngrams(spark, sf), ["user_id"])
-    scored = scored.withColumn("nll", F.round("nll", 12))
+    scored = cut_lineage(scored.withColumn("nll", F.round("nll", 12)))  # for the threshold and for the rows
     limit = M.order_statistic(scored, "nll", 0.9).scalar()
     return scored.select("user_id", (F.col("nll") <= limit).cast("int").alias("is_valid"),
                          F.round(M.p_valid(F.col("nll"), limit), 6).alias("p_valid"))
@@ -235,8 +236,7 @@ def nll_verdicts(spark, sf):
 def weighted_draws(spark, sf):
     """As many draws with replacement as there are journeys, by length-bucket weight."""
     weights = M.bucket_weights(lengths(spark, sf), "n")
-    rows = lengths(spark, sf).count()
-    return M.weighted_sample(weights, "user_id", "weight", rows, seed=7)
+    return M.weighted_sample(weights, "user_id", "weight", weights.count(), seed=7)
 
 
 @query("strided_sample", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)

@@ -9,7 +9,8 @@ from waymark.operators import serving
 from waymark.operators.ordered import running_state
 from waymark.plans.inputs import JOURNEYS, ORDER, SEGMENTS, journey_segments, journeys, table
 from waymark.plans.registry import query
-from waymark.plans.score_queries import CUTS, EXAMPLES, FAMILY_SQL, NGRAMS, examples, predicted, with_predictions
+from waymark.plans.score_queries import CUTS, EXAMPLES, NGRAMS, examples, predicted, with_predictions
+from waymark.session import cut_lineage
 
 
 def results(spark, sf):
@@ -44,7 +45,8 @@ def three_way_result_join(spark, sf):
 @query("paged_results", f"""WITH {RESULTS} SELECT *, CAST((SELECT count(*) FROM res WHERE family = 'IGBT') AS BIGINT) AS total
 FROM res WHERE family = 'IGBT' ORDER BY partial_step_count DESC, example_id LIMIT 20 OFFSET 20""")
 def paged_results(spark, sf):
-    rows = serving.choose(results(spark, sf), family="IGBT")
+    # written once: the page and the total both read it, as further pages would
+    rows = cut_lineage(serving.choose(results(spark, sf), family="IGBT"))
     return serving.page(rows, SORTABLE, "partial_step_count", True, 2, 20, "example_id", "completion_fraction")
 
 
