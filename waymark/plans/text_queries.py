@@ -11,6 +11,7 @@ from waymark.operators import serving
 from waymark.plans.inputs import routes, table
 from waymark.plans.registry import query
 from waymark.rulesets import fabrication as fab
+from waymark.session import spread
 
 
 # -- parameter texts built from the line items -------------------------------------------------
@@ -26,7 +27,8 @@ def parameter_texts(spark, sf):
                                        F.lit(" Torr; "), i("l_partkey"), F.lit(" µm, 30s")))
             .otherwise(F.concat(i("l_partkey"), F.lit(" rpm; -"), i("l_quantity"), F.lit(" keV; "), i("l_suppkey"),
                                 F.lit(" W; 5 slm, 300 mm"))))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"))
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_suppkey", "l_partkey"]
+    return spread(table(spark, sf, "lineitem").select(*columns)).select("l_orderkey", "l_linenumber", text.alias("text"))
 
 
 _I = "CAST(floor({}) AS BIGINT)"
@@ -73,7 +75,7 @@ q AS ({' UNION ALL '.join(_found(*r) for r in fab.QUANTITIES)})
 SELECT quantity, unit, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1, 2""")
 def document_quantities(spark, sf):
     """Quantities in the whole texts of the documents."""
-    found = Q.extract(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    found = Q.extract(spread(table(spark, sf, "documents").select("doc_id", "text")), "text")
     return found.groupBy("quantity", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 

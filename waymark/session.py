@@ -44,6 +44,15 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan of fewer partitions than cores, dealt out evenly; larger scans stay as they are.
+
+    For costly work per row only, on a scan straight from files.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def by_distinct(df: DataFrame, column: str, build: Callable[[DataFrame], DataFrame],
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add columns that depend on one column only, computed once per distinct value.
