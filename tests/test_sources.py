@@ -1,13 +1,11 @@
 """Readers and writers on small files, and the streams."""
 
 import json
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import quantities as Q
-from waymark.functions import steps as S
 from waymark.operators import mining as M, semantics as D
 from waymark.operators.rules import check
 from waymark.plans import inputs

@@ -8,7 +8,7 @@ from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.operators import mining as M
 from waymark.operators.ordered import running_state, segments
-from waymark.plans.inputs import (JOURNEYS, ORDER, ROUTES, SEGMENTS, journey_segments, journeys, names, routes, table)
+from waymark.plans.inputs import JOURNEYS, ORDER, ROUTES, names, routes, table
 from waymark.plans.registry import query
 from waymark.plans.score_queries import LAGGED, NGRAMS, lagged_journeys, journey_ngrams, rounded
 from waymark.plans.sql_text import category_case

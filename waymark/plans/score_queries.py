@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import arrays as A
-from waymark.functions import steps as S
 from waymark.operators import evaluate as E
 from waymark.operators import mining as M
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import violations, with_state
-from waymark.plans.inputs import (FAMILIES, JOURNEY_BOOK, JOURNEYS, MAX_LEN, ORDER, ROUTES, ROUTE_SEGMENTS, SEGMENTS,
-                                  journey_segments, journeys, names, route_segments, routes)
+from waymark.plans.inputs import (FAMILIES, JOURNEYS, ORDER, ROUTES, ROUTE_SEGMENTS, SEGMENTS, journey_segments,
+                                  journeys, names, route_segments, routes)
 from waymark.plans.registry import query
 from waymark.plans.rule_queries import JOURNEY_RULES, journey_violations
 from waymark.plans.sql_text import block_case, category_case

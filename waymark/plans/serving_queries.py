@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.functions import arrays as A
 from waymark.operators import serving
 from waymark.operators.ordered import running_state
 from waymark.plans.inputs import JOURNEYS, ORDER, SEGMENTS, journey_segments, journeys, table
