@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import mixing, sharding
+from waymark.llm import mixing, records, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +23,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Fixed values of the url contract.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def ruled(pages: DataFrame) -> DataFrame:
+    named = pages.select("page_id", "url", url_rules.host(F.col("url")).alias("host"), url_rules.path(F.col("url")).alias("path"))
+    return named.withColumn("rule", url_rules.fixed_rule(F.col("host"), F.col("path"), URL_RULES))
+
+
+def rule_verdict(rule: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in URL_RULES.items() for x in pair])[rule]
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; the urls that a fixed rule judges are the labels of the mined rules."""
+    pages = ruled(read(spark, sf_dir, "pages"))
+    mined = url_rules.mine(pages.select("url", rule_verdict(F.col("rule")).alias("label")))
+    judged = url_rules.judge(pages, mined)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce(rule_verdict(F.col("rule")), F.col("verdict")).alias("verdict"), "mined_rule")
+
+
+@query
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the record files."""
+    index = records.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    shuffled = index.repartition("shard")
+    return records.digests(shuffled).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
