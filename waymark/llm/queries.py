@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import mixing, quality, records, sharding, url_rules
+from waymark.llm import mixing, quality, records, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,9 @@ SQL["op6_sharding"] = f"""
 SELECT doc_id, [{",".join(map(str, sharding.fill(SHARDS)))}][1 +
        CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, {sharding.DIGITS}) AS BIGINT) % {sharding.TABLE_SIZE}] AS shard
 FROM documents"""
+
+
+@query
+def op8_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the smallest id of its linked group, at 4 words and a similarity of 0.85."""
+    return similar_sets.linked_groups(read(spark, sf_dir, "documents"))
