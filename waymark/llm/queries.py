@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import mixing, quality, records, sharding, similar_sets, url_rules
+from waymark.llm import mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ FROM documents"""
 def op8_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and the smallest id of its linked group, at 4 words and a similarity of 0.85."""
     return similar_sets.linked_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of 0.95 or more and the smallest id of its linked group."""
+    return near_vectors.linked_vectors(read(spark, sf_dir, "embeddings"))
