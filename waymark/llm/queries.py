@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
+from waymark.llm import decontamination, mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,12 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", F.coalesce(rule_verdict(F.col("rule")), F.col("verdict")).alias("verdict"), "mined_rule")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, item_id, share): every benchmark item that a document holds, verbatim or nearly so."""
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum, read back from the record files."""
