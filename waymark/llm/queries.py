@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import decontamination, mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
+from waymark.llm import decontamination, labelled_pages, main_text, mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +95,14 @@ def op8_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets.linked_groups(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and its length."""
+    model = main_text.train(labelled_pages.labelled_pages())
+    texts = main_text.extracted(read(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links at a cosine of 0.95 or more and the smallest id of its linked group."""
