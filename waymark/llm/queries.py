@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import decontamination, labelled_pages, main_text, mixing, near_vectors, quality, records, sharding, similar_sets, url_rules
+from waymark.llm import decontamination, labelled_pages, main_text, mixing, near_vectors, quality, records, repeats, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,13 @@ SELECT doc_id, [{",".join(map(str, sharding.fill(SHARDS)))}][1 +
 FROM documents"""
 
 
+@query
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    left = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and the smallest id of its linked group, at 4 words and a similarity of 0.85."""
