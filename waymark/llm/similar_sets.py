@@ -6,18 +6,21 @@ lie in one band or two neighbours; each set takes part in the instance of its ow
 and the next. An instance deals the feature domain to n1 groups of n2 parts by a hash
 and enumerates the subsets of n2 - k2 parts in each group: one signature for each.
 With n1 (k2 + 1) > k some group has at most k2 differing parts, so two similar sets
-share a signature. Parts of one element or none would make signatures that many
-unlike sets share. The instance therefore has `spare` parts more than it needs; a set
-with no more weak signatures than that leaves them out and still shares another, one
-with more keeps all.
+share a signature. Parts of few elements would make signatures that many unlike sets
+share. The instance therefore has spare groups, so that similar sets agree in one group
+more than there are spare ones. Each set leaves out its signatures of t elements or
+fewer, for the largest t that concerns no more groups than are spare: the set with the
+larger t of a similar pair has a group left in which they agree, and the other keeps
+that signature too.
 
 Sets that share a signature are compared by sketches first: one byte for each of a
 power-of-two number of parts, the sum of the elements' hashes. Parts that differ are
 at most as many as elements that differ, so a pair above k is no link. The remaining
 pairs of a group are verified on whole texts, surest first and only while they join
 two components, so a group of near copies yields a few pairs for each member, not all;
-rounds repeat until no untested pair could join two components. No pair that counts
-is dropped: groups above `BLOCK` members are compared block by block.
+groups with a pair that failed go another round, until no untested pair could join two
+components. No pair that counts is dropped: groups above `BLOCK` members are compared
+block by block.
 
 Results by case: null texts and texts without words have an empty set, linked with
 nothing; equal sets are linked whatever their ids; rows of one doc_id are one
@@ -39,8 +42,8 @@ from waymark.llm.shingles import mixed, shingle_sets
 from waymark.llm.tables import lookup, partitions_for, written
 
 N2, K2 = 2, 1
-WEAK, SPARE = 1, 0.12
-# Members of a group that are compared at once; pairs tested for one join of two components in a round.
+WEAK, SPARE = 5, 0.2
+# Members of a group that are compared at once; pairs tested for one join of two components in the first round, then 16 times as many.
 BLOCK, TRIES = 1000, 16
 BATCH = 500
 
@@ -79,27 +82,24 @@ def signatures(sizes: np.ndarray, elements: np.ndarray, similarity: float, step:
     group_owner = np.repeat(np.arange(len(sizes)), groups)
     group = np.arange(len(group_owner)) - np.repeat(np.cumsum(groups) - groups, groups)
     base = mixed(group.astype(np.uint64), 1) + mixed(instance[group_owner].astype(np.uint64), 3)
-    owners, found, weak = [], [], []
+    found, held = [], []
     for n, choice in enumerate(choices):
         value = mixed(base, 10 + n)
         for c in choice:
             value = mixed(value + total[:, c], 4)
-        owners.append(group_owner)
         found.append(value)
-        weak.append(count[:, list(choice)].sum(1) <= WEAK)
-    owners, found, weak = np.concatenate(owners), np.concatenate(found), np.concatenate(weak)
-    # A weak signature spoils its group alone; groups with one are counted against the spare ones.
-    spoilt = np.zeros(len(group_owner), bool)
-    for n in range(len(choices)):
-        spoilt |= weak[n * len(group_owner):(n + 1) * len(group_owner)]
-    many = np.bincount(group_owner[spoilt], minlength=len(sizes)) > spare
-    keep = ~weak | many[owners]
+        held.append(count[:, list(choice)].sum(1))
+    least, most_weak = np.minimum.reduce(held), np.full(len(sizes), -1)
+    for t in range(WEAK):
+        most_weak[np.bincount(group_owner[least <= t], minlength=len(sizes)) <= spare] = t
+    owners, found = np.tile(group_owner, len(choices)), np.concatenate(found)
+    keep = np.concatenate(held) > most_weak[owners]
     return owners[keep], found[keep]
 
 
 def sketch(elements: np.ndarray, similarity: float) -> bytes:
     """One byte for each of 2^j parts; sketches of two lengths compare after the longer one is folded."""
-    parts = 1 << int(np.ceil(np.log2(3 * differences(np.array(len(elements)), similarity) + 8)))
+    parts = 1 << int(np.ceil(np.log2(2 * differences(np.array(len(elements)), similarity) + 8)))
     hashed = mixed(elements, 21)
     sums = np.bincount((hashed % np.uint64(parts)).astype(np.int64), weights=((hashed >> np.uint64(40)) & np.uint64(255)).astype(float), minlength=parts)
     return (sums.astype(np.int64) & 255).astype(np.uint8).tobytes()
@@ -182,8 +182,8 @@ def _folded(data: bytes, parts: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, parts).sum(0, dtype=np.uint8)
 
 
-def _pairs(rows: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """The untested pairs of one group that may be links and would join two components, surest first, a few for each join."""
+def _pairs(rows: pd.DataFrame, similarity: float, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """The untested pairs of one group that may be links and would join two components, surest first, a few for each join; whether more were left."""
     ids, n, component = (rows[c].to_numpy(np.int64) for c in ("doc_id", "n", "component"))
     tested = {i: set(t) for i, t in zip(ids.tolist(), rows["tested"]) if t is not None and len(t)}
     block = rows["place"].to_numpy(np.int64) // BLOCK
@@ -207,21 +207,25 @@ def _pairs(rows: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
         a, b = sorted((int(component[one[e]]), int(component[two[e]])))
         if forest.join(a, b):
             tries[a, b] = 1
-        elif 0 < tries.get((a, b), 0) < TRIES:
+        elif 0 < tries.get((a, b), 0) < most:
             tries[a, b] += 1
         else:
             continue
         out.append((int(ids[one[e]]), int(ids[two[e]])))
-    return out
+    return out, len(out) < len(one)
 
 
-def _likely(similarity: float):
+def _likely(similarity: float, tries: int):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["group", "low", "high", "doc_id"], ignore_index=True)
         key = rows[["group", "low", "high"]].to_numpy()
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(rows)]
-        found = {pair for a, b in zip(cuts, cuts[1:]) if b - a > 1 for pair in _pairs(rows.iloc[a:b], similarity)}
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        out = []
+        for begin, end in zip(cuts, cuts[1:]):
+            if end - begin > 1:
+                found, more = _pairs(rows.iloc[begin:end], similarity, tries)
+                out += [(*key[begin], a, b, more) for a, b in found]
+        return pd.DataFrame(out, columns=["group", "low", "high", "a", "b", "more"]).astype({"group": "int64", "low": "int64", "high": "int64", "a": "int64", "b": "int64", "more": "bool"})
     return pairs
 
 
@@ -248,46 +252,53 @@ def linked_groups(docs: DataFrame, similarity: float = 0.85, width: int = 4, doc
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    named = rows.filter("doc_id IS NOT NULL")
     info = written(rows.mapInPandas(_described(similarity, width), "doc_id long, n long, h1 long, h2 long, sketch binary"), "set-info")
-    # Equal sets, and rows of one document, belong together without a comparison.
-    classes = written(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first")), "set-classes")
-    member = info.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"])
-    edges = [member.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))]
+    # Equal sets are one class, compared through its smallest id; rows of one document tie their classes.
+    equal = ["n", "h1", "h2"]
+    classes = lookup(written(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*equal).agg(F.min("doc_id").alias("first")), "set-classes"))
+    member = info.filter("doc_id IS NOT NULL").select("doc_id", *equal).join(classes, equal)
+    least = member.groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
+    edges = written(member.join(least, "doc_id").select(F.col("first").alias("a"), F.col("least").alias("b")), "set-ties")
+    copies = lookup(written(member.filter("doc_id <> first").select(F.col("doc_id").alias("copy")).distinct()
+                            .join(classes.select(F.col("first").alias("copy")), "copy", "left_anti"), "set-copies"))
+    firsts = rows.filter("doc_id IS NOT NULL").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     buckets = partitions_for(spark, docs.rdd.getNumPartitions(), 1)
-    packed = named.mapInPandas(_packed(similarity, width, buckets), "bucket int, ids binary, place binary, value binary")
+    packed = firsts.mapInPandas(_packed(similarity, width, buckets), "bucket int, ids binary, place binary, value binary")
     groups = packed.groupBy("bucket").applyInPandas(_groups, "group long, doc_id long, place long, members long").distinct()
+    mine, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("members") - 1) / BLOCK)
+    grouped = written(groups.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+                      .select("group", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"), "doc_id", "place"), "set-groups")
     sketches = info.filter("n > 0").select("doc_id", "n", "sketch").distinct()
-    grouped = written(groups.join(sketches, "doc_id"), "set-groups")
-    tested = None
+    tested, tries = None, TRIES
+    parts = components(edges)
     while True:
-        parts = components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]))
         state = grouped.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed_groups = state.groupBy("group").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("group")
-        state = state.join(mixed_groups, "group")
         if tested is None:
             state = state.withColumn("tested", F.array().cast("array<long>"))
         else:
-            partners = tested.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("tested"))
-            state = state.join(partners, "doc_id", "left")
-        last = F.floor((F.col("members") - 1) / BLOCK)
-        mine = F.floor(F.col("place") / BLOCK)
-        state = state.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("low", F.least(mine, "other")).withColumn("high", F.greatest(mine, "other"))
-        dealt = state.drop("other").withColumn("bucket", F.pmod(F.xxhash64("group", "low", "high"), F.lit(buckets)))
-        pairs = written(dealt.groupBy("bucket").applyInPandas(_likely(similarity), "a long, b long").distinct(), "set-pairs")
-        if pairs.isEmpty():
-            break
+            state = state.join(tested.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("tested")), "doc_id", "left")
+        dealt = state.join(sketches, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("group", "low", "high"), F.lit(buckets)))
+        likely = written(dealt.groupBy("bucket").applyInPandas(_likely(similarity, tries), "group long, low long, high long, a long, b long, more boolean"), "set-likely")
+        pairs = written(likely.select("a", "b").distinct(), "set-pairs")
         needed = lookup(written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "set-needed"))
-        texts = written(named.join(needed, named["doc_id"] == needed["id"]).select("id", "text").distinct(), "set-texts")
+        texts = written(rows.join(needed, F.col("doc_id") == F.col("id")).select("id", "text").distinct(), "set-texts")
         left = pairs.join(texts.toDF("a", "text_a"), "a")
         both = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         judged = written(both.mapInPandas(_verified(similarity, width), "a long, b long, linked boolean"), "set-links")
+        edges = edges.unionByName(judged.filter("linked").select("a", "b"))
+        parts = components(edges)
+        # A pair that failed and still lies between two components may have hidden others of its group; all else is settled.
+        apart = likely.filter("more").join(judged.filter("NOT linked").select("a", "b").distinct(), ["a", "b"])
+        for c in ("a", "b"):
+            apart = apart.join(parts.toDF(c, f"in_{c}"), c, "left").withColumn(f"in_{c}", F.coalesce(f"in_{c}", c))
+        again = written(apart.filter("in_a <> in_b").select("group", "low", "high").distinct(), "set-again")
+        if again.isEmpty():
+            break
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        links = judged.filter("linked").select("a", "b")
-        edges = [edges[0], links if len(edges) == 1 else edges[1].unionByName(links)]
-    found = parts.withColumnRenamed("node", "doc_id")
-    return (info.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+        grouped, tries = written(grouped.join(lookup(again), ["group", "low", "high"]), "set-groups"), tries * 16
+    known = info.select("doc_id", *equal).join(classes, equal, "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
+    return known.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
