@@ -196,7 +196,20 @@ def test_terminal_step_drops_the_state(spark, tmp_path):
 def test_contexts_follow_the_latest_steps(spark, sf, tmp_path):
     out = run_available(live_contexts(parts(spark, sf, tmp_path / "e", 2), "user_id", "ts", "event_id"), "ctx")
     lagged = M.with_lags(inputs.journeys(spark, sf, graded=True), ["user_id"], inputs.ORDER)
-    want = {r.user_id: (r.a, r.b) for r in lagged.groupBy("user_id").agg(
-        F.max_by("step", "step_index").alias("a"), F.max_by("lag1", "step_index").alias("b")).collect()}
-    got = rows(out, "user_id", "lag1", "lag2")
-    assert {(u, *v) for u, v in want.items()} <= set(got)
+    want = {r.user_id: (r.n, r.a, r.b) for r in lagged.groupBy("user_id").agg(
+        F.count("*").alias("n"), F.max_by("step", "step_index").alias("a"), F.max_by("lag1", "step_index").alias("b")).collect()}
+    latest = out.groupBy("user_id").agg(F.max("seen").alias("n"), F.max_by("lag1", "seen").alias("a"), F.max_by("lag2", "seen").alias("b"))
+    assert set(rows(latest, "user_id", "n", "a", "b")) == {(u, *v) for u, v in want.items()}
+
+
+def test_contexts_of_one_long_key_in_reversed_order(spark, tmp_path):
+    """Several micro-batches of several Arrow batches each, latest steps first."""
+    schema = "user_id long, ts timestamp, event_id long, step string"
+    for part in range(3):
+        ids = spark.range(36_000 - 12_000 * part, 24_000 - 12_000 * part, -1, 1)
+        ids.select(F.lit(1).cast("long").alias("user_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("event_id"),
+                   F.concat(F.lit("s"), "id").alias("step")).write.mode("append").parquet(str(tmp_path / "e"))
+    stream = R.read_event_stream(spark, str(tmp_path / "e"), schema, files_per_trigger=1)
+    out = run_available(live_contexts(stream, "user_id", "ts", "event_id"), "long")
+    last = max(rows(out, "seen", "lag1", "lag2"))
+    assert last == (36_000, "s36000", "s35999") and out.count() == 3

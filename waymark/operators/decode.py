@@ -42,11 +42,11 @@ def advance(book: RuleBook, mask: Column, level: Column, moved: Column) -> dict[
     return out
 
 
-def candidates(counts: DataFrame, profile: DataFrame, k: int) -> DataFrame:
+def candidates(counts: DataFrame, profile: DataFrame, k: int | None = None) -> DataFrame:
     """Candidate lists per context with the mask, level and category of each candidate.
 
-    profile has one row per step: next, mask, level, category. A list holds at
-    most k successors.
+    profile has one row per step: next, mask, level, category. Without k a list
+    holds all successors, at most the vocabulary.
     """
     lists = candidate_lists(counts, k)
     flat = lists.select("len", "context", F.explode("candidates").alias("c")).select("len", "context", "c.*")
@@ -105,11 +105,13 @@ def complete(prefixes: DataFrame, lists: DataFrame, book: RuleBook, terms: DataF
     Without options the whole list is searched and a prefix with no legal
     candidate stops. ``top`` looks at the first candidates only and ``fallback``
     then takes the first one although it is illegal. With ``finish`` the test and
-    the terminal step are appended where legal, and an invalid prefix gets none.
+    the terminal step are appended where legal, and an invalid prefix gets none,
+    so it isn't opened at all.
     """
     lists = small(lists)
+    begins = F.coalesce(F.col("lag1") != TERMINAL, F.lit(True))
     open_ = prefixes.withColumns({"completion": F.array().cast("array<string>"),
-                                  "open": F.coalesce(F.col("lag1") != TERMINAL, F.lit(True))})
+                                  "open": begins & F.col("prefix_valid") if finish else begins})
     done: list[DataFrame] = []
     for number in range(1, max_steps + 1):
         open_ = _greedy_round(open_, lists, book, top, fallback)
@@ -174,7 +176,7 @@ def beam_complete(prefixes: DataFrame, keys: Sequence[str], lists: DataFrame, bo
     """
     lists, keys = small(lists), list(keys)
     rows = prefixes.withColumns({"completion": F.array().cast("array<string>"), "logp": F.lit(0.0),
-                                 "kind": F.lit("live")})
+                                 "kind": F.when(F.col("prefix_valid"), "live").otherwise("done")})
     score = F.col("logp") / F.pow(F.greatest(F.size("completion"), F.lit(1)), F.lit(alpha))
     for number in range(1, max_steps + 1):
         rows = _beam_round(rows, keys, lists, book, beam, branch, score)

@@ -56,8 +56,8 @@ def ranked_next(counts: DataFrame, k: int | None = None) -> DataFrame:
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def candidate_lists(counts: DataFrame, k: int) -> DataFrame:
-    """One row per context: its k best successors with their share, in order.
+def candidate_lists(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """One row per context: its k best (or all) successors with their share, in order.
 
     counts is read twice (ranking and totals), so callers write it once.
     """

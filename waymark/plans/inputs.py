@@ -12,7 +12,8 @@ from waymark.session import by_distinct
 
 ORDER = ["ts", "event_id"]
 FAMILIES = ["MOSFET", "IGBT", "IC"]
-MAX_LEN = 512
+# Steps that one array row holds; far above any sequence that fits a task, so one row is one sequence.
+MAX_LEN = 32_768
 
 # Journeys graded by value: 'view 1', 'click 0', ...
 JOURNEY_BOOK = RuleBook(
@@ -47,6 +48,13 @@ NOVEL_STEPS = [
     "ANNEAL PASSIVATION FILM", "BOND PAD OPEN ETCH", "REAR CONTACT SPUTTER", "PROBE STATION RUN",
     "FINAL SORT TEST", "DISPATCH CRATES", "QUANTUM TUNING", "align mask  level 2 ", "CHECK PADDLE",
 ]
+# Names that break no rule in any order: routes of one user in seven; another seventh mixes in unknown names.
+QUIET_STEPS = [
+    "RECEIVE WAFER LOT", "RCA CLEAN 1", "HF DIP", "SPIN COAT PHOTORESIST", "ALIGN MASK LEVEL 1",
+    "EXPOSE LITHO LEVEL 1", "DEVELOP PHOTORESIST", "STRIP RESIST", "CLEAN AFTER ETCH",
+    "RAPID THERMAL ANNEAL", "MEASURE THICKNESS",
+]
+UNSURE_STEPS = [*QUIET_STEPS, "QUANTUM TUNING", "QUANTUM SETTLING"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,12 +72,15 @@ def journeys(spark: SparkSession, sf: str, graded: bool = False) -> DataFrame:
 def routes(spark: SparkSession, sf: str) -> DataFrame:
     """Fabrication routes: each event stands for a step chosen by its id and value."""
     number = F.col("event_id") * 7919 + F.floor("value")
-    known = F.element_at(F.array(*map(F.lit, ROUTE_STEPS)), (number % len(ROUTE_STEPS) + 1).cast("int"))
-    novel = F.element_at(F.array(*map(F.lit, NOVEL_STEPS)), (number % len(NOVEL_STEPS) + 1).cast("int"))
+
+    def pick(steps: list[str]):
+        return F.element_at(F.array(*map(F.lit, steps)), (number % len(steps) + 1).cast("int"))
+
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("user_id") % 3 + 1).cast("int"))
     return table(spark, sf, "events").select(
         "user_id", "ts", "event_id", family.alias("family"),
-        F.when(F.col("user_id") % 3 == 2, novel).otherwise(known).alias("step"))
+        F.when(F.col("user_id") % 7 == 0, pick(QUIET_STEPS)).when(F.col("user_id") % 7 == 1, pick(UNSURE_STEPS))
+        .when(F.col("user_id") % 3 == 2, pick(NOVEL_STEPS)).otherwise(pick(ROUTE_STEPS)).alias("step"))
 
 
 def journey_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +127,9 @@ GRADED = f"""j AS (SELECT user_id, ts, event_id,
   event_type AS kind, value, CAST(floor(value / 50) AS BIGINT) AS grade, {POSITION} AS step_index FROM events)"""
 _NUMBER = "(event_id * 7919 + CAST(floor(value) AS BIGINT))"
 ROUTES = f"""j AS (SELECT user_id, ts, event_id, [{names(FAMILIES)}][CAST(user_id % 3 AS INT) + 1] AS family,
-  CASE WHEN user_id % 3 = 2 THEN [{names(NOVEL_STEPS)}][CAST({_NUMBER} % {len(NOVEL_STEPS)} AS INT) + 1]
+  CASE WHEN user_id % 7 = 0 THEN [{names(QUIET_STEPS)}][CAST({_NUMBER} % {len(QUIET_STEPS)} AS INT) + 1]
+       WHEN user_id % 7 = 1 THEN [{names(UNSURE_STEPS)}][CAST({_NUMBER} % {len(UNSURE_STEPS)} AS INT) + 1]
+       WHEN user_id % 3 = 2 THEN [{names(NOVEL_STEPS)}][CAST({_NUMBER} % {len(NOVEL_STEPS)} AS INT) + 1]
        ELSE [{names(ROUTE_STEPS)}][CAST({_NUMBER} % {len(ROUTE_STEPS)} AS INT) + 1] END AS step,
   {POSITION} AS step_index FROM events)"""
 SEGMENTS = f"""s AS (SELECT user_id, CAST(step_index // {MAX_LEN} AS BIGINT) AS segment,

@@ -8,7 +8,7 @@ from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.operators import mining as M
 from waymark.operators.ordered import running_state, segments
-from waymark.plans.inputs import JOURNEYS, ORDER, ROUTES, names, routes, table
+from waymark.plans.inputs import JOURNEYS, MAX_LEN, ORDER, ROUTES, names, routes, table
 from waymark.plans.registry import query
 from waymark.plans.score_queries import LAGGED, NGRAMS, lagged_journeys, journey_ngrams, rounded
 from waymark.plans.sql_text import category_case
@@ -87,12 +87,12 @@ def vocabulary_ids(spark, sf):
     return M.vocabulary(routes(spark, sf))
 
 
-def encoded(spark, sf, limit=256):
-    """[BOS] [FAM] steps [EOS] as ids per segment, cut to the limit; ids come from a join on the rows."""
+def encoded(spark, sf, limit=MAX_LEN + 3):
+    """[BOS] [FAM] steps [EOS] as ids per segment; ids come from a join on the rows."""
     rows = running_state(routes(spark, sf), ["user_id", "family"], ORDER)
     vocab = M.vocabulary(routes(spark, sf)).select("token", F.col("id").cast("int").alias("id"))
     coded = rows.withColumn("token", S.to_token(F.col("step"))).join(vocab, "token", "left")
-    parts = segments(coded, ["user_id", "family"], {"id": F.coalesce("id", F.lit(1))}, steps="ids")
+    parts = segments(coded, ["user_id", "family"], {"id": F.coalesce("id", F.lit(1))}, steps="ids", max_len=MAX_LEN)
     family = F.element_at(F.array(*[F.lit(7 + i) for i in range(3)]),
                           (F.col("user_id") % 3 + 1).cast("int"))
     ids = F.concat(F.array(F.lit(2), family), F.col("ids"), F.array(F.lit(3)))
@@ -100,9 +100,9 @@ def encoded(spark, sf, limit=256):
 
 
 ENCODED = f"""{VOCAB}, ej AS (SELECT j.*, voc.id FROM j JOIN voc ON voc.token = replace(trim(step), ' ', '_')),
-es AS (SELECT user_id, family, CAST(step_index // 512 AS BIGINT) AS segment, list(id ORDER BY step_index) AS ids
+es AS (SELECT user_id, family, CAST(step_index // {MAX_LEN} AS BIGINT) AS segment, list(id ORDER BY step_index) AS ids
   FROM ej GROUP BY 1, 2, 3),
-enc AS (SELECT user_id, family, segment, list_concat([2, 7 + user_id % 3], ids, [3])[1:256] AS ids FROM es)"""
+enc AS (SELECT user_id, family, segment, list_concat([2, 7 + user_id % 3], ids, [3])[1:{MAX_LEN + 3}] AS ids FROM es)"""
 
 
 @query("encoded_sequences", f"""WITH {ROUTES}, {ENCODED}
@@ -140,7 +140,7 @@ def decoded_sequences(spark, sf):
     rows = encoded(spark, sf).select("user_id", "segment", F.posexplode("ids").alias("i", "id"))
     vocab = M.vocabulary(routes(spark, sf)).select(F.col("id").cast("int").alias("id"), "token")
     named = (rows.filter(F.col("id") >= len(fab.SPECIAL_TOKENS)).join(vocab, "id")
-             .groupBy("user_id", "segment")  # at most 256 rows per group
+             .groupBy("user_id", "segment")  # at most MAX_LEN + 3 rows per group
              .agg(F.array_sort(F.collect_list(F.struct("i", S.from_token(F.col("token")).alias("s")))).alias("x")))
     return named.select("user_id", "segment", F.array_join(F.transform("x", lambda x: x["s"]), "|").alias("steps"))
 

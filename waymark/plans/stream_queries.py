@@ -14,8 +14,11 @@ from waymark.streaming.monitor import live_contexts, live_next_steps, monitor, r
 
 
 def event_stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return read_event_stream(spark, sf, schema, "events.parquet")
+    """The events table as a stream, be it one file or a folder of part files."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    if all(f.endswith("/events.parquet") for f in events.inputFiles()):
+        return read_event_stream(spark, sf, events.schema, "events.parquet")
+    return read_event_stream(spark, f"{sf}/events.parquet", events.schema)
 
 
 @query("stream_rule_monitor", f"WITH {JOURNEY_RULES} SELECT user_id, rule, step_index, step FROM v")
@@ -23,7 +26,7 @@ def stream_rule_monitor(spark, sf):
     step = F.concat_ws(" ", "event_type", F.floor(F.col("value") / 50).cast("bigint").cast("string"))
     stream = event_stream(spark, sf).select("user_id", "ts", "event_id", step.alias("step"))
     found = monitor(stream, JOURNEY_BOOK, "user_id", "ts", "event_id")
-    return run_available(found, "monitor").filter("NOT late").select("user_id", "rule", "step_index", "step")
+    return run_available(found, "monitor").select("user_id", "rule", "step_index", "step")
 
 
 @query("stream_next_steps", f"""WITH {JOURNEYS}, {NGRAMS},
@@ -37,5 +40,5 @@ def stream_next_steps(spark, sf):
     stream = event_stream(spark, sf).select("user_id", "ts", "event_id", F.col("event_type").alias("step"))
     lists = M.candidate_lists(journey_ngrams(spark, sf), 3)
     out = live_next_steps(live_contexts(stream, "user_id", "ts", "event_id"), lists)
-    named = out.select("user_id", F.array_join(F.transform("candidates", lambda c: c["next"]), "|").alias("next_steps"))
-    return run_available(named, "next_steps")
+    named = out.select("user_id", "seen", F.array_join(F.transform("candidates", lambda c: c["next"]), "|").alias("next_steps"))
+    return run_available(named, "next_steps").groupBy("user_id").agg(F.max_by("next_steps", "seen").alias("next_steps"))

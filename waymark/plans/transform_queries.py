@@ -140,7 +140,7 @@ def certified_sequences(spark, sf):
 
 # -- legality-aware next steps and completions --------------------------------------------------------
 
-def model_and_prefixes(spark, sf, k):
+def model_and_prefixes(spark, sf, k=None):
     """Candidate lists, step profiles, category pairs and the prefix states at every cut.
 
     The n-gram table is written once; step profiles and the category grammar are
@@ -190,7 +190,7 @@ e AS (SELECT l.user_id, l.step AS gold, l.lag1, l.lag2, fr AS fraction, {', '.jo
 gr AS (SELECT DISTINCT a.category AS k0, b.category AS k1 FROM c a JOIN c b ON b.user_id = a.user_id
   AND b.step_index = a.step_index + 1),
 b AS (SELECT e.*, CASE WHEN lag2 IS NOT NULL THEN 2 ELSE 1 END AS want FROM e),
-k AS (SELECT b.*, r.rank, r.next, d.* EXCLUDE (next) FROM b JOIN r ON r.len = want AND r.rank <= 15
+k AS (SELECT b.*, r.rank, r.next, d.* EXCLUDE (next) FROM b JOIN r ON r.len = want
   AND r.context = CASE want WHEN 2 THEN lag2 || '|' || lag1 ELSE lag1 END JOIN d ON d.next = r.next),
 g2 AS (SELECT *, CASE WHEN (c_is_deposition = 1 AND clean12 = 0) OR (c_is_metal_etch = 1 AND (expose15 = 0 OR develop15 = 0))
     OR (c_is_patterned_etch = 1 AND develop12 = 0) OR (c_is_implant = 1 AND opener15 = 0) OR (c_is_cmp = 1 AND fill6 = 0)
@@ -208,7 +208,7 @@ rr AS (SELECT user_id, fraction, any_value(gold) AS gold,
 
 
 def reranked(spark, sf):
-    lists, _, pairs, prefixes = model_and_prefixes(spark, sf, k=15)
+    lists, _, pairs, prefixes = model_and_prefixes(spark, sf)
     with_candidates = M.back_off(prefixes, small(lists), ["lag1", "lag2"])
     out = decode.rerank(with_candidates, fab.BY_CLASS, 5, "soft", pairs)
     model = F.transform("candidates", lambda c: c["next"])
@@ -234,24 +234,23 @@ def baseline_next_to_model(spark, sf):
 
 @query("greedy_completion")
 def greedy_completion(spark, sf):
-    lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=40)
-    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=8)
+    lists, profile, _, prefixes = model_and_prefixes(spark, sf)
+    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"))
 
 
 @query("top_ten_completion")
 def top_ten_completion(spark, sf):
     lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=10)
-    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=8, top=10,
+    out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, top=10,
                           fallback=True, finish=False)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"))
 
 
 @query("beam_completion")
 def beam_completion(spark, sf):
-    lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=5)
-    out = decode.beam_complete(prefixes, [*KEYS, "fraction"], lists, fab.BY_CLASS, profile, beam=3,
-                               branch=5, max_steps=3)
+    lists, profile, _, prefixes = model_and_prefixes(spark, sf)
+    out = decode.beam_complete(prefixes, [*KEYS, "fraction"], lists, fab.BY_CLASS, profile)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"),
                       F.round("logp", 6).alias("logp"))
 

@@ -63,4 +63,6 @@ def by_distinct(df: DataFrame, column: str, build: Callable[[DataFrame], DataFra
     values = cut_lineage(df.select(column).distinct().limit(max_rows + 1))
     if values.count() > max_rows:
         return build(df)
-    return df.join(F.broadcast(build(values)), column, "left")
+    # NULL is a value like any other, so that the result is the one of build on the rows
+    side = build(values).withColumnRenamed(column, "__value")
+    return df.join(F.broadcast(side), F.col(column).eqNullSafe(F.col("__value")), "left").drop("__value")

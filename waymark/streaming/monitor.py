@@ -9,6 +9,7 @@ length of a sequence; only rows still waiting for their turn are buffered.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import nlargest
 from uuid import uuid4
 
 import pandas as pd
@@ -122,27 +123,33 @@ def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, s
 
 
 def live_contexts(stream: DataFrame, key: str, ts: str, tie: str, *, step: str = "step", n: int = 3) -> DataFrame:
-    """key, lag1, lag2, ...: the last n - 1 steps of every key that got new steps."""
+    """key, seen, lag1, lag2, ...: the last n - 1 steps of every key that got new steps.
+
+    Steps may come in any order, in any number of micro-batches; a micro-batch gives
+    one row for each of its keys, and of a key's rows the one with the largest
+    ``seen`` (steps so far) is the latest.
+    """
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(F.col(key).alias("key"), micros(F.col(ts), stream.schema[ts].dataType).alias("ts"), F.col(tie).alias("tie"),
                          F.col(step).alias("step"))
 
     def remember(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
+        count, *held = state.get if state.exists else (0, [], [], [])
+        last = list(zip(*held))
         for pdf in batches:
-            tail = pdf.sort_values(["ts", "tie"])["step"].tolist()
-            seen = (seen + tail)[-(n - 1):]
-        state.update((seen,))
-        latest = seen[::-1] + [None] * (n - 1 - len(seen))
-        yield pd.DataFrame([[name[0], *latest]], columns=[key, *[f"lag{i}" for i in range(1, n)]])
+            count += len(pdf)
+            last = nlargest(n - 1, [*last, *zip(pdf["ts"].tolist(), pdf["tie"].tolist(), pdf["step"].tolist())], key=lambda r: r[:2])
+        state.update((count, *([list(c) for c in zip(*last)] if last else [[], [], []])))
+        latest = [r[2] for r in last] + [None] * (n - 1 - len(last))
+        yield pd.DataFrame([[name[0], count, *latest]], columns=[key, "seen", *[f"lag{i}" for i in range(1, n)]])
 
     lags = ", ".join(f"lag{i} string" for i in range(1, n))
-    return rows.groupBy("key").applyInPandasWithState(remember, f"`{key}` {kind}, {lags}", "steps array<string>",
+    return rows.groupBy("key").applyInPandasWithState(remember, f"`{key}` {kind}, seen long, {lags}", "seen long, ts array<long>, tie array<long>, step array<string>",
                                                       "append", GroupStateTimeout.NoTimeout)
 
 
 def live_next_steps(contexts: DataFrame, lists: DataFrame, lags: Sequence[str] = ("lag1", "lag2")) -> DataFrame:
-    """Candidates for each live context: one stream-static join per context length."""
+    """Candidates for each live context: one stream-static join per context length, then the list without context."""
     found, out = [], contexts
     for k in range(len(lags), 0, -1):
         text = F.when(F.col(lags[k - 1]).isNotNull(), F.concat_ws("|", *[F.col(c) for c in reversed(lags[:k])]))
@@ -150,7 +157,8 @@ def live_next_steps(contexts: DataFrame, lists: DataFrame, lags: Sequence[str] =
                                                       F.col("candidates").alias(f"__c{k}"))
         out = out.withColumn("__t", text).join(side, F.col("__t") == F.col(f"__k{k}"), "left").drop("__t", f"__k{k}")
         found.append(F.col(f"__c{k}"))
-    return out.withColumn("candidates", F.coalesce(*found)).drop(*[f"__c{k}" for k in range(1, len(lags) + 1)])
+    any_context = lists.filter(F.col("len") == 0).select("candidates").scalar()
+    return out.withColumn("candidates", F.coalesce(*found, any_context)).drop(*[f"__c{k}" for k in range(1, len(lags) + 1)])
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
