@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.operators import evaluate as E
+from waymark.operators.rules import Milestone, RuleBook, check
 
 
 def one(spark, **columns):
@@ -148,3 +149,15 @@ def test_flags(spark):
 def test_p_valid(spark):
     from waymark.operators.mining import p_valid
     assert one(spark, p=p_valid(F.lit(2.0), F.lit(1.0))).p == pytest.approx(1 / (1 + math.e))
+
+
+def test_validity_of_prefix_and_prediction(spark):
+    """Judged together: a prediction can break a rule that neither part breaks alone."""
+    book = RuleBook(events={"SHIP": ["ship"], "TEST": ["test"]}, rules=[Milestone("SHIP_BEFORE_TEST", "SHIP", ["TEST"])])
+    rows = spark.createDataFrame([(1, ["a", "test"], ["ship"]), (2, ["a"], ["ship"]), (3, None, ["a"]), (4, ["a"], None)],
+                                 "k int, prefix array<string>, prediction array<string>")
+    whole = E.reconstructed(rows, ["k"])
+    assert sorted((r.k, r.step_index, r.step) for r in whole.collect()) == [
+        (1, 0, "a"), (1, 1, "test"), (1, 2, "ship"), (2, 0, "a"), (2, 1, "ship"), (3, 0, "a"), (4, 0, "a")]
+    found = check(whole.withColumnRenamed("step_index", "pos"), book, keys=["k"], order=["pos"])
+    assert tuple(E.logic_validity(found, whole, ["k"]).first()) == (4, 0.75)

@@ -46,6 +46,12 @@ def tail(steps: Column, n: int) -> Column:
     return F.slice(steps, F.size(steps) - size + 1, size)
 
 
+def reconstruct(prefix: Column, prediction: Column) -> Column:
+    """The whole sequence that a prediction stands for; a missing part is empty."""
+    nothing = F.array().cast("array<string>")
+    return F.concat(F.coalesce(prefix, nothing), F.coalesce(prediction, nothing))
+
+
 def collapse(values: Column) -> Column:
     """Drop elements equal to the one before."""
     return let(values, lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))

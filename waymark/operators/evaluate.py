@@ -191,6 +191,12 @@ def transfer_drop(per_family: DataFrame, holdout: str, metrics: Sequence[str]) -
     return per_family.agg(F.lit(holdout).alias("holdout"), *columns)
 
 
+def reconstructed(predictions: DataFrame, keys: Sequence[str], prefix: str = "prefix", prediction: str = "prediction") -> DataFrame:
+    """Long rows (keys, step_index, step) of prefix + prediction, for the rule checks and logic_validity."""
+    whole = F.posexplode(A.reconstruct(F.col(prefix), F.col(prediction))).alias("step_index", "step")
+    return predictions.select(*keys, whole)
+
+
 def logic_validity(found: DataFrame, sequences: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of sequences without a violation."""
     bad = found.select(*keys).distinct().withColumn("__bad", F.lit(1))

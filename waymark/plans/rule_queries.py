@@ -14,6 +14,7 @@ from waymark.plans.inputs import (GRADED, JOURNEY_BOOK, JOURNEY_BOOK_BY_STEP, JO
 from waymark.plans.registry import query
 from waymark.plans.sql_text import ADVISORY_SQL, CLASS_FLAGS, CLASS_VIOLATIONS, category_case, exact_violations
 from waymark.rulesets import fabrication as fab
+from waymark.session import small
 
 USER = ["user_id"]
 
@@ -209,10 +210,11 @@ def routed(spark, sf):
     """Exact rules for sequences of known names only, class rules for the others."""
     keys = ["user_id", "family"]
     rows = routes(spark, sf).withColumn("step", S.canonical(F.col("step")))
-    known = rows.groupBy(*keys).agg(F.bool_and(S.in_vocabulary(F.col("step"))).alias("known"))
-    exact = violations(with_state(rows, fab.EXACT, keys, ORDER), fab.EXACT, keys).withColumn("known", F.lit(True))
-    classed = violations(class_state(spark, sf), fab.BY_CLASS, keys).withColumn("known", F.lit(False))
-    return exact.unionByName(classed).join(known, [*keys, "known"], "left_semi"), rows, known
+    known = small(rows.groupBy(*keys).agg(F.bool_and(S.in_vocabulary(F.col("step"))).alias("known")))
+    marked = rows.join(known, keys)  # routed before the rules run, so each row meets one rule book
+    exact = violations(with_state(marked.filter("known"), fab.EXACT, keys, ORDER), fab.EXACT, keys)
+    by_class = with_state(S.with_classes(marked.filter("NOT known")), fab.BY_CLASS, keys, ORDER, mask=F.col("class_mask"))
+    return exact.unionByName(violations(by_class, fab.BY_CLASS, keys)), rows, known
 
 
 ROUTED_SQL = f"""{ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS}, {exact_violations('c')},

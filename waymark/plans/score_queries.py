@@ -62,13 +62,10 @@ def eval_rows(spark, sf):
 @query("next_step_gold", f"""WITH {JOURNEYS}, {SEGMENTS}, {EXAMPLES}
 SELECT example_id, coalesce(steps[cut + 1], '') AS next_step FROM x""")
 def next_step_gold(spark, sf):
-    """The element after the cut, found by joining the partial rows with the full rows."""
-    rows = eval_rows(spark, sf)
-    partial = rows.select("example_id", A.decode_pipe(F.col("partial_sequence"), False).alias("p"))
-    full = rows.select("example_id", A.decode_pipe(F.col("full_sequence"), False).alias("f"))
-    joined = partial.join(full, "example_id", "left")
-    step = F.try_element_at("f", F.size("p") + 1)
-    return joined.select("example_id", F.coalesce(step, F.lit("")).alias("next_step"))
+    """The element of the full sequence after the partial one, which the same row holds."""
+    partial, full = (A.decode_pipe(F.col(c), False) for c in ("partial_sequence", "full_sequence"))
+    step = F.try_element_at(full, F.size(partial) + 1)
+    return eval_rows(spark, sf).select("example_id", F.coalesce(step, F.lit("")).alias("next_step"))
 
 
 @query("holdout_examples", f"""WITH {ROUTES}, {ROUTE_SEGMENTS}, c AS (SELECT *, CAST(greatest(1, floor(len(steps) * 0.8::DOUBLE))
