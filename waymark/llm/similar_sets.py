@@ -18,7 +18,7 @@ power-of-two number of parts, the sum of the elements' hashes. Parts that differ
 at most as many as elements that differ, so a pair above k is no link. The remaining
 pairs of a group are verified on whole texts, surest first and only while they join
 two components, so a group of near copies yields a few pairs for each member, not all;
-groups with a pair that failed go another round, until no untested pair could join two
+groups with pairs left to test go another round, until no untested pair could join two
 components. No pair that counts is dropped: groups above `BLOCK` members are compared
 block by block.
 
@@ -167,7 +167,7 @@ def _groups(rows: pd.DataFrame) -> pd.DataFrame:
     count = np.diff(np.append(begin, len(ids)))
     many = np.repeat(count > 1, count)
     if not many.any():
-        return pd.DataFrame({"group": [], "doc_id": [], "place": [], "members": []}, dtype="int64")
+        return pd.DataFrame({"group": [], "leader": [], "doc_id": [], "place": [], "members": []}, dtype="int64")
     ids, count = ids[many], count[count > 1]
     begin = np.cumsum(count) - count
     name = mixed(np.add.reduceat(mixed(ids.astype(np.uint64), 41), begin) + count.astype(np.uint64), 42)
@@ -175,57 +175,65 @@ def _groups(rows: pd.DataFrame) -> pd.DataFrame:
     keep = np.isin(np.arange(len(count)), first)
     all_of = np.repeat(keep, count)
     place = np.arange(len(ids)) - np.repeat(begin, count)
-    return pd.DataFrame({"group": np.repeat(name, count)[all_of].astype(np.int64), "doc_id": ids[all_of], "place": place[all_of], "members": np.repeat(count, count)[all_of]})
+    return pd.DataFrame({"group": np.repeat(name, count)[all_of].astype(np.int64), "leader": np.repeat(ids[begin], count)[all_of], "doc_id": ids[all_of], "place": place[all_of], "members": np.repeat(count, count)[all_of]})
 
 
 def _folded(data: bytes, parts: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, parts).sum(0, dtype=np.uint8)
 
 
-def _pairs(rows: pd.DataFrame, similarity: float, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """The untested pairs of one group that may be links and would join two components, surest first, a few for each join; whether more were left."""
-    ids, n, component = (rows[c].to_numpy(np.int64) for c in ("doc_id", "n", "component"))
-    tested = {i: set(t) for i, t in zip(ids.tolist(), rows["tested"]) if t is not None and len(t)}
-    block = rows["place"].to_numpy(np.int64) // BLOCK
-    parts = min(map(len, rows["sketch"]))
-    data = np.stack([_folded(x, parts) for x in rows["sketch"]])
-    one, two, far = [], [], []
-    across = rows["low"].iloc[0] != rows["high"].iloc[0]
-    for i in range(len(ids) - 1):
-        limit = (n[i] + n[i + 1:]) * (1 - similarity) / (1 + similarity) + 1e-9
-        apart = (data[i] != data[i + 1:]).sum(1)
-        likely = (apart <= limit) & (component[i] != component[i + 1:]) & (np.abs(n[i] - n[i + 1:]) <= limit)
-        if across:
-            likely &= block[i] != block[i + 1:]
-        for j in np.flatnonzero(likely) + i + 1:
-            if ids[j] not in tested.get(ids[i], ()):
-                one.append(i)
-                two.append(j)
-                far.append(apart[j - i - 1] / max(limit[j - i - 1], 1))
-    forest, tries, out = Forest(), {}, []
-    for e in np.argsort(far, kind="stable"):
-        a, b = sorted((int(component[one[e]]), int(component[two[e]])))
-        if forest.join(a, b):
-            tries[a, b] = 1
-        elif 0 < tries.get((a, b), 0) < most:
-            tries[a, b] += 1
-        else:
-            continue
-        out.append((int(ids[one[e]]), int(ids[two[e]])))
-    return out, len(out) < len(one)
+class Plan:
+    """The pairs that one task of a round tests: what joins two components, surest first in each group, and some more for each join."""
+
+    def __init__(self, similarity: float, most: int):
+        self.similarity, self.most = similarity, most
+        self.forest, self.tries, self.pairs = Forest(), {}, {}
+
+    def add(self, rows: pd.DataFrame) -> bool:
+        """Take the pairs of a group; whether it has any untested pair that may link two components."""
+        ids, n, component = (rows[c].to_numpy(np.int64) for c in ("doc_id", "n", "component"))
+        tested = {i: set(t) for i, t in zip(ids.tolist(), rows["tested"]) if t is not None and len(t)}
+        block = rows["place"].to_numpy(np.int64) // BLOCK
+        parts = min(map(len, rows["sketch"]))
+        data = np.stack([_folded(x, parts) for x in rows["sketch"]])
+        one, two, far = [], [], []
+        across = rows["low"].iloc[0] != rows["high"].iloc[0]
+        for i in range(len(ids) - 1):
+            limit = (n[i] + n[i + 1:]) * (1 - self.similarity) / (1 + self.similarity) + 1e-9
+            apart = (data[i] != data[i + 1:]).sum(1)
+            likely = (apart <= limit) & (component[i] != component[i + 1:]) & (np.abs(n[i] - n[i + 1:]) <= limit)
+            if across:
+                likely &= block[i] != block[i + 1:]
+            for j in np.flatnonzero(likely) + i + 1:
+                if ids[j] not in tested.get(ids[i], ()):
+                    one.append(i)
+                    two.append(j)
+                    far.append(apart[j - i - 1] / max(limit[j - i - 1], 1))
+        for e in np.argsort(far, kind="stable"):
+            pair = int(ids[one[e]]), int(ids[two[e]])
+            if pair in self.pairs:
+                continue
+            a, b = sorted((int(component[one[e]]), int(component[two[e]])))
+            if self.forest.join(a, b):
+                self.tries[a, b] = 1
+            elif 0 < self.tries.get((a, b), 0) < self.most:
+                self.tries[a, b] += 1
+            else:
+                continue
+            self.pairs[pair] = None
+        return bool(one)
 
 
 def _likely(similarity: float, tries: int):
+    """Rows of pairs (a, b), and of groups (group, low, high) that must be looked at again when these are judged."""
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["group", "low", "high", "doc_id"], ignore_index=True)
+        rows = rows.sort_values(["leader", "group", "low", "high", "doc_id"], ignore_index=True)
         key = rows[["group", "low", "high"]].to_numpy()
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(rows)]
-        out = []
-        for begin, end in zip(cuts, cuts[1:]):
-            if end - begin > 1:
-                found, more = _pairs(rows.iloc[begin:end], similarity, tries)
-                out += [(*key[begin], a, b, more) for a, b in found]
-        return pd.DataFrame(out, columns=["group", "low", "high", "a", "b", "more"]).astype({"group": "int64", "low": "int64", "high": "int64", "a": "int64", "b": "int64", "more": "bool"})
+        plan = Plan(similarity, tries)
+        again = [tuple(key[a].tolist()) for a, b in zip(cuts, cuts[1:]) if b - a > 1 and plan.add(rows.iloc[a:b])]
+        out = [(True, 0, 0, 0, a, b) for a, b in plan.pairs] + [(False, *k, 0, 0) for k in again]
+        return pd.DataFrame(out, columns=["pair", "group", "low", "high", "a", "b"]).astype({"pair": "bool"} | dict.fromkeys(["group", "low", "high", "a", "b"], "int64"))
     return pairs
 
 
@@ -264,10 +272,10 @@ def linked_groups(docs: DataFrame, similarity: float = 0.85, width: int = 4, doc
     firsts = rows.filter("doc_id IS NOT NULL").join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     buckets = partitions_for(spark, docs.rdd.getNumPartitions(), 1)
     packed = firsts.mapInPandas(_packed(similarity, width, buckets), "bucket int, ids binary, place binary, value binary")
-    groups = packed.groupBy("bucket").applyInPandas(_groups, "group long, doc_id long, place long, members long").distinct()
+    groups = packed.groupBy("bucket").applyInPandas(_groups, "group long, leader long, doc_id long, place long, members long").distinct()
     mine, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("members") - 1) / BLOCK)
     grouped = written(groups.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-                      .select("group", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"), "doc_id", "place"), "set-groups")
+                      .select("group", "leader", F.least(mine, "other").alias("low"), F.greatest(mine, "other").alias("high"), "doc_id", "place"), "set-groups")
     sketches = info.filter("n > 0").select("doc_id", "n", "sketch").distinct()
     tested, tries = None, TRIES
     parts = components(edges)
@@ -277,9 +285,12 @@ def linked_groups(docs: DataFrame, similarity: float = 0.85, width: int = 4, doc
             state = state.withColumn("tested", F.array().cast("array<long>"))
         else:
             state = state.join(tested.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("tested")), "doc_id", "left")
-        dealt = state.join(sketches, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("group", "low", "high"), F.lit(buckets)))
-        likely = written(dealt.groupBy("bucket").applyInPandas(_likely(similarity, tries), "group long, low long, high long, a long, b long, more boolean"), "set-likely")
-        pairs = written(likely.select("a", "b").distinct(), "set-pairs")
+        # The groups of one leader meet in one task: at most as many as it has signatures.
+        dealt = state.join(sketches, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("leader", "low", "high"), F.lit(buckets)))
+        likely = written(dealt.groupBy("bucket").applyInPandas(_likely(similarity, tries), "pair boolean, group long, low long, high long, a long, b long"), "set-likely")
+        pairs = written(likely.filter("pair").select("a", "b").distinct(), "set-pairs")
+        if pairs.isEmpty():
+            break
         needed = lookup(written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "set-needed"))
         texts = written(rows.join(needed, F.col("doc_id") == F.col("id")).select("id", "text").distinct(), "set-texts")
         left = pairs.join(texts.toDF("a", "text_a"), "a")
@@ -287,15 +298,9 @@ def linked_groups(docs: DataFrame, similarity: float = 0.85, width: int = 4, doc
         judged = written(both.mapInPandas(_verified(similarity, width), "a long, b long, linked boolean"), "set-links")
         edges = edges.unionByName(judged.filter("linked").select("a", "b"))
         parts = components(edges)
-        # A pair that failed and still lies between two components may have hidden others of its group; all else is settled.
-        apart = likely.filter("more").join(judged.filter("NOT linked").select("a", "b").distinct(), ["a", "b"])
-        for c in ("a", "b"):
-            apart = apart.join(parts.toDF(c, f"in_{c}"), c, "left").withColumn(f"in_{c}", F.coalesce(f"in_{c}", c))
-        again = written(apart.filter("in_a <> in_b").select("group", "low", "high").distinct(), "set-again")
-        if again.isEmpty():
-            break
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        grouped, tries = written(grouped.join(lookup(again), ["group", "low", "high"]), "set-groups"), tries * 16
+        again = lookup(written(likely.filter("NOT pair").select("group", "low", "high"), "set-again"))
+        grouped, tries = written(grouped.join(again, ["group", "low", "high"]), "set-groups"), tries * 16
     known = info.select("doc_id", *equal).join(classes, equal, "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
     return known.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
