@@ -187,7 +187,7 @@ def _sent_texts(buckets: int, length: int):
         texts, keys, ids = _texts(chunk), chunk["key"].to_numpy(np.int64), chunk["doc_id"].to_numpy(np.int64)
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, np.uint32).astype(np.uint64) for b, v in zip(shared["bucket"], shared["values"])]))
         seen: dict[int, int] = {}
-        sent, local = [], []
+        sent, local = ([], [], [], [], []), []  # bucket, text, place, size and the text around each anchor
         for start, found in _chunk_anchors(texts, length):
             bucket = _bucket(found.value, buckets)
             code = (bucket.astype(np.uint64) << np.uint64(32)) | (found.value & np.uint64(0xFFFFFFFF))
@@ -198,18 +198,18 @@ def _sent_texts(buckets: int, length: int):
                 around = texts[t][low:low + size]
                 name = xxhash.xxh3_64_intdigest(around)
                 if seen.setdefault(name, int(ids[t])) == ids[t]:
-                    sent.append((int(bucket[i]), t, low, size, around))
+                    for column, value in zip(sent, (int(bucket[i]), t, low, size, around)):
+                        column.append(value)
                 else:
                     local.append((t, low, size))
         p, out = int(chunk["p"].iloc[0]), []
         if local:
             t, low, size = (np.array(x, np.int64) for x in zip(*local))
             out.append((int(mixed(np.array([p], np.uint64))[0] % np.uint64(buckets)), p, True, keys[t].tobytes(), b"", low.tobytes(), size.tobytes(), b""))
-        if sent:
-            for b, mine in _cut(np.array([s[0] for s in sent]), buckets):
-                part = [sent[i] for i in mine.tolist()]
-                t = np.array([s[1] for s in part])
-                out.append((b, p, False, keys[t].tobytes(), ids[t].tobytes(), np.array([s[2] for s in part], np.int64).tobytes(), np.array([s[3] for s in part], np.int64).tobytes(), b"".join(s[4] for s in part)))
+        if sent[0]:
+            t, low, size = (np.array(x, np.int64) for x in sent[1:4])
+            for b, mine in _cut(np.array(sent[0]), buckets):
+                out.append((b, p, False, keys[t[mine]].tobytes(), ids[t[mine]].tobytes(), low[mine].tobytes(), size[mine].tobytes(), b"".join(map(sent[4].__getitem__, mine.tolist()))))
         return pd.DataFrame(out, columns=empty.columns) if out else empty
     return rows
 
@@ -315,7 +315,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans and the remaining bytes, `kept`."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    chunks = partitions_for(spark, 2 * docs.rdd.getNumPartitions(), 1)
+    chunks = partitions_for(spark, 4 * docs.rdd.getNumPartitions(), 1)
     key = F.xxhash64("doc_id", "text")
     dealt = rows.filter("doc_id IS NOT NULL").withColumn("key", key).withColumn("p", F.pmod("key", F.lit(chunks)).cast("int")).repartition(chunks, "p")
     by_chunk = dealt.groupBy("p")
