@@ -84,14 +84,21 @@ class PieceEncoder:
         self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.by_piece = not self.tokenizer.normalizer and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.pieces: dict[str, bytes] = {}
+        self.ends = dict(zip(",.", self.whole([",", "."])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, a thousand to a text; the ids that start with a blank tell where each begins."""
-        plain = [x for x in pieces if x.isprintable() and " " not in x]
-        odd = set(pieces).difference(plain)
+        """Encode new pieces, a thousand to a text; the ids that start with a blank tell where each begins.
+
+        A comma or full stop after a letter or digit is a part of its own, so the word before it is looked up.
+        """
+        ended = [x for x in pieces if x[-1:] in self.ends and x[-2:-1].isalnum()]
+        alone = set(pieces).difference(ended)
+        alone.update(stem for x in ended if (stem := x[:-1]) not in self.pieces)
+        plain = [x for x in alone if x.isprintable() and " " not in x]
+        odd = alone.difference(plain)
         groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
         for group, ids in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
             array = np.array(ids.ids, self.kind)
@@ -106,6 +113,7 @@ class PieceEncoder:
                 begin = end
         rest = list(odd)
         self.pieces.update(zip(rest, self.whole([" " + x for x in rest])))
+        self.pieces.update((x, self.pieces[x[:-1]] + self.ends[x[-1]]) for x in ended)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
