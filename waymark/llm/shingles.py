@@ -8,7 +8,7 @@ import xxhash
 # A-Z to a-z on UTF-8 bytes; bytes.split() then splits at blank and U+0009 to U+000D alone.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Known words of a worker; beyond it the worker starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 WORDS: dict[bytes, int] = {}
 

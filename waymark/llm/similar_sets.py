@@ -45,7 +45,7 @@ N2, K2 = 2, 1
 WEAK, SPARE = 5, 0.2
 # Members of a group that are compared at once; pairs tested for one join of two components in the first round, then 16 times as many.
 BLOCK, TRIES = 1000, 16
-BATCH = 500
+BATCH = 250
 
 
 def bands(similarity: float, top: int = 1 << 40) -> np.ndarray:
@@ -134,7 +134,7 @@ def _packed(similarity: float, width: int, buckets: int):
                     if key is not None and key not in seen:
                         seen.add(key)
                         new.append(i)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 if not new:
                     continue
