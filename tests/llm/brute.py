@@ -64,7 +64,8 @@ def without_repeats(docs, length):
 def near_vectors(rows, threshold):
     """{position: (links, component id)} of (vec_id, vector) rows of different ids."""
     good = {n: v for n, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    units = {n: np.array(v, float) / np.linalg.norm(np.array(v, float)) for n, v in good.items()}
+    scaled = {n: np.array(v, float) / np.abs(v).max() for n, v in good.items()}  # squares of 1e300 overflow
+    units = {n: v / np.linalg.norm(v) for n, v in scaled.items()}
     groups, links = Union(range(len(rows))), Counter()
     for a in units:
         for b in units:
