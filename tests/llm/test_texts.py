@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 import struct
@@ -247,6 +248,46 @@ def test_leaks_paraphrases_answers_and_odd_tables(spark):
     assert decontamination.leaks(df.limit(0), asked).count() == 0 and decontamination.leaks(df, asked.limit(0)).count() == 0
 
 
+def placed_items(rng, lengths, vocabulary=4000):
+    """Items of the given lengths, and documents that hold them with a share of about 0.65 to 1 at the start, within or at the end."""
+    weights = [1 / (i + 10) for i in range(vocabulary)]
+    prose = lambda n: rng.choices(range(vocabulary), weights, k=n)
+    items = [prose(n) for n in lengths]
+    docs = [prose(rng.randint(1, 300)) for _ in range(150)]
+    for i, item in enumerate(items):
+        for keep in (0.65, 0.72, 0.8, 1.0):
+            kept = set(rng.sample(range(len(item)), math.ceil(keep * len(item))))
+            copy = [w if k in kept else rng.randrange(vocabulary) for k, w in enumerate(item)]
+            before, after = rng.choice([(0, 90), (70, 0), (rng.randint(1, 99), rng.randint(1, 99))])
+            docs.append([*prose(before), *copy, *prose(after)])
+    return [" ".join(f"v{w}" for w in t) for t in items], [" ".join(f"v{w}" for w in t) for t in docs]
+
+
+def leaks_by_brute_force(items, docs, same=0.65):
+    """Pairs of which the document has a window of the item's length that holds the share `same` of it, in order."""
+    words, want = [t.split() for t in docs], set()
+    for i, item in enumerate(t.split() for t in items):
+        held, n = set(item), len(item)
+        for d, t in enumerate(words):
+            own = np.cumsum([0, *(w in held for w in t)])
+            for s in range(max(1, len(t) - n + 1)):
+                if own[min(s + n, len(t))] - own[s] >= same * n and decontamination.common_subsequence(item, t[s:s + n]) >= same * n:
+                    want.add((d, i))
+                    break
+    return want
+
+
+def test_short_and_partly_kept_items_against_brute_force(spark):
+    items, docs = placed_items(random.Random(21), [5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 24, 28, 32, 40, 50, 60] * 2)
+    want = leaks_by_brute_force(items, docs)
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontamination.leaks(spark.createDataFrame([(d, t) for d, t in enumerate(docs)], "doc_id int, text string"), asked).collect()}
+    assert len(want) >= 4 * len(items) and want <= set(got)
+    # A stretch is longer than the item, so there are pairs beyond brute force; each of them holds its share.
+    for (d, i), share in got.items():
+        assert share >= 0.65 and decontamination.common_subsequence(items[i].split(), docs[d].split()) >= 0.65 * len(items[i].split())
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 def test_pipeline(spark):
