@@ -288,6 +288,15 @@ def test_short_and_partly_kept_items_against_brute_force(spark):
         assert share >= 0.65 and decontamination.common_subsequence(items[i].split(), docs[d].split()) >= 0.65 * len(items[i].split())
 
 
+def test_leaks_with_directions_of_a_sample(spark):
+    items, docs = placed_items(random.Random(22), [5, 6, 8, 10, 16, 19, 25, 33, 47, 60])
+    want = leaks_by_brute_force(items, docs)
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    whole, sampled = ({tuple(r) for r in decontamination.leaks(table, asked, fit_docs=n).collect()} for n in (len(docs), 5))
+    assert whole == sampled and want <= {r[:2] for r in sampled}
+
+
 # -- pipeline --------------------------------------------------------------------------------
 
 def test_pipeline(spark):
