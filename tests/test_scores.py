@@ -161,3 +161,18 @@ def test_validity_of_prefix_and_prediction(spark):
         (1, 0, "a"), (1, 1, "test"), (1, 2, "ship"), (2, 0, "a"), (2, 1, "ship"), (3, 0, "a"), (4, 0, "a")]
     found = check(whole.withColumnRenamed("step_index", "pos"), book, keys=["k"], order=["pos"])
     assert tuple(E.logic_validity(found, whole, ["k"]).first()) == (4, 0.75)
+
+
+def test_results_of_sequences_longer_than_a_segment(spark, tmp_path):
+    from waymark.plans.inputs import MAX_LEN
+    from waymark.plans.serving_queries import three_way_result_join
+
+    lengths = {0: MAX_LEN + 7232, 1: MAX_LEN + 232, 2: 10}
+    number = F.when(F.col("id") < lengths[0], 0).when(F.col("id") < lengths[0] + lengths[1], 1).otherwise(2)
+    spark.range(sum(lengths.values())).select(
+        F.col("id").alias("event_id"), number.cast("long").alias("user_id"), F.timestamp_seconds(F.col("id")).alias("ts"),
+        F.element_at(F.array(F.lit("view"), F.lit("click"), F.lit("error")), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+        F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.completion_fraction): (r.partial_step_count, r.predicted_step_count) for r in three_way_result_join(spark, str(tmp_path)).collect()}
+    cut = lambda u, f: max(1, int(lengths[u] * f))
+    assert got == {(u, f): (cut(u, f), lengths[u + 1] - cut(u + 1, f)) for u in (0, 1) for f in (0.6, 0.8)}

@@ -4,24 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.functions import arrays as A
 from waymark.operators import serving
 from waymark.operators.ordered import running_state
-from waymark.plans.inputs import JOURNEYS, ORDER, SEGMENTS, journey_segments, journeys, table
+from waymark.plans.inputs import JOURNEYS, ORDER, SEGMENTS, journeys, table
 from waymark.plans.registry import query
-from waymark.plans.score_queries import CUTS, EXAMPLES, NGRAMS, examples, predicted, with_predictions
+from waymark.plans.score_queries import CUTS, EXAMPLES, FRACTIONS, NGRAMS, family_column, predicted
 from waymark.session import cut_lineage
 
 
+def whole_cuts(spark, sf):
+    """Every whole sequence cut at every fraction, with the lengths of both parts; segments don't matter."""
+    lengths = journeys(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    fractions = F.explode(F.array(*[F.lit(f) for f in FRACTIONS])).alias("fraction")
+    rows = lengths.select("*", fractions).withColumn("cut", A.cut_point(F.col("n"), F.col("fraction")))
+    family = family_column()
+    sid = F.format_string("seq_%d_0", "user_id")
+    return rows.select(
+        "user_id", "fraction", family.alias("family"), F.col("cut").alias("partial_step_count"),
+        F.concat_ws("_", family, sid, F.floor(F.col("fraction") * 100).cast("string")).alias("example_id"),
+        (F.col("n") - F.col("cut")).cast("int").alias("suffix_step_count"))
+
+
 def results(spark, sf):
     """Cut rows with their ranked next steps and a completion; all three must be present."""
-    cuts = examples(journey_segments(spark, sf))
-    inputs = cuts.filter("segment = 0").select("example_id", "user_id", "family", F.col("fraction").alias("completion_fraction"),
-                                               F.size("partial").alias("partial_step_count"))
+    cuts = whole_cuts(spark, sf)
+    inputs = cuts.select("example_id", "user_id", "family", F.col("fraction").alias("completion_fraction"), "partial_step_count")
     ranks = predicted(journeys(spark, sf), ["user_id"])
-    ids = cuts.filter("segment = 0").select("user_id", "fraction", "example_id")
+    ids = cuts.select("user_id", "fraction", "example_id")
     named = ranks.join(ids, ["user_id", "fraction"]).select(
         "example_id", *[F.coalesce(F.try_element_at("ranks", F.lit(i)), F.lit("")).alias(f"rank{i}") for i in range(1, 6)])
-    completions = with_predictions(cuts).select("example_id", F.size("predicted").alias("predicted_step_count"))
+    other = cuts.select((F.col("user_id") - 1).alias("user_id"), "fraction", F.col("suffix_step_count").alias("predicted_step_count"))
+    completions = ids.join(other, ["user_id", "fraction"]).select("example_id", "predicted_step_count")
     return serving.joined_results(inputs, named, completions, "example_id")
 
 
