@@ -248,6 +248,15 @@ def test_leaks_paraphrases_answers_and_odd_tables(spark):
     assert decontamination.leaks(df.limit(0), asked).count() == 0 and decontamination.leaks(df, asked.limit(0)).count() == 0
 
 
+def test_stretches_hold_every_window_of_a_text():
+    for n in range(5, 70):
+        for size in (3, n, n + 1, 100, 163):
+            length, _ = decontamination._stretch(n)
+            starts = decontamination._starts(size, n, 0, size)
+            for s in range(max(1, size - n + 1)):
+                assert any(b <= s and min(s + n, size) <= min(b + length, size) for b in starts)
+
+
 def placed_items(rng, lengths, vocabulary=4000):
     """Items of the given lengths, and documents that hold them with a share of about 0.65 to 1 at the start, within or at the end."""
     weights = [1 / (i + 10) for i in range(vocabulary)]
