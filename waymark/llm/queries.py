@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from waymark.llm import decontamination, labelled_pages, main_text, mixing, near_vectors, quality, records, repeats, sharding, similar_sets, url_rules
+from waymark.llm import bpe, decontamination, labelled_pages, main_text, mixing, near_vectors, quality, records, repeats, sharding, similar_sets, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +114,12 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links at a cosine of 0.95 or more and the smallest id of its linked group."""
     return near_vectors.linked_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path, text="decoded")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
