@@ -26,18 +26,16 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from waymark.llm.bpe import encoder
 from waymark.llm.tables import lookup, partitions_for, shared_folder, written
 
 INDEX = "shard long, offset long, length long, doc_id {id}, n_tokens long, before long"
 HEAD, TAIL, MASK = 12, 4, 0xA282EAD8
-# A single blank between two other characters is where byte-level BPE starts a new piece, so pieces can be encoded alone.
-PIECE = re.compile(r"(?<=\S) (?=\S)")
-# Encoded pieces that a worker keeps; beyond it the worker starts anew.
-KEPT_PIECES = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -67,84 +65,7 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-class PieceEncoder:
-    """The tokenizers library over whole texts; pieces that were seen before are looked up.
-
-    Texts that hold an added token go to the library whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.blank = np.zeros(size, bool)
-        self.blank[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.by_piece = not self.tokenizer.normalizer and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.pieces: dict[str, bytes] = {}
-        self.ends = dict(zip(",.", self.whole([",", "."])))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, a thousand to a text; the ids that start with a blank tell where each begins.
-
-        A comma or full stop after a letter or digit is a part of its own, so the word before it is looked up.
-        """
-        ended = [x for x in pieces if x[-1:] in self.ends and x[-2:-1].isalnum()]
-        alone = set(pieces).difference(ended)
-        alone.update(stem for x in ended if (stem := x[:-1]) not in self.pieces)
-        plain = [x for x in alone if x.isprintable() and " " not in x]
-        odd = alone.difference(plain)
-        groups = [plain[i:i + 1000] for i in range(0, len(plain), 1000)]
-        for group, ids in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            array = np.array(ids.ids, self.kind)
-            starts = np.flatnonzero(self.blank[array])
-            if len(starts) != len(group):
-                odd.update(group)
-                continue
-            data, ends = array.tobytes(), [*(starts[1:] * self.kind.itemsize).tolist(), array.nbytes]
-            begin = 0
-            for piece, end in zip(group, ends):
-                self.pieces[piece] = data[begin:end]
-                begin = end
-        rest = list(odd)
-        self.pieces.update(zip(rest, self.whole([" " + x for x in rest])))
-        self.pieces.update((x, self.pieces[x[:-1]] + self.ends[x[-1]]) for x in ended)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        if not self.by_piece:
-            return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        split = [PIECE.split(t) for t in texts]
-        for i, ids in zip(special, self.whole([texts[i] for i in special])):
-            out[i] = ids
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        known, new = self.pieces, set()
-        for words in split:
-            new.update(words[1:])
-        self.learn(list(new.difference(known)))
-        first = self.whole([words[0] for words in split])
-        return [ids if ids is not None else head + b"".join(map(known.__getitem__, words[1:])) for ids, words, head in zip(out, split, first)]
-
-
-ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker."""
-    if path not in ENCODERS:
-        ENCODERS[path] = PieceEncoder(path)
-    return ENCODERS[path]
-
-
-def write(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", batch: int = 200) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", batch: int = 1000) -> DataFrame:
     """Encode and write the documents below folder (default: the shared one); the index with a column `file` comes back."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "records")
@@ -152,22 +73,23 @@ def write(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str | No
     store, root = opened(folder)
     store.create_dir(root, recursive=True)
 
-    def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = encoder(tokenizer), TaskContext.get()
-        tail = b"" if end is None else np.array([end], tokens.kind).tobytes()
+        tail = b"" if end is None else np.array([end], tokens.type).tobytes()
         files, path = opened(folder)
         number, private = task.partitionId(), f"{path}/.{task.taskAttemptId()}"
         place = before = 0
         with files.open_output_stream(private) as out:
             for rows in batches:
                 for at in range(0, len(rows), batch):
-                    part = rows.iloc[at:at + batch]
-                    data = [ids + tail for ids in tokens.encode(part["text"].tolist())]
+                    part = rows.slice(at, batch)
+                    data = [ids.tobytes() + tail for ids in tokens.encode(part.column("text"))]
                     size = np.array([len(x) for x in data], np.int64)
-                    count, length = size // tokens.kind.itemsize, size + HEAD + TAIL
+                    count, length = size // tokens.type.itemsize, size + HEAD + TAIL
                     out.write(b"".join(map(frame, data)))
-                    yield pd.DataFrame({"shard": number, "offset": place + np.cumsum(length) - length, "length": length, "doc_id": part["doc_id"].to_numpy(),
-                                        "n_tokens": count, "before": before + np.cumsum(count) - count})
+                    columns = {"shard": np.full(len(data), number, np.int64), "offset": place + np.cumsum(length) - length, "length": length, "doc_id": part.column("doc_id"),
+                               "n_tokens": count, "before": before + np.cumsum(count) - count}
+                    yield pa.RecordBatch.from_pydict(columns)
                     place, before = place + int(length.sum()), before + int(count.sum())
         files.move(private, f"{path}/shard-{number:07d}.rec")
 
@@ -175,7 +97,7 @@ def write(docs: DataFrame, tokenizer: str, end: int | None = 2, folder: str | No
     parts = partitions_for(spark, docs.rdd.getNumPartitions(), 1)
     order = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    index = written(dealt.mapInPandas(shard, INDEX.format(id=kind)), "record-index")
+    index = written(dealt.mapInArrow(shard, INDEX.format(id=kind)), "record-index")
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))  # a row for each shard
     first = totals.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("first"))
     return (index.join(lookup(written(first, "record-shards")), "shard")
