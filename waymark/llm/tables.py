@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from waymark.session import ensure_checkpoint_dir
 
@@ -45,14 +45,36 @@ def partitions_for(spark: SparkSession, items: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // each), 1)
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in memory; arrays, maps and structs count all they hold."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        size = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+        size = size + 16
+    elif isinstance(kind, T.MapType):
+        size = _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
+
+
+def broadcastable(table: DataFrame) -> bool:
+    """Whether a written table's rows and bytes are seen to be within the bounds."""
+    total = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema), F.lit(0).cast("long"))
+    row = table.select(total.alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return row.n <= BROADCAST_ROWS and (row.b or 0) <= BROADCAST_BYTES
+
+
 def lookup(table: DataFrame) -> DataFrame:
     """Mark a written table for broadcast if its rows and bytes are seen to be within the bounds.
 
     Larger ones come back as they are, and Spark joins by shuffle with AQE's split of skewed keys.
     """
-    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in table.dtypes if kind == "string"]
-    row = table.select((sum(sizes, F.lit(0)) + 16 * len(table.columns)).alias("b")).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
-    return F.broadcast(table) if row.n <= BROADCAST_ROWS and (row.b or 0) <= BROADCAST_BYTES else table
+    return F.broadcast(table) if broadcastable(table) else table
 
 
 def uniform(*parts: Column) -> Column:
