@@ -39,9 +39,10 @@ from waymark.llm.tables import fresh, partitions_for, written
 
 LEAF = 1 << 15       # code points of a leaf
 WINDOW, MARGIN = 8, 4  # ids on each side of a join at first; characters that a cut or window stays within a run
-SLICE = 8 << 20      # bytes of text that are cut into words at a time
+ROWS = 500           # texts of one batch of results
+SLICE = 4 << 20      # bytes of text that are cut into words at a time
 # Words that a worker keeps and the longest one kept; beyond that the worker starts anew, which changes no result.
-KEPT_WORDS, LONGEST = 1_000_000, 64
+KEPT_WORDS, LONGEST = 800_000, 64
 
 # The mark of a word that no blank precedes, and texts in which blanks and newlines aren't all alone between other characters.
 BARE = "\x01"
@@ -311,15 +312,24 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """Rows (doc_id, ids): the ids of every whole text as an array of int, a row for each row of docs."""
-    kind_of_id = docs.schema[doc_id].dataType.simpleString()
+def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+    """Rows (doc_id, ids): the ids of every whole text as an array of int, a row for each row of docs.
+
+    With `decoded` the text that the ids stand for comes along as a column of that name.
+    """
+    kind_of_id, spark = docs.schema[doc_id].dataType.simpleString(), docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     long = F.char_length("text") > leaf
+    shape, names = "ids array<int>" + ", decoded string" * decoded, ["ids"] + ["decoded"] * decoded
+
+    def results(ids: list[np.ndarray]) -> list[pa.Array]:
+        return [_lists(ids)] + [pa.array(map(encoder(tokenizer).decode, ids), pa.string())] * decoded
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(encoder(tokenizer).encode(batch.column("text")))], ["doc_id", "ids"])
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *results(encoder(tokenizer).encode(part.column("text")))], ["doc_id", *names])
 
     def cut(text: str) -> list[str]:
         tokens = encoder(tokenizer)
@@ -337,18 +347,18 @@ def encode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             found = [x.tobytes() for x in encoder(tokenizer).encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["key", "n", "text", "ids"])
 
-    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, tokens = rows.sort_values("n"), encoder(tokenizer)
-        ids = tokens.concatenated(rows["text"].tolist(), [np.frombuffer(x, tokens.type) for x in rows["ids"]])
-        return pd.DataFrame({"key": [key[0]], "ids": [ids.astype(np.int32)]})
+    def joined(key: tuple, table: pa.Table) -> pa.Table:
+        table, tokens = table.sort_by("n"), encoder(tokenizer)
+        ids = tokens.concatenated(table["text"].to_pylist(), [np.frombuffer(x, tokens.type) for x in table["ids"].to_pylist()])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *results([ids])], ["key", *names])
 
-    short = rows.filter(~long).mapInArrow(ids, f"doc_id {kind_of_id}, ids array<int>")
+    short = rows.filter(~long).mapInArrow(whole, f"doc_id {kind_of_id}, {shape}")
     # Long texts get a key of their own in a written table, so that a second run of a task finds the same.
     keyed = written(rows.filter(long).withColumn("key", F.monotonically_increasing_id()), "long-texts")
     parts = written(keyed.select("key", "text").mapInPandas(leaves, "key long, n long, text string"), "text-leaves")
-    halves = parts.repartition(partitions_for(docs.sparkSession, parts.count(), 64), "key", "n").mapInArrow(encoded, "key long, n long, text string, ids binary")
-    whole = halves.groupBy("key").applyInPandas(joined, "key long, ids array<int>")  # a group holds one text
-    return short.unionByName(keyed.select("doc_id", "key").join(whole, "key").select("doc_id", "ids"))
+    halves = parts.repartition(partitions_for(spark, parts.count(), 64), "key", "n").mapInArrow(encoded, "key long, n long, text string, ids binary")
+    put = halves.groupBy("key").applyInArrow(joined, f"key long, {shape}")  # a group holds one text
+    return short.unionByName(keyed.select("doc_id", "key").join(put, "key").select("doc_id", *names))
 
 
 def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -357,10 +367,9 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "tex
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            offsets, values = lists.offsets.to_numpy(), lists.values.fill_null(-1).to_numpy()
-            found = [encoder(tokenizer).decode(values[a:b]) if there else None
-                     for a, b, there in zip(offsets[:-1], offsets[1:], lists.is_valid().to_numpy(zero_copy_only=False))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, name])
+            for part in (batch.slice(at, ROWS) for at in range(0, len(batch), ROWS)):
+                lists = part.column(part.schema.get_field_index(ids))
+                found = [x if x is None else encoder(tokenizer).decode(np.array([-1 if i is None else i for i in x], np.int64)) for x in lists.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
 
     return tokens.mapInArrow(texts, f"{', '.join(f'`{c}` {t}' for c, t in tokens.dtypes)}, `{name}` string")

@@ -120,7 +120,7 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path, text="decoded")
+    tokens = bpe.encode(read(spark, sf_dir, "documents"), path, decoded=True)
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
