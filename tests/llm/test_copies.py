@@ -110,11 +110,12 @@ def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     vectors = [(centres[i % 12] + rng.normal(size=16) * 0.08).tolist() for i in range(300)] + rng.normal(size=(100, 16)).tolist()
-    vectors += [vectors[0], vectors[0], [2 * x for x in vectors[1]], None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], [1e300] * 16, [1e-300] * 16]
+    vectors += [vectors[0], vectors[0], [2 * x for x in vectors[1]], None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], [2.0, 3.9], [-1.0, 2.0], [1e300] * 16, [1e-300] * 16]
+    vectors += (rng.normal(size=(6, 5))[rng.integers(0, 6, 90)] + rng.normal(size=(90, 5)) * 0.05).tolist() + [[3.0]] * 2 + [[-3.0]]
     rows = [(7 * n % 1009, v) for n, v in enumerate(vectors)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, links string").repartition(4)
     monkeypatch.setattr(near_vectors, "LEAF", 8)
-    want = brute.near_vectors([(i, v if v and len(v) == 16 else None) for i, v in rows], 0.95)
+    want = brute.near_vectors(rows, 0.95)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.linked_vectors(df, block=32).collect()}
     assert got == {i: (*want[n], want[n][1] == i) for n, (i, _) in enumerate(rows)}
     assert near_vectors.linked_vectors(df.limit(0)).count() == 0

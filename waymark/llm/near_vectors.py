@@ -9,17 +9,22 @@ the same test halves intervals of the sequence recursively, so that only leaves
 few vectors are compared, by exact cosines in double precision. Everything that is
 skipped is provably farther apart.
 
+Each length of vectors is joined by itself. Lengths that fill a block get directions and
+an order of their own; all vectors of a rarer length fit into one block, whose leading
+coordinates are the vector's first.
+
 Equal vectors are one class and compared once. A joined pair of blocks yields counts
 and a spanning forest of its links, never all links of a dense group.
 
 Vectors that are null, empty, zero or hold a null or a number that isn't finite link
-with nothing, nor do vectors of another length than most. Ties at the threshold link.
-Each row counts, also under a repeated or null id; extra columns are ignored.
+with nothing, and vectors link with those of their own length only. Ties at the threshold
+link. Each row counts, also under a repeated or null id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +35,8 @@ from waymark.llm.components import Forest, components
 from waymark.llm.sums import partition_sums
 from waymark.llm.tables import lookup, written
 
-LEAD, BLOCK, LEAF = 8, 2048, 64
+# Leading directions; vectors of a block and of a leaf; components of a block.
+LEAD, BLOCK, LEAF, NUMBERS = 8, 16384, 128, 1 << 20
 SLACK = 1e-9
 
 
@@ -125,8 +131,8 @@ def _stars(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _pair(row: dict, threshold: float, eps: float, size: int) -> tuple[dict, Forest]:
-    same = row["i"] == row["j"]
+def _pair(row: dict, threshold: float, eps: float) -> tuple[dict, Forest]:
+    same, size = row["i"] == row["j"], row["size"]
     first = Block({c: row[f"a_{c}"] for c in ("keys", "counts", "units", "lead")}, size)
     second = first if same else Block({c: row[f"b_{c}"] for c in ("keys", "counts", "units", "lead")}, size)
     links = [np.zeros(len(first.keys), np.int64), np.zeros(len(second.keys), np.int64)]
@@ -148,31 +154,46 @@ def _pair(row: dict, threshold: float, eps: float, size: int) -> tuple[dict, For
     return total, forest
 
 
-def _links(threshold: float, eps: float, size: int):
+def _links(threshold: float, eps: float):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                total, forest = _pair(row, threshold, eps, size)
+                total, forest = _pair(row, threshold, eps)
                 nodes, roots = forest.stars()
                 yield pd.DataFrame({"a": [*total, *nodes], "b": [*[-1] * len(total), *roots], "links": [*total.values(), *[0] * len(nodes)]}, dtype="int64")
     return rows
 
 
+BLOCKS = "size int, block long, low array<double>, high array<double>, keys binary, counts binary, units binary, lead binary"
+
+
+def _block(part: pd.DataFrame, number: int, turn: np.ndarray) -> pd.DataFrame:
+    x = _units(part["v"])
+    lead = np.ascontiguousarray(x @ turn)
+    return pd.DataFrame({"size": [x.shape[1]], "block": [number], "low": [lead.min(0)], "high": [lead.max(0)], "keys": [part["key"].to_numpy(np.int64).tobytes()],
+                         "counts": [part["n"].to_numpy(np.int64).tobytes()], "units": [x.tobytes()], "lead": [lead.tobytes()]})
+
+
 def _blocks(turn: np.ndarray, block: int):
     """Blocks of a sorted partition, numbered by partition and place; the rows of one task make its blocks."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, kept = TaskContext.get().partitionId(), 0, []
         for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at:at + block]
-                x = _units(part["v"])
-                lead = x @ turn
-                yield pd.DataFrame({"block": [(task << 32) + number], "low": [lead.min(0)], "high": [lead.max(0)], "keys": [part["key"].to_numpy(np.int64).tobytes()],
-                                    "counts": [part["n"].to_numpy(np.int64).tobytes()], "units": [x.tobytes()], "lead": [np.ascontiguousarray(lead).tobytes()]})
-                number += 1
+            kept.append(batch)
+            while sum(map(len, kept)) >= block:
+                together = pd.concat(kept)
+                yield _block(together.iloc[:block], (task << 32) + number, turn)
+                kept, number = [together.iloc[block:]], number + 1
+        if sum(map(len, kept)):
+            yield _block(pd.concat(kept), (task << 32) + number, turn)
     return rows
 
 
+def _whole(lead: int):
+    """All vectors of a rare length as one block; -1 less the length can't be the number of another block of that length."""
+    return lambda rows: _block(rows, -1 - len(rows["v"].iloc[0]), np.eye(len(rows["v"].iloc[0]))[:, :lead])
+
+
 def _cells(turn: np.ndarray, eps: float):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,42 +207,41 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "v
     spark, eps = vectors.sparkSession, float(np.sqrt(2 - 2 * threshold))
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     good = rows.filter(usable(F.col("v")))
-    common = good.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    alone = rows.filter(~usable(F.col("v")) if common is None else ~usable(F.col("v")) | (F.size("v") != common["size"]))
-    unlinked = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return unlinked
-    size = common["size"]
-    lead = min(lead, size)
-    usual = good.filter(F.size("v") == size)
-    grouped = usual.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-    classes = written(grouped.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
-    turn = _directions(classes, size, lead)
-    cells = [f"c{i}" for i in range(lead)]
-    shape = ", ".join(["v array<double>", "n long", "first " + dict(rows.dtypes)["vec_id"], "key long", *[f"{c} int" for c in cells]])
-    parts = max(1, -(-classes.count() // (4 * block)))
-    ordered = classes.mapInPandas(_cells(turn, eps), shape).repartitionByRange(parts, *cells).sortWithinPartitions(*cells).select("v", "n", "key")
-    blocks = written(ordered.mapInPandas(_blocks(turn, block), "block long, low array<double>, high array<double>, keys binary, counts binary, units binary, lead binary"), "vector-blocks")
+    unlinked = rows.filter(~usable(F.col("v"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    grouped = good.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+    classes = written(grouped.withColumn("size", F.size("v")).withColumn("key", F.monotonically_increasing_id()), "vector-classes")
+    fits = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(NUMBERS) / F.col("size")))).cast("int")
+    # Each of these lengths fills a block, so there are fewer than blocks.
+    sizes = {r["size"]: r for r in classes.groupBy("size").agg(F.count("*").alias("n")).withColumn("block", fits).filter("n > block").collect()}
+    parts = [classes.filter(~F.col("size").isin(list(sizes))).groupBy("size").applyInPandas(_whole(lead), BLOCKS)]
+    for size, row in sizes.items():
+        usual, leading = classes.filter(F.col("size") == size), min(lead, size)
+        turn = _directions(usual, size, leading)
+        cells = [f"c{i}" for i in range(leading)]
+        shape = ", ".join(["v array<double>", "n long", "first " + dict(rows.dtypes)["vec_id"], "size int", "key long", *[f"{c} int" for c in cells]])
+        ordered = usual.mapInPandas(_cells(turn, eps), shape).repartitionByRange(-(-row['n'] // row['block']), *cells).sortWithinPartitions(*cells).select("v", "n", "key")
+        parts.append(ordered.mapInPandas(_blocks(turn, row['block']), BLOCKS))
+    blocks = written(reduce(DataFrame.unionByName, parts), "vector-blocks")
     # Blocks whose boxes come within eps share a cell of the first direction, if one box is widened by a cell each way.
-    boxes = lookup(written(blocks.select("block", "low", "high"), "vector-boxes"))
+    boxes = lookup(written(blocks.select("size", "block", "low", "high"), "vector-boxes"))
     cell = [F.floor(F.col(c)[0] / F.lit(eps)).cast("long") for c in ("low", "high")]
-    left = boxes.select(F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.explode(F.sequence(cell[0] - 1, cell[1] + 1)).alias("cell"))
-    right = boxes.select(F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.explode(F.sequence(*cell)).alias("cell"))
+    left = boxes.select("size", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.explode(F.sequence(cell[0] - 1, cell[1] + 1)).alias("cell"))
+    right = boxes.select("size", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.explode(F.sequence(*cell)).alias("cell"))
     zero = F.lit(0.0)
     apart = F.zip_with(F.zip_with("low_i", "high_j", lambda a, b: a - b), F.zip_with("low_j", "high_i", lambda a, b: a - b), lambda a, b: F.greatest(a, b, zero))
     gap = F.aggregate(apart, zero, lambda s, x: s + x * x)
-    pairs = left.join(right, "cell").filter((F.col("i") <= F.col("j")) & (gap <= (eps + SLACK) ** 2)).select("i", "j").distinct()
-    data = blocks.select("block", "keys", "counts", "units", "lead")
-    one = data.select(*[F.col(c).alias("i" if c == "block" else f"a_{c}") for c in data.columns])
-    two = data.select(*[F.col(c).alias("j" if c == "block" else f"b_{c}") for c in data.columns])
-    met = written(pairs, "vector-pairs").join(one, "i").join(two, "j")
+    pairs = left.join(right, ["size", "cell"]).filter((F.col("i") <= F.col("j")) & (gap <= (eps + SLACK) ** 2)).select("size", "i", "j").distinct()
+    data = blocks.select("size", "block", "keys", "counts", "units", "lead")
+    one = data.select(*[F.col(c).alias({"block": "i", "size": "size"}.get(c, f"a_{c}")) for c in data.columns])
+    two = data.select(*[F.col(c).alias({"block": "j", "size": "size"}.get(c, f"b_{c}")) for c in data.columns])
+    met = written(pairs, "vector-pairs").join(one, ["size", "i"]).join(two, ["size", "j"])
     met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = written(met.mapInPandas(_links(threshold, eps, size), "a long, b long, links long"), "vector-links")
+    found = written(met.mapInPandas(_links(threshold, eps), "a long, b long, links long"), "vector-links")
     counts = found.filter("b < 0").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("others"))
     parts_of = components(found.filter("b >= 0").select("a", "b"))
     known = (classes.join(counts, "key", "left").join(parts_of.withColumnRenamed("node", "key"), "key", "left")
              .withColumn("component", F.coalesce("component", "key")))
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     judged = written(known.join(least, "component").select("v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-judged")
-    linked = usual.join(judged, "v").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = good.join(judged, "v").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return linked.unionByName(unlinked)
