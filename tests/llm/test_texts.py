@@ -170,6 +170,24 @@ def test_blocks_of_broken_markup():
     assert texts("1 < 2<ul><li>x<li>y</ul><table><tr><td>p<td>q</table>&#233;&copy") == ["1 < 2", "x", "y", "p", "q", "é©"]
 
 
+def test_unclosed_elements_lose_no_text(field):
+    article = "<article><h1>Title of it.</h1><p>First sentence here. Second one.</p></article>"
+    want = "Title of it.\nFirst sentence here. Second one."
+    for before in ("<button>", "<svg>", "<select>", "<object>", "<canvas>", "<math>", "<button>Menu<button>More</button>", "<svg><path d='M0'><g>"):
+        assert main_text.extract(f"<body><nav><a href='/'>home</a></nav>{before}{article}</body>", field) == want
+    formula = "<article><p>It holds that <math><mi>a</mi><mo>=</mo><mn>1</mn></math> for all. Then more <svg><text>text</text></svg> comes.</p></article>"
+    assert main_text.extract(formula, field) == "It holds that a=1 for all. Then more text comes."
+
+
+def test_parts_of_a_line(field):
+    line = "The house stood by the river. {}It was old and green. Nobody came."
+    for part in ('<span class="ad">Buy now, cheap offers here.</span> ', '<a class="promo" href="/x">Our best deals of the week</a> ', "<button>Send</button> ", '<small class="notice">We use cookies.</small> '):
+        assert main_text.extract(f"<article><p>{line.format(part)}</p><p>One more line here.</p></article>", field) == line.format("") + "\nOne more line here."
+    kept = line.format('<span class="highlight">A <b>bold</b> word</span> ')
+    assert main_text.extract(f"<article><p>{kept}</p></article>", field) == re.sub("<.*?>", "", kept)
+    assert main_text.extract('<article><p>One line here.<span class="ad">Buy <span>very</span> cheap things</span></p><p>Two lines now.</p></article>', field) == "One line here.\nTwo lines now."
+
+
 def test_viterbi_is_the_best_labelling(field):
     page = main_text.blocks(labelled_pages.Writer(5).page())[:9]
     score = field.scores(page)

@@ -23,6 +23,8 @@ BESIDE = {
               ('div class="share social"', "menu"), ('div class="ad"', "long"), ('div class="advertisement"', "long"), ('div class="tags meta"', "menu"), ('div class="legal"', "long"), ("footer", "long"), ('nav class="pagination"', "menu")],
     "inside": [('div class="ad"', "long"), ("aside", "long"), ('aside class="pullquote related"', "menu"), ('div class="share"', "menu"), ("form", "form"), ('div class="newsletter"', "form"), ('section class="comments"', "talk"), ("footer", "menu"), ("nav", "menu")],
 }
+# What stands inside a line of an article without being a part of it.
+IN_LINE = ['span class="ad"', 'span class="advert"', 'span class="sponsored"', 'a class="promo"', 'small class="notice"', 'span class="share"', 'em class="advertisement"', 'b class="newsletter"', "button", "select"]
 
 
 class Writer:
@@ -81,6 +83,11 @@ class Writer:
             text = self.prose() if pick < 0.8 else self.sentence(1, 3)
             if self.rng.random() < 0.2:
                 text = text.replace(" ", f" {self.link()} ", 1)
+            if self.rng.random() < 0.1:
+                opening = self.rng.choice(IN_LINE)
+                words = text.split(" ")
+                words.insert(self.rng.randint(0, len(words)), f'<{opening} data-main="0">{self.prose(1, 2) if self.rng.random() < 0.5 else self.sentence(1, 4)}</{opening.split()[0]}>')
+                text = " ".join(words)
             parts.append(f"<p><b>{text}<br>" if pick < 0.1 else f"<p>{text}</p>" if pick < 0.85 else f"<h2>{self.sentence(2, 6)}</h2>" if pick < 0.9
                          else f"<ul><li>{self.sentence()}</li><li>{self.sentence()}</li></ul>" if pick < 0.95 else f"<blockquote>{text}</blockquote>")
             if self.rng.random() < 0.12:

@@ -2,12 +2,16 @@
 
 A page is cut into leaf blocks: runs of text between the tags of block elements.
 Features of a block are its ancestors' tags, the words of their classes and ids, and
-traits of its text (length, share of links, sentences, marks). The field is trained on
+traits of its text (length, share of links, sentences, marks). Buttons, choices and parts
+of a line whose class or id labelled pages have only beside articles (an advert in a span)
+are leaves of their own; what the field keeps of the line around them stays one block. The field is trained on
 labelled pages (see labelled_pages.py, a bounded set) by stochastic gradients of the
 likelihood; Viterbi decoding then labels all blocks of a page together.
 
 Markup may be broken: unknown end tags are skipped, open elements end where their
-parent does, a cut tag or comment at the end is dropped. Null or empty pages and pages
+parent does, buttons and choices without an end tag of their own hold nothing, a cut tag or
+comment at the end is dropped. Text is skipped only in elements that hold no markup (scripts,
+styles, text fields, titles, frames) and in templates. Null or empty pages and pages
 without main blocks have the text "". Repeated rows are extracted alike; other columns
 are kept, a column named like the result is replaced. Nothing of a text is cut.
 """
@@ -27,11 +31,15 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z]
 ATTRIBUTE = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # Elements by the HTML standard: raw text, no content, part of a line, and those that a start tag of the key ends.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
 VOID = {"area", "base", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "br"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike",
-          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "button", "canvas", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "object", "option", "q", "s",
+          "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "wbr", "img"}
+# Parts of formulas and drawings.
+INLINE |= {"mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace", "mtable", "mtr", "mtd", "semantics", "annotation"}
+INLINE |= {"g", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "defs", "use", "symbol", "text", "tspan", "textpath", "desc"}
+CHOICES = {"button", "select"}  # leaves of their own whatever their class
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 LENGTHS = (2, 10)
 
 
@@ -40,6 +48,8 @@ class Block:
     text: str
     features: list[str]
     gold: bool
+    raw: str = ""
+    continues: bool = False  # the line of the block before it goes on
 
 
 @dataclass
@@ -47,6 +57,8 @@ class Element:
     tag: str
     names: tuple[str, ...] = ()
     gold: bool | None = None
+    inline: bool = False
+    inner: int = 0  # open elements of the same tag inside an inline one
 
 
 def _element(tag: str, attributes: str) -> Element:
@@ -68,19 +80,36 @@ def _traits(text: str, linked: int) -> list[str]:
     return traits + [f"mark={m}" for m in "©»·" if m in text]
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; training labels come from data-main attributes."""
+def _line(raw: str) -> str:
+    return " ".join(html.unescape(raw).split())
+
+
+def _closed(tag: str, page: str, at: int) -> bool:
+    """Whether an element that starts before the place has an end tag; choices hold no others of their kind."""
+    found = re.compile(rf"<(/?){tag}\b", re.I).search(page, at) if tag in CHOICES else re.compile(rf"<(/){tag}\b", re.I).search(page, at)
+    return found is not None and bool(found[1])
+
+
+def blocks(page: str | None, beside: frozenset[str] = frozenset()) -> list[Block]:
+    """The leaf blocks of a page in order; training labels come from data-main attributes.
+
+    Parts of a line with a class or id in `beside` are blocks of their own.
+    """
     page, out = page or "", []
-    stack, text, linked, links, at = [Element("#")], [], 0, 0, 0
+    stack, text, linked, links, at, goes_on = [Element("#")], [], 0, 0, 0, False
 
-    def close() -> None:
-        nonlocal linked
-        joined = " ".join(html.unescape("".join(text)).split()) if text else ""
+    def close(within_line: bool = False) -> None:
+        nonlocal linked, goes_on
+        raw = "".join(text)
+        joined = _line(raw)
         if joined:
             tags = dict.fromkeys(e.tag for e in stack[1:])
             names = dict.fromkeys(n for e in stack for n in e.names)
             gold = next((e.gold for e in reversed(stack) if e.gold is not None), False)
-            out.append(Block(joined, [f"at={stack[-1].tag}", *[f"in={t}" for t in tags], *[f"name={n}" for n in names], *_traits(joined, linked)], gold))
+            out.append(Block(joined, [f"at={stack[-1].tag}", *[f"in={t}" for t in tags], *[f"name={n}" for n in names], *_traits(joined, linked)], gold, raw, goes_on))
+        elif raw and goes_on and out:
+            out[-1].raw += raw  # a blank between two parts of a line
+        goes_on = within_line and (goes_on or bool(joined))
         text.clear()
         linked = 0
 
@@ -97,6 +126,21 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in INLINE:
             links = max(0, links + (-1 if found[1] else 1)) if tag == "a" else links
+            own = next((e for e in reversed(stack) if e.inline and e.tag == tag), None)
+            if found[1] and own is not None and own.inner:
+                own.inner -= 1
+            elif found[1] and own is not None:
+                close(stack[-1] is own)
+                while stack.pop() is not own:
+                    pass
+            elif not found[1] and tag not in VOID and not found[3].endswith("/"):
+                element = _element(tag, found[3]) if tag in CHOICES or "=" in found[3] else None
+                if element and (tag in CHOICES or not beside.isdisjoint(element.names)) and _closed(tag, page, at):
+                    close(True)
+                    element.inline = True
+                    stack.append(element)
+                elif own is not None:
+                    own.inner += 1
         elif tag == "br":
             text.append(" ")
         elif found[1]:
@@ -108,7 +152,7 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in RAW and not found[3].endswith("/"):
             end = re.compile(rf"</{tag}\s*[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag in ("textarea", "title", "select", "button"):
+            if tag in ("textarea", "title"):
                 text.append(" ")
         else:
             close()
@@ -122,6 +166,16 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+def beside_names(pages: list[str]) -> frozenset[str]:
+    """The class and id words that labelled pages have on what isn't the article, and nowhere on articles."""
+    found: dict[bool, set[str]] = {False: set(), True: set()}
+    for page in pages:
+        for token in TOKEN.finditer(page):
+            if token[2] and not token[1] and (element := _element(token[2].lower(), token[3])).gold is not None:
+                found[element.gold].update(element.names)
+    return frozenset(found[False] - found[True])
+
+
 @dataclass
 class Field:
     """Weights by feature for the two labels (0 other, 1 main), and of one label after another."""
@@ -130,6 +184,7 @@ class Field:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     gains: dict[str, float] = field(default_factory=dict)
+    beside: frozenset[str] = frozenset()
 
     def scores(self, page: list[Block]) -> np.ndarray:
         none = np.zeros(2)
@@ -174,8 +229,9 @@ class Field:
 
 def train(pages: list[str], rounds: int = 6, rate: float = 0.4, decay: float = 1e-4, seed: int = 11) -> Field:
     """Fit a field to labelled pages by AdaGrad on the likelihood of one page at a time."""
-    data = [b for b in map(blocks, pages) if b]
-    model, seen = Field(), {}
+    beside = beside_names(pages)
+    data = [b for page in pages if (b := blocks(page, beside))]
+    model, seen = Field(beside=beside), {}
     seen_moves, seen_start = np.full((2, 2), 1.0), np.ones(2)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -199,8 +255,15 @@ def train(pages: list[str], rounds: int = 6, rate: float = 0.4, decay: float = 1
 
 
 def extract(page: str | None, model: Field) -> str:
-    found = blocks(page)
-    return "\n".join(b.text for b, main in zip(found, model.decode(found)) if main)
+    found, lines = blocks(page, model.beside), []
+    for block, main in zip(found, model.decode(found)):
+        if not block.continues:
+            lines.append("")
+        if main:
+            lines[-1] += block.raw
+        elif lines[-1]:
+            lines[-1] += " "
+    return "\n".join(x for x in map(_line, lines) if x)
 
 
 def main_text(model: Field, page: Column) -> Column:
