@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from waymark.llm.tables import broadcastable, partitions_for, written
+from waymark.llm.tables import broadcastable, written
 from waymark.session import spread
 
 BLOCK, ANCHORS = 2048, 512  # rows and anchors of a block
@@ -87,9 +87,11 @@ def _met(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     theirs = anchors.select("size", *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "size"])
     if broadcastable(anchors):
         return spread(ours).join(F.broadcast(theirs), "size")
-    across, down = anchors.count(), -(-rows.count() // CELL)
-    ours = ours.withColumn("h", F.pmod(F.xxhash64("r_block"), F.lit(down))).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).cast("long"))
-    theirs = theirs.withColumn("g", F.pmod(F.xxhash64("a_block"), F.lit(across))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).cast("long"))
+    across, down = max(1, anchors.count()), max(1, -(-rows.count() // CELL))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = ours.withColumn("h", place("r_block", down)).withColumn("g", every(across))
+    theirs = theirs.withColumn("g", place("a_block", across)).withColumn("h", every(down))
     return ours.join(theirs, ["size", "g", "h"]).drop("g", "h")
 
 
