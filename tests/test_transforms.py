@@ -94,7 +94,32 @@ def test_anomaly_rows_reuse_a_small_pool(spark, fixed):
     out = inject.anomaly_rows(arrays, "family", ["user_id"], "steps", n - 1, 7, seed=2).collect()
     assert len([r for r in out if r.is_valid]) == n - 1
     bad = [r for r in out if not r.is_valid]
-    assert len({r.example_id for r in bad}) == len(bad) <= 7 and all(r.rule for r in bad)
+    assert len({r.example_id for r in bad}) == len(bad) == 7 and all(r.rule for r in bad)
+
+
+def test_quiet_sequences_are_broken_too(spark):
+    """Sequences in which nothing needs another step, one of them empty: each gets a violation that fires."""
+    quiet = [["RECEIVE WAFER LOT", "MEASURE THICKNESS"], ["QUANTUM TUNING"] * 3, []]
+    df = spark.createDataFrame(list(enumerate(quiet)), "id int, names array<string>").withColumn("family", F.lit("IC"))
+    arrays = df.select("id", "family", items(F.col("names")).alias("steps"))
+    out = inject.anomaly_rows(arrays, "family", ["id"], "steps", 0, 40, seed=9)
+    broken = F.transform(array_violations(fab.EXACT, F.col("steps")), lambda v: F.element_at(F.array(*[F.lit(r.rule) for r in fab.EXACT.rules]), v["rule_no"]))
+    got = out.select("example_id", "rule", broken.alias("fired"), F.size("steps").alias("n")).collect()
+    assert len({r.example_id for r in got}) == 40 and all(r.rule in r.fired for r in got)
+    assert len({r.rule for r in got}) > 5 and {r.n for r in got} == {1, 3, 4}
+
+
+def test_completion_in_rounds_gives_the_same(spark, sf, monkeypatch):
+    """The fold over a broadcast model and the join of a model too large for it."""
+    lists, profile, _, prefixes = T.model_and_prefixes(spark, sf)
+    prefixes = T.cut_lineage(prefixes.filter("user_id < 6"))
+    keys = ["user_id", "family", "fraction"]
+    runs = [lambda: decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=7), lambda: decode.complete(prefixes, lists, fab.BY_CLASS, profile, max_steps=7, top=3, fallback=True, finish=False),
+            lambda: decode.beam_complete(prefixes, keys, lists, fab.BY_CLASS, profile, beam=3, branch=4, max_steps=4)]
+    read = lambda df: sorted((*[r[k] for k in keys], r.completion, r.cut_short, round(r.logp, 9) if "logp" in df.columns else 0) for r in df.collect())
+    folded = [read(run()) for run in runs]
+    monkeypatch.setattr(decode, "MODEL_LISTS", 0)
+    assert [read(run()) for run in runs] == folded and any(r[4] for f in folded for r in f)
 
 
 def test_prefix_state_agrees_with_full_validation(spark, sf):

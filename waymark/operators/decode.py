@@ -2,22 +2,32 @@
 
 The state of a prefix (position, latest enabler positions, last level) is a set
 of columns, so whether a candidate is legal is an expression, and appending a
-step is an update of those columns. Nothing is validated twice. Completion runs
-in rounds over all open prefixes together; finished prefixes leave the loop.
+step is an update of those columns. Nothing is validated twice.
+
+Completion is a fold inside each row: the candidate model is one map from the last
+step to the lists after it, broadcast as one row, and a step of the fold looks the
+last two steps up, takes a legal candidate and updates the state. No round needs a join,
+a shuffle or a checkpoint. A model too large for that (``MODEL_LISTS``, counted first) is
+joined in rounds over all open prefixes together instead, with the same results.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.functions import arrays as A
-from waymark.operators.mining import back_off, candidate_lists
+from waymark.functions.arrays import let
+from waymark.operators.mining import SEP, back_off, candidate_lists
 from waymark.operators.rules import RuleBook, fires
 from waymark.session import cut_lineage, small
 
 TERMINAL, LAST_TEST = "SHIP LOT", "WAFER SORT TEST"
+# Candidates in all lists together, up to which the model is handed to every task.
+MODEL_LISTS = 200_000
+CANDIDATE = "struct<rank:int,next:string,p:double,mask:int,level:int,category:string>"
 
 
 def state_columns(book: RuleBook) -> list[str]:
@@ -94,13 +104,84 @@ def rerank(prefixes: DataFrame, book: RuleBook, k: int = 5, mode: str = "off",
 
 # -- completion -------------------------------------------------------------------------
 
+class Model:
+    """The candidate lists as one row: by the last step, and under it by the step before."""
+
+    def __init__(self, lists: DataFrame):
+        flat = lists.select("len", F.col("candidates").cast(f"array<{CANDIDATE}>").alias("candidates"), F.split("context", re.escape(SEP)).alias("c"))
+        last = F.element_at("c", -1).alias("last")
+        two = flat.filter("len = 2").groupBy(last).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c")[0], "candidates"))).alias("before"))
+        one = flat.filter("len = 1").select(last, "candidates")
+        entry = F.struct(F.col("last"), F.struct(F.col("before"), F.col("candidates")))
+        whole = one.join(two, "last", "left").agg(F.map_from_entries(F.collect_list(entry)).alias("__map"))
+        seen = flat.filter("len = 0").agg(F.first("candidates").alias("__any"))
+        key = F.lit(1).alias("__k")
+        self.row = whole.select("__map", key).join(seen.select("__any", key), "__k")
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """rows with the model, which ``after`` reads, in further columns."""
+        # the fold takes long for few bytes, so rows are dealt out whatever their size
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartition(parts).withColumn("__k", F.lit(1)).join(F.broadcast(self.row), "__k").drop("__k")
+
+    @staticmethod
+    def without(rows: DataFrame) -> DataFrame:
+        return rows.drop("__map", "__any")
+
+    def after(self, lag1: Column, lag2: Column) -> Column:
+        """The candidates of the longest context that was ever seen."""
+        known = F.when(lag1.isNotNull(), F.try_element_at("__map", lag1))
+        return let(known, lambda k: F.coalesce(F.when(lag2.isNotNull(), F.try_element_at(k["before"], lag2)), k["candidates"], F.col("__any")))
+
+
+def _fits(lists: DataFrame) -> bool:
+    """Whether the model may be handed to every task: its contexts are of two steps at most and its candidates few."""
+    row = lists.agg(F.max("len").alias("n"), F.sum(F.size("candidates")).alias("all")).first()
+    return (row["n"] or 0) <= 2 and (row["all"] or 0) <= MODEL_LISTS
+
+
+def _legal(book: RuleBook, state: Column, c: Column) -> Column:
+    broken = F.lit(False)
+    for rule in book.rules:
+        broken = broken | fires(book, rule, c["mask"], c["level"], state["step_index"], lambda e: state[f"last_{e}"], state["previous_level"])
+    return ~broken
+
+
+def _path(book: RuleBook, **more: Column) -> Column:
+    """The state of a prefix that nothing was added to yet."""
+    fields = [F.col(c).cast("int" if c == "previous_level" else "bigint").alias(c) for c in state_columns(book)]
+    return F.struct(*fields, F.col("lag1"), F.col("lag2"), F.col("has_test"), F.array().cast("array<string>").alias("completion"),
+                    *[v.alias(n) for n, v in more.items()])
+
+
+def _moved(book: RuleBook, state: Column, c: Column, **more: Column) -> Column:
+    """The state after candidate c."""
+    at = state["step_index"]
+    last = [F.when(book.has(c["mask"], e), at).otherwise(state[f"last_{e}"]).alias(f"last_{e}") for e in book.enablers]
+    return F.struct((at + 1).alias("step_index"), *last, F.coalesce(c["level"], state["previous_level"]).alias("previous_level"),
+                    c["next"].alias("lag1"), state["lag1"].alias("lag2"), (state["has_test"] | (c["next"] == LAST_TEST)).alias("has_test"),
+                    F.concat(state["completion"], F.array(c["next"])).alias("completion"), *[v.alias(n) for n, v in more.items()])
+
+
+def _opened(rows: DataFrame, path: Column, book: RuleBook) -> DataFrame:
+    """The columns of a path in place of those of the prefix."""
+    names = [*state_columns(book), "lag1", "lag2", "has_test", "completion"]
+    kept = [F.col(c) for c in rows.columns if c not in names]
+    return rows.withColumn("__p", A.once(path)).select(*kept, *[F.col("__p")[n].alias(n) for n in names])
+
+
+def _begins(finish: bool) -> Column:
+    begins = F.coalesce(F.col("lag1") != TERMINAL, F.lit(True))
+    return begins & F.col("prefix_valid") if finish else begins
+
+
 def complete(prefixes: DataFrame, lists: DataFrame, book: RuleBook, terms: DataFrame, *, max_steps: int = 160,
-             top: int | None = None, fallback: bool = False, finish: bool = True,
-             rounds_per_cut: int = 4) -> DataFrame:
-    """Greedy completion: every round appends the first legal candidate to each open prefix.
+             top: int | None = None, fallback: bool = False, finish: bool = True, rounds_per_cut: int = 4) -> DataFrame:
+    """Greedy completion: every step appends the first legal candidate to an open prefix.
 
     prefixes: keys, the state columns, lag1, lag2, has_test (the last test is in
-    the prefix) and prefix_valid. Adds completion (array<string>).
+    the prefix) and prefix_valid. Adds completion (array<string>) and cut_short, true
+    where max_steps ended a completion that was still open.
 
     Without options the whole list is searched and a prefix with no legal
     candidate stops. ``top`` looks at the first candidates only and ``fallback``
@@ -108,10 +189,37 @@ def complete(prefixes: DataFrame, lists: DataFrame, book: RuleBook, terms: DataF
     the terminal step are appended where legal, and an invalid prefix gets none,
     so it isn't opened at all.
     """
-    lists = small(lists)
-    begins = F.coalesce(F.col("lag1") != TERMINAL, F.lit(True))
-    open_ = prefixes.withColumns({"completion": F.array().cast("array<string>"),
-                                  "open": begins & F.col("prefix_valid") if finish else begins})
+    lists = cut_lineage(lists)
+    if _fits(lists):
+        model = Model(lists)
+
+        def step(state: Column, _: Column) -> Column:
+            def choose(listed: Column) -> Column:
+                seen = F.slice(listed, 1, top) if top else listed
+                # once one is found, the rest isn't judged
+                legal = F.aggregate(seen, F.lit(None).cast(CANDIDATE), lambda found, c: F.when(found.isNotNull(), found).when(_legal(book, state, c), c))
+                return F.coalesce(legal, F.try_element_at(listed, F.lit(1))) if fallback else legal
+
+            def grow(c: Column) -> Column:
+                more = (c["next"] != TERMINAL) & ~A.is_cycling(F.concat(state["completion"], F.array(c["next"])))
+                return F.when(c.isNull(), state.withField("open", F.lit(False))).otherwise(_moved(book, state, c, open=more))
+
+            return F.when(~state["open"], state).otherwise(let(let(model.after(state["lag1"], state["lag2"]), choose), grow))
+
+        start = _path(book, open=_begins(finish))
+        folded = model.without(model.beside(prefixes).withColumn("__f", A.once(F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), start, step))))
+        out = _opened(folded, F.col("__f"), book).withColumn("cut_short", F.col("__f.open")).drop("__f")
+    else:
+        out = _complete_in_rounds(prefixes, lists, book, max_steps, top, fallback, finish, rounds_per_cut)
+    if finish:
+        out = _finish(out, book, terms)
+        out = out.withColumn("completion", F.when(F.col("prefix_valid"), F.col("completion"))
+                             .otherwise(F.array().cast("array<string>")))
+    return out
+
+
+def _complete_in_rounds(prefixes, lists, book, max_steps, top, fallback, finish, rounds_per_cut) -> DataFrame:
+    open_ = prefixes.withColumns({"completion": F.array().cast("array<string>"), "open": _begins(finish)})
     done: list[DataFrame] = []
     for number in range(1, max_steps + 1):
         open_ = _greedy_round(open_, lists, book, top, fallback)
@@ -124,11 +232,7 @@ def complete(prefixes: DataFrame, lists: DataFrame, book: RuleBook, terms: DataF
     out = open_
     for part in done:
         out = out.unionByName(part)
-    if finish:
-        out = _finish(out, book, terms)
-        out = out.withColumn("completion", F.when(F.col("prefix_valid"), F.col("completion"))
-                             .otherwise(F.array().cast("array<string>")))
-    return out.drop("open")
+    return out.withColumnRenamed("open", "cut_short")
 
 
 def _greedy_round(rows: DataFrame, lists: DataFrame, book: RuleBook, top, fallback) -> DataFrame:
@@ -170,25 +274,71 @@ def beam_complete(prefixes: DataFrame, keys: Sequence[str], lists: DataFrame, bo
                   rounds_per_cut: int = 3) -> DataFrame:
     """Beam completion by length-normalised log-likelihood; every step is legal.
 
-    A round expands each live path by its first ``branch`` candidates that are
+    A step expands each live path by its first ``branch`` candidates that are
     legal and keeps ``beam`` live paths and the best finished path per prefix, so
-    a group never exceeds beam * branch + beam rows.
+    a group never exceeds beam * branch + beam paths. Adds completion, logp and
+    cut_short, true where max_steps ended the search with live paths.
     """
-    lists, keys = small(lists), list(keys)
-    rows = prefixes.withColumns({"completion": F.array().cast("array<string>"), "logp": F.lit(0.0),
-                                 "kind": F.when(F.col("prefix_valid"), "live").otherwise("done")})
-    score = F.col("logp") / F.pow(F.greatest(F.size("completion"), F.lit(1)), F.lit(alpha))
-    for number in range(1, max_steps + 1):
-        rows = _beam_round(rows, keys, lists, book, beam, branch, score)
-        if number % rounds_per_cut == 0 or number == max_steps:
-            rows = cut_lineage(rows)
-            if rows.filter("kind = 'live'").isEmpty():
-                break
-    best = Window.partitionBy(*keys).orderBy(score.desc(), F.col("kind"), F.array_join("completion", "|"))
-    out = rows.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
+    lists, keys = cut_lineage(lists), list(keys)
+    if _fits(lists):
+        out = _beam_fold(prefixes, Model(lists), book, beam, branch, max_steps, alpha)
+    else:
+        rows = prefixes.withColumns({"completion": F.array().cast("array<string>"), "logp": F.lit(0.0),
+                                     "kind": F.when(F.col("prefix_valid"), "live").otherwise("done")})
+        score = F.col("logp") / F.pow(F.greatest(F.size("completion"), F.lit(1)), F.lit(alpha))
+        for number in range(1, max_steps + 1):
+            rows = _beam_round(rows, keys, lists, book, beam, branch, score)
+            if number % rounds_per_cut == 0 or number == max_steps:
+                rows = cut_lineage(rows)
+                if rows.filter("kind = 'live'").isEmpty():
+                    break
+        best = Window.partitionBy(*keys).orderBy(score.desc(), F.col("kind"), F.array_join("completion", "|"))
+        live = F.max(F.col("kind") == "live").over(Window.partitionBy(*keys))
+        out = (rows.withColumns({"__n": F.row_number().over(best), "cut_short": live}).filter("__n = 1").drop("__n", "kind"))
     out = _finish(out, book, terms)
-    return (out.withColumn("completion", F.when(F.col("prefix_valid"), F.col("completion"))
-                           .otherwise(F.array().cast("array<string>"))).drop("kind"))
+    return out.withColumn("completion", F.when(F.col("prefix_valid"), F.col("completion")).otherwise(F.array().cast("array<string>")))
+
+
+def _beam_fold(prefixes: DataFrame, model: Model, book: RuleBook, beam: int, branch: int, max_steps: int, alpha: float) -> DataFrame:
+    def best(paths: Column, n: int) -> Column:
+        """The first n paths by score, then by text."""
+        ranked = F.transform(paths, lambda p: F.struct(
+            (-p["logp"] / F.pow(F.greatest(F.size(p["completion"]), F.lit(1)), F.lit(alpha))).alias("worse"),
+            F.array_join(p["completion"], "|").alias("text"), p.alias("path")))
+        return F.transform(F.slice(F.array_sort(ranked), 1, n), lambda r: r["path"])
+
+    def step(state: Column, _: Column) -> Column:
+        def legal(p: Column) -> Column:
+            return F.filter(F.slice(model.after(p["lag1"], p["lag2"]), 1, branch), lambda c: _legal(book, p, c))
+
+        def settle(paths: Column) -> Column:
+            """paths: each live path with its legal candidates."""
+            grown = F.flatten(F.transform(paths, lambda x: F.transform(x["legal"], lambda c: _moved(
+                book, x["path"], c, logp=x["path"]["logp"] + F.log(F.greatest(c["p"], F.lit(1e-9)))))))
+
+            def split(new: Column) -> Column:
+                live = F.filter(new, lambda p: (p["lag1"] != TERMINAL) & ~A.is_cycling(p["completion"]))
+                ended = F.filter(new, lambda p: p["lag1"] == TERMINAL)
+                # where no path could grow, the old ones stay as finished ones
+                still = F.transform(F.filter(paths, lambda x: (F.size(x["legal"]) == 0) | (F.size(live) == 0)), lambda x: x["path"])
+                return F.struct(best(live, beam).alias("live"), best(F.concat(state["done"], still, ended), 1).alias("done"))
+            return let(grown, split)
+
+        listed = F.transform(state["live"], lambda p: F.struct(p.alias("path"), legal(p).alias("legal")))
+        return F.when(F.size(state["live"]) == 0, state).otherwise(let(listed, settle))
+
+    start = F.array(_path(book, logp=F.lit(0.0)))
+    none = F.filter(start, lambda p: F.lit(False))
+    valid = F.col("prefix_valid")
+    first = F.struct(F.when(valid, start).otherwise(none).alias("live"), F.when(valid, none).otherwise(start).alias("done"))
+    folded = model.without(model.beside(prefixes).withColumn("__f", A.once(F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), first, step))))
+    # a finished path goes before a live one of the same score
+    order = lambda p, kind: F.struct((-p["logp"] / F.pow(F.greatest(F.size(p["completion"]), F.lit(1)), F.lit(alpha))).alias("worse"), F.lit(kind).alias("kind"),
+                                     F.array_join(p["completion"], "|").alias("text"), p.alias("path"))
+    both = F.concat(F.transform("__f.done", lambda p: order(p, "done")), F.transform("__f.live", lambda p: order(p, "live")))
+    chosen = folded.withColumn("__c", A.once(F.array_min(both)["path"]))
+    out = chosen.withColumns({"logp": F.col("__c.logp"), "cut_short": F.size("__f.live") > 0})
+    return _opened(out, F.col("__c"), book).drop("__f", "__c")
 
 
 def _beam_round(rows, keys, lists, book, beam, branch, score) -> DataFrame:
@@ -196,7 +346,7 @@ def _beam_round(rows, keys, lists, book, beam, branch, score) -> DataFrame:
     legal = F.filter(F.slice("candidates", 1, branch), lambda c: is_legal(book, c["mask"], c["level"]))
     live = F.col("kind") == "live"
     # every path keeps itself (a NULL candidate) next to its extensions
-    nothing = F.array(F.lit(None).cast("struct<rank:int,next:string,p:double,mask:int,level:int,category:string>"))
+    nothing = F.array(F.lit(None).cast(CANDIDATE))
     options = F.when(live, F.concat(nothing, legal)).otherwise(nothing)
     grown = (listed.withColumn("stuck", live & (F.size(legal) == 0))
              .withColumn("__c", F.explode(options)).drop("candidates"))

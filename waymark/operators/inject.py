@@ -1,7 +1,7 @@
 """Labelled test sets: violations injected into sequences, renamed and reshaped variants.
 
 Injection works on one row per bounded segment, without a shuffle; random choices
-are ordered by hashes of the row's key, so they repeat exactly.
+are ordered by digests of the row's key, so they repeat exactly, in SQL too.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.functions.arrays import let
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import array_violations, rule_name
+from waymark.operators.rules import Level, array_violations, rule_name
 from waymark.rulesets import fabrication as fab
 from waymark.session import by_distinct
 
@@ -51,29 +51,42 @@ def injectors(steps: Column, name: Callable[[Column], Column] = lambda x: x) ->
     return {rule.rule: out[rule.rule] for rule in fab.EXACT.rules}
 
 
+def constructed() -> dict[str, Column]:
+    """rule -> a step that breaks it at the front of any sequence, as array<struct<step, mask, level>>.
+
+    Nothing is in front of the first step, so what the step needs is missing whatever
+    follows. A level can only be wrong after another one, so that rule has none.
+    """
+    return {rule.rule: S.literal_steps(fab.EXACT.events[rule.trigger][0]) for rule in fab.EXACT.rules if not isinstance(rule, Level)}
+
+
+def digest_order(seed: int, *parts: Column | str) -> Column:
+    """A text that orders rows or choices as if at random."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+
+
 def inject(df: DataFrame, steps: str, key: Sequence[str], seed: int) -> DataFrame:
-    """Add injected_steps and injected_rule: one violation per row, checked to fire.
+    """Add injected_steps and injected_rule: one violation per row, sure to fire.
 
     steps is an array<struct<step, mask, level>> with the masks of the exact rules.
 
     All injectors are tried, those whose own rule fires are kept, and the one
-    that comes first in the hash order of the row is taken. If none fires, the
-    ship step is moved before the test where possible, else both are NULL.
+    that comes first in the digest order of the row is taken. Where none fires,
+    as in a sequence without any step that needs another one, a step that needs one is
+    put in front; its rule is chosen by digest too. So every row gets a violation.
     """
     variants = injectors(F.col(steps), lambda x: x["step"])
     names = {rule: f"__v_{i}" for i, rule in enumerate(variants)}
     tried = df.withColumn("__v", A.once(F.struct(*[v.alias(names[r]) for r, v in variants.items()])))
     tried = tried.select(*df.columns, "__v.*")
-    options = []
-    for rule, column in names.items():
-        broken = array_violations(fab.EXACT, F.col(column), only=rule)
-        options.append(F.when(F.col(column).isNotNull() & (F.size(broken) > 0), F.struct(
-            F.xxhash64(F.lit(seed), *key, F.lit(rule)).alias("h"), F.lit(rule).alias("rule"),
-            F.col(column).alias("steps"))))
-    last_resort = F.when(F.col(names["RULE_SHIP_BEFORE_TEST"]).isNotNull(), F.struct(
-        F.lit(0).cast("bigint").alias("h"), F.lit("RULE_SHIP_BEFORE_TEST").alias("rule"),
-        F.col(names["RULE_SHIP_BEFORE_TEST"]).alias("steps")))
-    best = F.coalesce(F.array_min(F.array_compact(F.array(*options))), last_resort)
+
+    def option(rule: str, changed: Column, kind: str) -> Column:
+        return F.struct(digest_order(seed, *key, F.lit(rule), F.lit(kind)).alias("h"), F.lit(rule).alias("rule"), changed.alias("steps"))
+
+    options = [F.when(F.size(array_violations(fab.EXACT, F.col(column), only=rule)) > 0, option(rule, F.col(column), "changed"))
+               for rule, column in names.items()]
+    made = [option(rule, F.concat(front, F.col(steps)), "made") for rule, front in constructed().items()]
+    best = F.coalesce(F.array_min(F.array_compact(F.array(*options))), F.array_min(F.array(*made)))
     return (tried.withColumn("__best", A.once(best))
             .withColumns({"injected_steps": F.col("__best.steps"), "injected_rule": F.col("__best.rule")})
             .drop("__best", *names.values()))
@@ -106,12 +119,12 @@ def inject_by_class(steps: Column) -> Column:
 
 def anomaly_rows(df: DataFrame, family: str, key: Sequence[str], steps: str, n_valid: int, n_invalid: int,
                  seed: int, hot_rows: int | None = None) -> DataFrame:
-    """Per family: n_valid sequences as they are and n_invalid injected ones.
+    """Per family: n_valid sequences as they are (all, if fewer) and exactly n_invalid injected ones.
 
     Injected rows are made from the sequences left over, used in turn; if none
     are left over, from all of them.
     """
-    shuffled = df.withColumn("__h", F.xxhash64(F.lit(seed), *key))
+    shuffled = df.withColumn("__h", digest_order(seed, *key))
     ranked = running_state(shuffled, [family], ["__h", *key], index="__r", total="__n", hot_rows=hot_rows)
     valid = ranked.filter(F.col("__r") < n_valid).select(
         F.format_string("%s_valid_%04d", family, "__r").alias("example_id"), family,
@@ -123,7 +136,7 @@ def anomaly_rows(df: DataFrame, family: str, key: Sequence[str], steps: str, n_v
              .filter((F.col("__p") >= 0) & (F.col("__p") < n_invalid))
              .withColumn("__i", F.explode(F.sequence(F.col("__p"), F.lit(n_invalid - 1).cast("bigint"), F.col("__pool")))))
     broken = inject(bases, steps, [*key, "__i"], seed)
-    invalid = broken.filter("injected_steps IS NOT NULL").select(
+    invalid = broken.select(
         F.format_string("%s_inval_%04d", family, "__i").alias("example_id"), family,
         F.col("injected_steps").alias("steps"), F.lit(0).alias("is_valid"), F.col("injected_rule").alias("rule"))
     return valid.unionByName(invalid)

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from waymark.functions import steps as S
 from waymark.operators import components, decode, inject, mining as M, repair
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import any_broken, with_state
+from waymark.operators.rules import Milestone, Windowed, any_broken, with_state
 from waymark.plans.inputs import (ORDER, ROUTES, ROUTE_SEGMENTS, classed_segments, names, route_segments, routes,
                                   table)
 from waymark.plans.registry import query
 from waymark.plans.score_queries import FRACTIONS, NGRAMS
-from waymark.plans.sql_text import CLASS_FLAGS, CLASS_VIOLATIONS
+from waymark.plans.sql_text import CLASS_FLAGS, CLASS_VIOLATIONS, exact_violations
 from waymark.rulesets import fabrication as fab
 from waymark.session import by_distinct, cut_lineage, small
 
@@ -79,14 +79,74 @@ def repaired(spark, sf):
                                     F.transform("repaired", lambda x: x["step"]).alias("steps")))
 
 
-@query("injected_sequences")
+# Canonical routes as whole lists, every injector's variant of each base row (key, family, steps, seed of its
+# digests), its violations under the exact rules, and the variant or the step put in front that comes first.
+CANONICAL = """jc AS (SELECT user_id, family, step_index, upper(trim(regexp_replace(step, '\\s+', ' ', 'g'))) AS step FROM j),
+s AS (SELECT user_id, family, list(step ORDER BY step_index) AS steps FROM jc GROUP BY 1, 2)"""
+_RULE_NUMBERS = {r.rule: n for n, r in enumerate(fab.EXACT.rules, 1)}
+_POSITIONS = "range(1, CAST(len(steps) AS BIGINT) + 1)"
+
+
+def _digest(rule: str, kind: str) -> str:
+    return f"md5(concat_ws('|', seed, key, {rule}, '{kind}'))"
+
+
+def injected_sql(bases: str) -> str:
+    """CTEs that end in `injected` (key, family, rule, steps) of the CTE named by bases."""
+    variants = []
+    for rule, triggers, removed, window in fab.REMOVALS:
+        variants.append(f"""SELECT key, family, seed, '{rule}' AS rule, list_transform(list_filter({_POSITIONS}, lambda i:
+  NOT (i >= pos - {window} AND i < pos AND steps[i] IN ({names(removed)}))), lambda i: steps[i]) AS steps
+FROM (SELECT *, {_first_sql(triggers)} AS pos FROM {bases}) WHERE pos IS NOT NULL""")
+    for rule, moved, target in fab.MOVES:
+        variants.append(f"""SELECT key, family, seed, '{rule}' AS rule, list_concat(list_concat(list_concat(steps[1:dst - 1], [steps[src]]),
+  steps[dst:src - 1]), steps[src + 1:]) AS steps
+FROM (SELECT *, {_first_sql(moved)} AS src, {_first_sql(target)} AS dst FROM {bases}) WHERE src > dst""")
+    variants.append(f"""SELECT key, family, seed, 'RULE_LITHO_LEVEL_SKIP' AS rule, list_transform({_POSITIONS}, lambda i:
+  CASE WHEN i = pos[1] THEN steps[pos[2]] WHEN i = pos[2] THEN steps[pos[1]] ELSE steps[i] END) AS steps
+FROM (SELECT *, list_filter({_POSITIONS}, lambda i: starts_with(steps[i], 'ALIGN MASK LEVEL')) AS pos FROM {bases}) WHERE len(pos) >= 2""")
+    variants.append(f"""SELECT key, family, seed, 'RULE_METAL_ETCH_NO_LITHO' AS rule, list_transform(list_filter({_POSITIONS}, lambda i:
+  NOT (starts_with(steps[i], 'EXPOSE LITHO LEVEL') AND i < pos AND pos - i <= 15)), lambda i: steps[i]) AS steps
+FROM (SELECT *, {_first_sql(fab.METAL_ETCHES)} AS pos FROM (
+  SELECT key, family, seed, list_transform(list_filter({_POSITIONS}, lambda i:
+    NOT (i >= pos - 15 AND i < pos AND steps[i] IN ({names(fab.DEVELOPS)}))), lambda i: steps[i]) AS steps
+  FROM (SELECT *, {_first_sql(fab.METAL_ETCHES)} AS pos FROM {bases}) WHERE pos IS NOT NULL))""")
+    fronts = " UNION ALL ".join(f"SELECT '{r.rule}' AS rule, '{fab.EXACT.events[r.trigger][0]}' AS front"
+                                for r in fab.EXACT.rules if r.rule != "RULE_LITHO_LEVEL_SKIP")
+    return f"""variants AS ({' UNION ALL '.join(variants)}),
+numbered AS (SELECT *, row_number() OVER () AS user_id FROM variants),
+flat AS (SELECT user_id, family, i AS ts, i AS event_id, i AS step_index, steps[i] AS step
+  FROM (SELECT user_id, family, steps, unnest({_POSITIONS}) AS i FROM numbered)),
+{exact_violations('flat')},
+fired AS (SELECT * FROM numbered n WHERE EXISTS (SELECT 1 FROM v WHERE v.user_id = n.user_id AND v.rule = n.rule)),
+changed AS (SELECT key, family, rule, steps FROM fired
+  QUALIFY row_number() OVER (PARTITION BY key, family ORDER BY {_digest('rule', 'changed')}) = 1),
+made AS (SELECT key, family, rule, list_concat([front], steps) AS steps FROM {bases}, ({fronts})
+  WHERE (key, family) NOT IN (SELECT (key, family) FROM changed)
+  QUALIFY row_number() OVER (PARTITION BY key, family ORDER BY {_digest('rule', 'made')}) = 1),
+injected AS (FROM changed UNION ALL FROM made)"""
+
+
+@query("injected_sequences", f"""WITH {ROUTES}, {CANONICAL},
+bases AS (SELECT concat_ws('|', user_id, 0) AS key, family, steps, '11' AS seed FROM s), {injected_sql('bases')}
+SELECT CAST(string_split(key, '|')[1] AS BIGINT) AS user_id, CAST(0 AS BIGINT) AS segment, rule AS injected_rule,
+  array_to_string(steps, '|') AS steps FROM injected""")
 def injected_sequences(spark, sf):
     rows = inject.inject(classed_segments(spark, sf, fab.EXACT), "steps", ["user_id", "segment"], seed=11)
-    return rows.filter("injected_rule IS NOT NULL").select("user_id", "segment", "injected_rule",
-                                                           step_names("injected_steps").alias("steps"))
-
-
-@query("anomaly_eval_rows")
+    return rows.select("user_id", "segment", "injected_rule", step_names("injected_steps").alias("steps"))
+
+
+@query("anomaly_eval_rows", f"""WITH {ROUTES}, {CANONICAL},
+half AS (SELECT greatest(1, count(DISTINCT user_id) // 6) AS half FROM events),
+ranked AS (SELECT user_id, family, steps, half, concat_ws('|', user_id, 0) AS key, count(*) OVER (PARTITION BY family) AS n,
+  row_number() OVER (PARTITION BY family ORDER BY md5(concat_ws('|', '5', user_id, 0)), user_id) - 1 AS r FROM s, half),
+placed AS (SELECT *, CASE WHEN n > half THEN r - half ELSE r END AS p, CASE WHEN n > half THEN n - half ELSE n END AS pool FROM ranked),
+bases AS (SELECT concat_ws('|', key, i) AS key, family, steps, '5' AS seed, i
+  FROM (SELECT *, unnest(generate_series(p, half - 1, pool)) AS i FROM placed WHERE p >= 0 AND p < half)), {injected_sql('bases')}
+SELECT format('{{}}_valid_{{:04d}}', family, r) AS example_id, family, array_to_string(steps, '|') AS steps, 1 AS is_valid, '' AS rule
+FROM ranked WHERE r < half
+UNION ALL SELECT format('{{}}_inval_{{:04d}}', family, CAST(string_split(key, '|')[3] AS BIGINT)), family, array_to_string(steps, '|'), 0, rule
+FROM injected""")
 def anomaly_eval_rows(spark, sf):
     """Per family as many valid as injected rows as the table has sequences for."""
     rows = classed_segments(spark, sf, fab.EXACT)
@@ -232,14 +292,82 @@ def baseline_next_to_model(spark, sf):
                       first("reranked").alias("model_next"))
 
 
-@query("greedy_completion")
+def _illegal(c: str, get: str = "") -> str:
+    """Whether candidate c breaks a rule in the state of the row, whose columns start with get."""
+    tests = []
+    for rule in fab.BY_CLASS.rules:
+        if isinstance(rule, Windowed):
+            tests += [f"({c}.is_{rule.trigger.lower()} = 1 AND NOT coalesce({get}pos - {get}l_{e.lower()} <= {n}, FALSE))" for e, n in rule.needs]
+        elif isinstance(rule, Milestone):
+            tests += [f"({c}.is_{rule.trigger.lower()} = 1 AND {get}l_{e.lower()} IS NULL)" for e in rule.needs]
+        else:
+            tests.append(f"coalesce({get}prior > 0 AND ({c}.level > {get}prior + 1 OR {c}.level < {get}prior), FALSE)")
+    return " OR ".join(tests)
+
+
+def _cycling(steps: str) -> str:
+    """Whether the last eight steps repeat with period 1 to 4."""
+    last = lambda i: f"{steps}[len({steps}) - {7 - i}]"
+    periods = [" AND ".join(f"{last(i)} = {last(i % p)}" for i in range(p, 8)) for p in (1, 2, 3, 4)]
+    return f"(len({steps}) >= 8 AND ({' OR '.join(f'({p})' for p in periods)}))"
+
+
+_ENABLERS = [e.lower() for e in fab.BY_CLASS.enablers]
+_FIELDS = ", ".join(f"'is_{e.lower()}': d.is_{e.lower()}" for e in fab.BY_CLASS.events)
+_BEFORE = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+# every prefix at its cut with its state, and the candidate lists
+PREFIXES_AND_LISTS = f"""{ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS},
+{NGRAMS.replace('FROM j', 'FROM c')},
+d AS (SELECT DISTINCT step AS next, level, {', '.join(f'is_{e.lower()}' for e in fab.BY_CLASS.events)} FROM cx),
+m AS (SELECT len, context, list({{'next': r.next, 'p': r.cnt / t.total, 'level': d.level, {_FIELDS}}} ORDER BY rank) AS cands
+  FROM r JOIN d USING (next) JOIN (SELECT len, context, sum(cnt) AS total FROM g GROUP BY 1, 2) t USING (len, context) WHERE rank <= {{k}} GROUP BY 1, 2),
+anyc AS (SELECT cands AS all_cands FROM m WHERE len = 0),
+st AS (SELECT cx.user_id, cx.step_index AS pos, l.lag1, l.lag2, prior, count(*) OVER (PARTITION BY cx.user_id) AS n,
+  coalesce(max(CASE WHEN cx.step = '{decode.LAST_TEST}' THEN 1 END) {_BEFORE.replace('user_id', 'cx.user_id').replace('ts,', 'cx.ts,').replace(' event_id', ' cx.event_id')}, 0) = 1 AS has_test,
+  {', '.join(f"max(CASE WHEN cx.is_{e} = 1 THEN cx.step_index END) {_BEFORE.replace('user_id', 'cx.user_id').replace('ts,', 'cx.ts,').replace(' event_id', ' cx.event_id')} AS l_{e}" for e in _ENABLERS)}
+  FROM cx JOIN l ON l.user_id = cx.user_id AND l.step_index = cx.step_index),
+start AS (SELECT st.*, fr AS fraction, NOT EXISTS (SELECT 1 FROM cv WHERE cv.user_id = st.user_id AND cv.step_index < st.pos) AS prefix_valid
+  FROM st, (SELECT unnest([0.6::DOUBLE, 0.8::DOUBLE]) AS fr) WHERE pos = greatest(1, floor(n * fr)))"""
+
+
+def _completion_sql(k: int, fallback: bool, finish: bool) -> str:
+    opened = "coalesce(lag1 <> 'SHIP LOT', TRUE)" + " AND prefix_valid" * finish
+    states = ", ".join(f"CASE WHEN pick IS NOT NULL AND pick.is_{e} = 1 THEN pos ELSE l_{e} END AS l_{e}" for e in _ENABLERS)
+    end = ""
+    if finish:
+        end = """fin AS (SELECT user_id, fraction, prefix_valid,
+  CASE WHEN coalesce(lag1 <> 'SHIP LOT', TRUE) AND NOT has_test THEN list_append(comp, 'WAFER SORT TEST') ELSE comp END AS comp,
+  coalesce(lag1 <> 'SHIP LOT', TRUE) AND (NOT has_test OR l_sort_test IS NOT NULL) AS ships FROM ended)
+SELECT user_id, fraction, CASE WHEN NOT prefix_valid THEN '' WHEN ships THEN array_to_string(list_append(comp, 'SHIP LOT'), '|')
+  ELSE array_to_string(comp, '|') END AS completion FROM fin"""
+    else:
+        end = "last AS (FROM ended) SELECT user_id, fraction, array_to_string(comp, '|') AS completion FROM last"
+    pick = "coalesce(legal[1], cands[1])" if fallback else "legal[1]"
+    return f"""WITH RECURSIVE {PREFIXES_AND_LISTS.replace("{k}", str(k))},
+go AS (
+  SELECT user_id, fraction, 0 AS i, pos, lag1, lag2, prior, has_test, prefix_valid, {', '.join(f'l_{e}' for e in _ENABLERS)},
+    CAST([] AS VARCHAR[]) AS comp, {opened} AS open FROM start
+  UNION ALL
+  SELECT user_id, fraction, i + 1, CASE WHEN pick IS NULL THEN pos ELSE pos + 1 END, coalesce(pick.next, lag1),
+    CASE WHEN pick IS NULL THEN lag2 ELSE lag1 END, coalesce(pick.level, prior), has_test OR coalesce(pick.next = '{decode.LAST_TEST}', FALSE),
+    prefix_valid, {states}, grown, pick IS NOT NULL AND pick.next <> '{decode.TERMINAL}' AND NOT {_cycling('grown')}
+  FROM (SELECT *, CASE WHEN pick IS NULL THEN comp ELSE list_append(comp, pick.next) END AS grown
+    FROM (SELECT *, {pick} AS pick FROM (SELECT *, list_filter(cands, lambda c: NOT ({_illegal('c')})) AS legal
+      FROM (SELECT go.*, coalesce(m2.cands, m1.cands, all_cands) AS cands FROM go CROSS JOIN anyc
+        LEFT JOIN m m2 ON m2.len = 2 AND m2.context = lag2 || '|' || lag1 LEFT JOIN m m1 ON m1.len = 1 AND m1.context = lag1
+        WHERE open AND i < 160))))),
+ended AS (SELECT * FROM go QUALIFY row_number() OVER (PARTITION BY user_id, fraction ORDER BY i DESC) = 1),
+{end}"""
+
+
+@query("greedy_completion", _completion_sql(1 << 30, False, True))
 def greedy_completion(spark, sf):
     lists, profile, _, prefixes = model_and_prefixes(spark, sf)
     out = decode.complete(prefixes, lists, fab.BY_CLASS, profile)
     return out.select("user_id", "fraction", F.array_join("completion", "|").alias("completion"))
 
 
-@query("top_ten_completion")
+@query("top_ten_completion", _completion_sql(10, True, False))
 def top_ten_completion(spark, sf):
     lists, profile, _, prefixes = model_and_prefixes(spark, sf, k=10)
     out = decode.complete(prefixes, lists, fab.BY_CLASS, profile, top=10,
