@@ -1,11 +1,12 @@
 """Rule semantics on hand-made routes, and agreement of the two evaluation forms."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from waymark.functions import steps as S
 from waymark.operators.advisory import strict_advisory
-from waymark.operators.rules import array_violations, check, first_violation, report, with_state, violations
+from waymark.operators.rules import array_violations, check, findings_function, first_violation, report, with_state, violations
 from waymark.plans import inputs
 from waymark.rulesets import fabrication as fab
 
@@ -128,3 +129,17 @@ def test_rules_share_one_exchange(spark, sf):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "BatchEvalPython" not in text
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
+
+
+def test_findings_by_a_table_function(spark, sf):
+    """One SQL call over a table that the caller partitions and orders gives the findings of the batch check."""
+    spark.udtf.register("findings", findings_function(inputs.JOURNEY_BOOK))
+    steps = inputs.journeys(spark, sf, graded=True)
+    book = inputs.JOURNEY_BOOK
+    marked = steps.withColumns({"mask": book.mask(F.col("step")), "level": book.level_of(F.col("step"))})
+    got = spark.sql("SELECT * FROM findings(TABLE({t}) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id')", t=marked)
+    names = ["user_id", "rule", "rule_ord", "step_index", "step", "severity"]
+    want = check(steps, book, ["user_id"], inputs.ORDER)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect())) != []
+    with pytest.raises(AnalysisException, match="level, mask"):
+        spark.sql("SELECT * FROM findings(TABLE({t}) PARTITION BY user_id ORDER BY (ts), 'user_id')", t=steps)

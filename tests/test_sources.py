@@ -11,7 +11,7 @@ from waymark.operators.rules import check
 from waymark.plans import inputs
 from waymark.rulesets import fabrication as fab
 from waymark.sources import readers as R, writers as W
-from waymark.streaming.monitor import live_contexts, monitor, run_available
+from waymark.streaming.monitor import live_contexts, run_available, run_monitor
 
 
 def put(tmp_path, name, text):
@@ -151,46 +151,54 @@ def parts(spark, sf, folder, n):
     return R.read_event_stream(spark, str(folder), df.schema, files_per_trigger=1)
 
 
-def test_stream_equals_batch_over_several_micro_batches(spark, sf, tmp_path):
-    found = monitor(parts(spark, sf, tmp_path / "e", 3), inputs.JOURNEY_BOOK, "user_id", "ts", "event_id")
-    got = rows(run_available(found, "t").filter("NOT late"), "user_id", "rule", "step_index", "step")
-    want = rows(check(inputs.journeys(spark, sf, graded=True), inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER),
-                "user_id", "rule", "step_index", "step")
-    assert got == want and got
+STREAMED = ["user_id", "rule", "step_index", "step"]
 
 
-def late_rows(spark, folder, delay):
-    """Three files; the second brings a row older than the first."""
-    schema = "user_id long, ts timestamp, event_id long, step string"
-    for i, part in enumerate([[(1, "2024-01-01 00:10:00", 1, "purchase 0")], [(1, "2024-01-01 00:05:00", 2, "signup 0")],
-                              [(1, "2024-01-01 00:30:00", 3, "purchase 0"), (1, "2024-01-01 00:31:00", 4, "purchase 0")]]):
+def in_files(spark, folder, parts):
+    """(user_id, ts, event_id, step) rows in one file after the other, as a stream of one file at a time."""
+    for part in parts:
         df = spark.createDataFrame(part, "user_id long, ts string, event_id long, step string")
         df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(folder))
-    stream = R.read_event_stream(spark, str(folder), schema, files_per_trigger=1)
-    out = run_available(monitor(stream, inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", delay=delay), "late")
-    return rows(out.fillna(-1, ["step_index"]), "rule", "step_index", "late")
-
-
-def test_late_steps_go_to_the_side(spark, tmp_path):
-    got = late_rows(spark, tmp_path / "e", "0 seconds")
-    assert ("LATE", -1, True) in got and ("PURCHASE_BEFORE_SIGNUP", 0, False) in got
-
+    return R.read_event_stream(spark, str(folder), "user_id long, ts timestamp, event_id long, step string", files_per_trigger=1)
 
-def test_waiting_puts_steps_in_order(spark, tmp_path):
-    got = late_rows(spark, tmp_path / "e", "10 minutes")
-    assert not [r for r in got if r[2]]
-    assert [r for r in got if r[0] == "PURCHASE_NO_CLICK"] == [("PURCHASE_NO_CLICK", 1, False)]
 
-
-def test_terminal_step_drops_the_state(spark, tmp_path):
-    schema = "user_id long, ts timestamp, event_id long, step string"
-    for i in range(2):
-        df = spark.createDataFrame([(1, i, "SHIP LOT")], "user_id long, event_id long, step string").withColumn(
-            "ts", F.timestamp_seconds(F.col("event_id") * 60)).select("user_id", "ts", "event_id", "step")
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
-    stream = R.read_event_stream(spark, str(tmp_path / "e"), schema, files_per_trigger=1)
-    out = run_available(monitor(stream, fab.EXACT, "user_id", "ts", "event_id", terminal="SHIP"), "end")
-    assert rows(out, "rule", "step_index") == [("RULE_SHIP_BEFORE_TEST", 0)] * 2
+def test_stream_equals_batch_over_several_micro_batches(spark, sf, tmp_path):
+    found, late = run_monitor(parts(spark, sf, tmp_path / "e", 3), "t", inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", cell="3 days")
+    want = rows(check(inputs.journeys(spark, sf, graded=True), inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER), *STREAMED)
+    assert rows(found, *STREAMED) == want and want and late.count() == 0
+
+
+def test_steps_out_of_order_wait_for_the_watermark(spark, tmp_path):
+    """The second file brings steps older than the first one's; within the delay they are put in order, late ones go to the side."""
+    shuffled = [[(1, "2024-01-01 00:10:00", 1, "purchase 0"), (2, "2024-01-01 00:10:00", 7, "view 3")],
+                [(1, "2024-01-01 00:05:00", 2, "signup 0"), (2, "2024-01-01 00:04:00", 8, "view 1")],
+                [(1, "2024-01-01 00:30:00", 3, "purchase 0"), (1, "2024-01-01 00:31:00", 4, "purchase 0")]]
+    batch = spark.createDataFrame([r for part in shuffled for r in part], "user_id long, ts string, event_id long, step string")
+    batch = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = in_files(spark, tmp_path / "e", shuffled)
+    found, late = run_monitor(stream, "wait", inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", delay="10 minutes", cell="1 minute")
+    assert late.count() == 0
+    assert rows(found, *STREAMED) == rows(check(batch, inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER), *STREAMED)
+    found, late = run_monitor(stream, "late", inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", cell="1 minute")
+    assert rows(late, "user_id", "step", "tie") == [(1, "signup 0", 2), (2, "view 1", 8)] and "rule" not in late.columns
+    kept = batch.filter("event_id NOT IN (2, 8)")
+    assert rows(found, *STREAMED) == rows(check(kept, inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER), *STREAMED)
+
+
+def test_state_goes_at_the_terminal_step_or_when_idle(spark, tmp_path):
+    """A sequence that begins anew has its first step at position 0 again."""
+    stream = in_files(spark, tmp_path / "e", [[(1, "2024-01-01 00:00:00", 0, "SHIP LOT")], [(2, "2024-01-01 01:00:00", 1, "HF DIP")], [(1, "2024-01-01 02:00:00", 2, "SHIP LOT")]])
+    for options, places in (({"terminal": "SHIP"}, [0, 0]), ({"idle": "20 minutes"}, [0, 0]), ({}, [0])):
+        found, _ = run_monitor(stream, "end", fab.EXACT, "user_id", "ts", "event_id", cell="1 minute", **options)
+        assert [r[1] for r in rows(found.filter("rule = 'RULE_SHIP_BEFORE_TEST'"), "ts", "step_index")] == places
+
+
+def test_one_long_key_in_cells(spark, tmp_path):
+    steps = [(1, f"2024-01-01 {n // 60 % 24:02d}:{n % 60:02d}:00", n, "purchase 0" if n % 7 == 0 else "click 0") for n in range(1200)]
+    stream = in_files(spark, tmp_path / "e", [steps[::-1][:700], steps[:500]][::-1])
+    found, late = run_monitor(stream, "long", inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", cell="10 minutes", delay="1 hour")
+    batch = spark.createDataFrame(steps, "user_id long, ts string, event_id long, step string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert rows(found, *STREAMED) == rows(check(batch, inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER), *STREAMED) and late.count() == 0
 
 
 def test_contexts_follow_the_latest_steps(spark, sf, tmp_path):

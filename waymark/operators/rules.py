@@ -12,7 +12,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from waymark.functions.arrays import let
 from waymark.operators.ordered import running_state
@@ -269,6 +271,78 @@ def rule_name(book: RuleBook, number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(r.rule) for r in book.rules]), number)
 
 
+# -- one step after another, where a keyed task gets them in order ---------------------------------
+
+class Fold:
+    """One sequence: feed it steps in order, it names the rules each one breaks."""
+
+    def __init__(self, book: RuleBook):
+        self.names = book.enablers
+        self.bits = [book.bits[e] for e in self.names]
+        self.place = {e: i for i, e in enumerate(self.names)}
+        self.rules, self.trigger = book.rules, book.bits
+
+    def broken(self, position: int, last: list[int], level: int | None, mask: int, new_level: int | None):
+        """The rules that a step breaks, given the position, the last position of each enabler (-1: none) and the last level."""
+        for rule in self.rules:
+            if isinstance(rule, Level):
+                moves = level is not None and new_level is not None and (level > 0 or not rule.ignore_zero)
+                if moves and (new_level > level + 1 or new_level < level):
+                    yield rule.rule
+                continue
+            if not mask & self.trigger[rule.trigger]:
+                continue
+            if isinstance(rule, Windowed):
+                near = [last[self.place[e]] for e, _ in rule.needs]
+                if any(at < 0 or position - at > n for at, (_, n) in zip(near, rule.needs)):
+                    yield rule.rule
+            elif isinstance(rule, Milestone):
+                first = not isinstance(rule, FirstOf) or last[self.place[rule.trigger]] < 0
+                if first and any(last[self.place[e]] < 0 for e in rule.needs):
+                    yield rule.rule
+
+
+def findings_function(book: RuleBook):
+    """A table function for SQL: the broken rules of each partition of its table argument, as the rows come.
+
+    Register it with ``spark.udtf.register`` and call it on a table that has the columns
+    step, mask and level, partitioned and ordered by the caller:
+
+        SELECT * FROM findings(TABLE(steps) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id')
+
+    The result has the named column, rule, rule_ord, step_index, step and severity. Only the
+    fold's few numbers are kept of the rows that have passed.
+    """
+    fold = Fold(book)
+    numbers = {rule.rule: (i, rule.severity) for i, rule in enumerate(book.rules, 1)}
+
+    @udtf
+    class Findings:
+        def __init__(self):
+            self.position, self.last, self.level = 0, [-1] * len(fold.names), None
+
+        @staticmethod
+        def analyze(table: AnalyzeArgument, key: AnalyzeArgument) -> AnalyzeResult:
+            kinds = {f.name: f.dataType for f in table.dataType.fields} if table.isTable else {}
+            missing = {"step", "mask", "level", key.value} - set(kinds)
+            if missing:
+                raise ValueError(f"the table argument has no column {', '.join(sorted(map(str, missing)))}")
+            return AnalyzeResult(T.StructType().add(key.value, kinds[key.value]).add("rule", T.StringType()).add("rule_ord", T.IntegerType())
+                                 .add("step_index", T.LongType()).add("step", T.StringType()).add("severity", T.IntegerType()))
+
+        def eval(self, row, key):
+            mask, level = row["mask"], row["level"]
+            for rule in fold.broken(self.position, self.last, self.level, mask, level):
+                yield row[key], rule, numbers[rule][0], self.position, row["step"], numbers[rule][1]
+            for i, bit in enumerate(fold.bits):
+                if mask & bit:
+                    self.last[i] = self.position
+            self.level = self.level if level is None else level
+            self.position += 1
+
+    return Findings
+
+
 # -- rules as a graph ------------------------------------------------------------------------
 
 def causal_edges(book: RuleBook, spark) -> DataFrame:

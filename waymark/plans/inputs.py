@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.functions import steps
-from waymark.operators.ordered import running_state, segments
+from waymark.operators.ordered import MAX_LEN, running_state, segments
 from waymark.operators.rules import FirstOf, Level, Milestone, RuleBook, Windowed
 from waymark.rulesets import fabrication as fab
 from waymark.session import by_distinct
 
 ORDER = ["ts", "event_id"]
 FAMILIES = ["MOSFET", "IGBT", "IC"]
-# Steps that one array row holds; far above any sequence that fits a task, so one row is one sequence.
-MAX_LEN = 32_768
 
 # Journeys graded by value: 'view 1', 'click 0', ...
 JOURNEY_BOOK = RuleBook(

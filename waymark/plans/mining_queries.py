@@ -162,9 +162,9 @@ def content_keys(spark, sf):
 
 # -- weights, splits, quantiles ------------------------------------------------------------------
 
-@query("distinct_sequences", """WITH j AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
+@query("distinct_sequences", f"""WITH j AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
   AS i FROM conversations),
-s AS (SELECT conv_id, i // 512 AS segment, string_agg(role, '|' ORDER BY i) AS steps FROM j GROUP BY 1, 2)
+s AS (SELECT conv_id, i // {MAX_LEN} AS segment, string_agg(role, '|' ORDER BY i) AS steps FROM j GROUP BY 1, 2)
 SELECT CAST(min(conv_id) AS BIGINT) AS conv_id, steps, CAST(count(*) AS BIGINT) AS copies FROM s GROUP BY steps""")
 def distinct_sequences(spark, sf):
     rows = running_state(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from waymark.functions import steps as S
 from waymark.operators import advisory
 from waymark.operators.ordered import running_state, segments
-from waymark.operators.rules import (check, first_violation, oracle, report, violation_text, violations,
+from waymark.operators.rules import (check, findings_function, first_violation, oracle, report, violation_text, violations,
                                      with_state)
 from waymark.plans.inputs import (GRADED, JOURNEY_BOOK, JOURNEY_BOOK_BY_STEP, JOURNEYS, MAX_LEN, ORDER, ROUTES,
                                   isin, journey_segments, journeys, routes, table)
@@ -34,9 +34,9 @@ def journeys_array(spark, sf):
                                               F.array_join("steps", "|").alias("steps"))
 
 
-@query("dialogues_array", """WITH j AS (SELECT conv_id, role,
+@query("dialogues_array", f"""WITH j AS (SELECT conv_id, role,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
-SELECT conv_id, CAST(i // 512 AS BIGINT) AS segment, string_agg(role, '|' ORDER BY i) AS roles FROM j GROUP BY 1, 2""")
+SELECT conv_id, CAST(i // {MAX_LEN} AS BIGINT) AS segment, string_agg(role, '|' ORDER BY i) AS roles FROM j GROUP BY 1, 2""")
 def dialogues_array(spark, sf):
     rows = running_state(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])
     return segments(rows, ["conv_id"], {"role": F.col("role")}).select(
@@ -155,6 +155,17 @@ def ranked_findings(spark, sf):
     return ranked.filter("place <= 3").select("user_id", "rule", "step_index", "severity", "place")
 
 
+@query("findings_table_function", f"""WITH {JOURNEY_RULES}, w AS (SELECT *, CASE rule WHEN 'PURCHASE_BEFORE_SIGNUP' THEN 4
+  WHEN 'PURCHASE_NO_CLICK' THEN 3 WHEN 'ERROR_NO_TRACE' THEN 2 ELSE 1 END AS severity FROM v)
+SELECT user_id, rule, rule_ord, step_index, step, severity FROM w""")
+def findings_table_function(spark, sf):
+    """The same findings by one SQL call of a table function."""
+    spark.udtf.register("journey_findings", findings_function(JOURNEY_BOOK))
+    marked = journeys(spark, sf, graded=True).withColumns({"mask": JOURNEY_BOOK.mask(F.col("step")), "level": JOURNEY_BOOK.level_of(F.col("step"))})
+    return spark.sql("SELECT * FROM journey_findings(TABLE({steps}) PARTITION BY user_id ORDER BY (ts, event_id), 'user_id')",
+                     steps=marked.select("user_id", "ts", "event_id", "step", "mask", "level"))
+
+
 # -- fabrication rules on routes ------------------------------------------------------------
 
 def exact_state(spark, sf):

@@ -10,7 +10,7 @@ from waymark.plans.registry import query
 from waymark.plans.rule_queries import JOURNEY_RULES
 from waymark.plans.score_queries import NGRAMS, journey_ngrams
 from waymark.sources.readers import read_event_stream
-from waymark.streaming.monitor import live_contexts, live_next_steps, monitor, run_available
+from waymark.streaming.monitor import live_contexts, live_next_steps, run_available, run_monitor
 
 
 def event_stream(spark, sf):
@@ -25,8 +25,8 @@ def event_stream(spark, sf):
 def stream_rule_monitor(spark, sf):
     step = F.concat_ws(" ", "event_type", F.floor(F.col("value") / 50).cast("bigint").cast("string"))
     stream = event_stream(spark, sf).select("user_id", "ts", "event_id", step.alias("step"))
-    found = monitor(stream, JOURNEY_BOOK, "user_id", "ts", "event_id")
-    return run_available(found, "monitor").select("user_id", "rule", "step_index", "step")
+    found, _ = run_monitor(stream, "monitor", JOURNEY_BOOK, "user_id", "ts", "event_id", cell="100 days")
+    return found.select("user_id", "rule", "step_index", "step")
 
 
 @query("stream_next_steps", f"""WITH {JOURNEYS}, {NGRAMS},

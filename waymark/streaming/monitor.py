@@ -3,123 +3,172 @@
 Event classes and levels are columns, computed before the grouping. What is left
 for the keyed operator is a fold over small integers: the position, the latest
 position of each enabler and the last level. Its state does not grow with the
-length of a sequence; only rows still waiting for their turn are buffered.
+length of a sequence; only rows still waiting for the watermark are kept, in the
+state store, by cells of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from heapq import nlargest
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waymark.functions.times import micros
-from waymark.operators.rules import FirstOf, Level, Milestone, RuleBook, Windowed
+from waymark.operators.rules import Fold, RuleBook
 from waymark.session import ensure_checkpoint_dir
 
-STATE = ("position long, last array<long>, level int, released long, "
-         "ts array<long>, tie array<long>, step array<string>, mask array<int>, lvl array<int>")
-
-
-class _Fold:
-    """One sequence: feed it steps in order, it names the rules each one breaks."""
-
-    def __init__(self, book: RuleBook):
-        self.names = book.enablers
-        self.bits = [book.bits[e] for e in self.names]
-        self.place = {e: i for i, e in enumerate(self.names)}
-        self.rules, self.trigger = book.rules, book.bits
-
-    def broken(self, position: int, last: list[int], level: int | None, mask: int, new_level: int | None):
-        for rule in self.rules:
-            if isinstance(rule, Level):
-                moves = level is not None and new_level is not None and (level > 0 or not rule.ignore_zero)
-                if moves and (new_level > level + 1 or new_level < level):
-                    yield rule.rule
-                continue
-            if not mask & self.trigger[rule.trigger]:
-                continue
-            if isinstance(rule, Windowed):
-                near = [last[self.place[e]] for e, _ in rule.needs]
-                if any(at < 0 or position - at > n for at, (_, n) in zip(near, rule.needs)):
-                    yield rule.rule
-            elif isinstance(rule, Milestone):
-                first = not isinstance(rule, FirstOf) or last[self.place[rule.trigger]] < 0
-                if first and any(last[self.place[e]] < 0 for e in rule.needs):
-                    yield rule.rule
-
-
-def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, step: str = "step",
-            mask=None, delay: str = "0 seconds", idle: str | None = None, terminal: str | None = None) -> DataFrame:
-    """key, rule, step_index, step, late: violations as the steps arrive.
-
-    Steps of a key wait until a step ``delay`` younger has been seen, and are
-    judged in order of (ts, tie). A step older than one already judged is given
-    out with rule LATE instead of changing the past. ``terminal`` names an event
-    after which the state of the key is dropped, ``idle`` a processing time.
-    Rules give the same violations as the batch check on the same rows, for rows
-    that are not late.
+FOUND = "rule string, step_index long, step string, ts long, tie long, late boolean"
+FOLD = "position long, last array<long>, level int, newest long"
+WAITING = "ts array<long>, tie array<long>, step array<string>, mask array<int>, lvl array<int>"
+# Event time of the row that closes a stream which has come to its end.
+FAR = "9000-01-01 00:00:00"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Monitor(StatefulProcessor):
+    """The rules of one key: a value for the fold, a map of cells of time for the steps that wait.
+
+    A cell is read when the watermark has passed its end, so that all its steps are
+    there, and by itself, so that a key with any number of steps needs the memory of one cell.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    marked = stream.select(F.col(key).alias("key"), micros(F.col(ts), stream.schema[ts].dataType).alias("ts"), F.col(tie).alias("tie"),
-                           F.col(step).alias("step"), (book.mask(F.col(step)) if mask is None else mask).alias("mask"),
-                           book.level_of(F.col(step)).alias("lvl"))
-    fold = _Fold(book)
-    wait = int(pd.Timedelta(delay).total_seconds() * 1_000_000)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-    end_bit = book.bits[terminal] if terminal else 0
-
-    def advance(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            position, last, level, released, *held = state.get
-            last, held = list(last), [list(h) for h in held]
-        else:
-            position, last, level, released, held = 0, [-1] * len(fold.names), None, -(1 << 62), [[], [], [], [], []]
-        waiting = list(zip(*held))
-        out = []
-        if not state.hasTimedOut:
-            for pdf in batches:
-                levels = [None if pd.isna(v) else int(v) for v in pdf["lvl"]]
-                waiting += list(zip(pdf["ts"].tolist(), pdf["tie"].tolist(), pdf["step"].tolist(),
-                                    pdf["mask"].tolist(), levels))
-        waiting.sort(key=lambda r: (r[0], r[1]))
-        horizon = max([r[0] for r in waiting], default=released) - wait
-        if state.hasTimedOut:
-            horizon = 1 << 62
-        kept, ended = [], False
-        for row in waiting:
-            if row[0] > horizon:
-                kept.append(row)
-            elif row[0] < released:
-                out.append(("LATE", None, row[2], True))
-            else:
-                for rule in fold.broken(position, last, level, row[3], row[4]):
-                    out.append((rule, position, row[2], False))
-                for i, bit in enumerate(fold.bits):
-                    if row[3] & bit:
-                        last[i] = position
-                level = level if row[4] is None else row[4]
-                position, released = position + 1, row[0]
-                ended = ended or bool(row[3] & end_bit)
-        if state.hasTimedOut or (ended and not kept):
-            state.remove()
+
+    def __init__(self, book: RuleBook, key: str, cell: int, idle: int | None, terminal: str | None):
+        self.book, self.key, self.cell, self.idle = book, key, cell, idle
+        self.end_bit = book.bits[terminal] if terminal else 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rules = handle, Fold(self.book)
+        self.state = handle.getValueState("fold", FOLD)
+        self.waiting = handle.getMapState("waiting", "cell long", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        for batch in rows:
+            old = batch["ts"] < mark
+            for cell, part in batch[~old].groupby(batch["ts"] // self.cell):
+                self._wait(int(cell), part)
+            if old.any():
+                yield self._frame(key, [(None, None, r.step, r.ts, r.tie, True) for r in batch[old].itertuples()])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        cells = sorted(k[0] for k in self.waiting.keys())
+        due = [c for c in cells if (c + 1) * self.cell <= mark]
+        none = (0, [-1] * len(self.rules.names), None)
+        position, last, level, newest = self._folded()
+        for cell in due:
+            out = []
+            for ts, tie, step, mask, new_level in sorted(zip(*self.waiting.getValue((cell,))), key=lambda r: r[:2]):
+                if self.idle is not None and newest >= 0 and ts - newest > self.idle:
+                    position, last, level = none
+                out += [(rule, position, step, ts, tie, False) for rule in self.rules.broken(position, last, level, mask, new_level)]
+                last = [position if mask & bit else at for at, bit in zip(last, self.rules.bits)]
+                level = level if new_level is None else new_level
+                position, newest = position + 1, ts
+                if mask & self.end_bit:
+                    position, last, level = none
+            self.waiting.removeKey((cell,))
+            if out:
+                yield self._frame(key, out)
+        over = position == 0 or self.idle is not None and newest + self.idle < mark
+        if over and len(due) == len(cells):
+            self.state.clear()
+        elif due:
+            self.state.update((position, last, level, newest))
+            if self.idle is not None:
+                self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+    def _folded(self) -> tuple:
+        if not self.state.exists():
+            return 0, [-1] * len(self.rules.names), None, -1
+        position, last, level, newest = self.state.get()
+        return int(position), [int(x) for x in last], None if level is None else int(level), int(newest)
+
+    def _wait(self, cell: int, part: pd.DataFrame) -> None:
+        levels = [None if pd.isna(v) else int(v) for v in part["lvl"]]
+        new = [part["ts"].tolist(), part["tie"].tolist(), part["step"].tolist(), part["mask"].tolist(), levels]
+        if self.waiting.containsKey((cell,)):
+            new = [[*held, *more] for held, more in zip(self.waiting.getValue((cell,)), new)]
         else:
-            columns = [list(c) for c in zip(*kept)] if kept else [[], [], [], [], []]
-            state.update((position, last, level, released, *columns))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-        if out:
-            frame = pd.DataFrame(out, columns=["rule", "step_index", "step", "late"])
-            frame["step_index"] = frame["step_index"].astype("Int64")
-            frame.insert(0, key, name[0])
-            yield frame
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return marked.groupBy("key").applyInPandasWithState(
-        advance, f"`{key}` {kind}, rule string, step_index long, step string, late boolean", STATE, "append", timeout)
+            self.handle.registerTimer(-(-(cell + 1) * self.cell // 1000))
+        self.waiting.updateValue((cell,), tuple(new))
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["rule", "step_index", "step", "ts", "tie", "late"])
+        frame["step_index"] = frame["step_index"].astype("Int64")
+        frame.insert(0, self.key, key[0])
+        return frame
+
+
+def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, step: str = "step", mask=None, delay: str = "0 seconds",
+            cell: str = "1 hour", idle: str | None = None, terminal: str | None = None) -> DataFrame:
+    """key, rule, step_index, step, ts, tie, late: violations as the steps arrive, and the steps that came too late.
+
+    Steps of a key wait until the watermark, ``delay`` behind the newest step of the
+    stream, has passed their cell of time, and are judged in order of (ts, tie). A step
+    older than the watermark changes nothing; it is given out as late, with a null rule.
+    A key's sequence begins anew after the event ``terminal``, and after a gap of more than
+    ``idle`` in event time; its state goes when the watermark has passed either. Rules give the same violations as the batch
+    check on the rows that aren't late. Rows at or after FAR only move the watermark.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    at = F.timestamp_micros(micros(F.col(ts), stream.schema[ts].dataType))
+    marked = stream.select(F.col(key).alias("key"), at.alias("at"), F.col(tie).cast("long").alias("tie"), F.col(step).alias("step"),
+                           (book.mask(F.col(step)) if mask is None else mask).cast("int").alias("mask"), book.level_of(F.col(step)).alias("lvl"))
+    # late rows have to reach the processor, so the column with the watermark is left out
+    timed = marked.withWatermark("at", delay).filter(F.col("at") < F.lit(FAR).cast("timestamp")).withColumn("ts", F.unix_micros("at")).drop("at")
+    micro = lambda span: int(pd.Timedelta(span).total_seconds() * 1_000_000)
+    processor = _Monitor(book, key, micro(cell), micro(idle) if idle else None, terminal)
+    return timed.groupBy("key").transformWithStateInPandas(processor, f"`{key}` {kind}, {FOUND}", "Append", "EventTime")
+
+
+def run_monitor(stream: DataFrame, name: str, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """(violations, late steps) of all that a stream has now, by ``monitor``, each in a table of the shared folder.
+
+    When the stream is read, one more row at FAR is sent through the same query: the
+    watermark passes all steps, and those still waiting are judged.
+    """
+    spark: SparkSession = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    ts = args[2]
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/closing")
+    closing = spark.readStream.schema(stream.schema).parquet(f"{base}/closing")
+    found = monitor(stream.unionByName(closing), *args, **options)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("late").parquet(f"{base}/rows/batch={number}")
+
+    def read_all() -> None:
+        with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+            (found.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+             .awaitTermination())
+
+    read_all()
+    empty = [F.lit(FAR).cast("timestamp").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*empty).write.mode("append").parquet(f"{base}/closing")
+    read_all()
+    out = spark.read.schema(T.StructType([f for f in found.schema if f.name != "late"] + [T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
+    return out.filter("NOT late").drop("late", "batch"), out.filter("late").drop("late", "batch", "rule", "step_index")
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def live_contexts(stream: DataFrame, key: str, ts: str, tie: str, *, step: str = "step", n: int = 3) -> DataFrame:
