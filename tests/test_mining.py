@@ -1,6 +1,7 @@
 """n-grams, vocabulary, buckets, splits, sampling, likelihood."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.scorers import ranked, score_prefixes
 from waymark.operators import mining as M
 from waymark.operators.components import component_of, merge_groups
+from waymark.operators.semantics import best_match
 from waymark.rulesets.fabrication import NOT_SYNONYMS, SPECIAL_TOKENS, SYNONYM_SEEDS
 
 
@@ -114,3 +116,28 @@ def test_custom_scorer(spark):
     got = {r.id: [(c.rank, c.next) for c in r.candidates] for r in out.collect()}
     assert got == {1: [(1, "B"), (2, "X")], 2: [(1, "C"), (2, "X")]}
     assert ranked(["a", "b"]) == [("a", 0.0), ("b", 0.0)]
+
+
+def test_components_of_large_groups(spark):
+    """Groups far above the size that meets under one key: split into trees, joined with small ones and each other."""
+    big = spark.range(5000).selectExpr("'big' AS group_id", "id AS member").union(spark.range(9000, 12000).selectExpr("'other'", "id"))
+    chain = spark.range(20_000, 20_040).selectExpr("concat('c', id) AS group_id", "explode(array(id, id + 1)) AS member")
+    bridge = spark.createDataFrame([("x", 4999), ("x", 9001), ("y", 20_040), ("y", 20_100), ("alone", 77_777)], "group_id string, member long")
+    got = {r.member: r.component for r in merge_groups(big.union(chain).union(bridge), group_size=50).collect()}
+    want = {m: 0 for m in [*range(5000), *range(9000, 12000)]} | {m: 20_000 for m in [*range(20_000, 20_041), 20_100]}
+    assert got == want
+
+
+def test_best_match_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    names = lambda n: [(rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for _ in range(n)]
+    left, right = names(150) + [("a", ""), ("a", "w1 w2"), ("a", "w2  w1"), ("a", "w2 w1 w2")], names(150) + [("a", "w1 w2 w3"), ("b", " ")]
+    got = {(r.kind, r.step): (r.match, r.score) for r in best_match(*[spark.createDataFrame(x, "kind string, step string") for x in (left, right)], "kind", "step", 0.4).collect()}
+    want = {}
+    for kind, step in set(left):
+        a = set(step.split())
+        scored = [(-len(a & set(m.split())) / len(a | set(m.split())), m) for k, m in set(right) if k == kind and a & set(m.split())]
+        if scored and -min(scored)[0] >= 0.4:
+            want[kind, step] = (min(scored)[1], -min(scored)[0])
+    assert got == want and len({s for _, s in got.values()}) > 4

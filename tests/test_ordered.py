@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.operators import ordered
 from waymark.operators.ordered import running_state, segments
 
 
@@ -61,3 +62,18 @@ def test_segments_are_bounded_and_whole(spark, sf):
     cut = segments(rows, ["user_id"], {"step": F.col("event_type")}, max_len=16)
     sizes = cut.select(F.max(F.size("steps")), F.sum(F.size("steps"))).first()
     assert sizes[0] <= 16 and sizes[1] == events.count()
+
+
+@pytest.mark.parametrize("name, ts", [("outlier", "CASE WHEN id = 0 THEN -1e15 WHEN id = 19999 THEN 1e15 ELSE id / 1e3 END"),
+                                      ("prefix", "concat('a long common prefix of all ', lpad(id, 9, '0'))"), ("ties", "id % 3")])
+def test_chunks_stay_below_twice_the_limit(spark, name, ts):
+    """Cuts follow the ranks of the whole order, whatever the values of its first column."""
+    df = spark.range(20_000).selectExpr("1L AS user_id", f"{ts} AS ts", "id AS event_id")
+    hot = ordered._hot_sequences(df, ["user_id"], 2_000)
+    chunks = ordered._assign_chunks(df, hot, ["user_id"], ["ts", "event_id"], False).groupBy(ordered.CHUNK).agg(
+        F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("lo"), F.max(F.struct("ts", "event_id")).alias("hi")).orderBy(ordered.CHUNK).collect()
+    assert len(chunks) == 20 and sum(r.n for r in chunks) == 20_000 and max(r.n for r in chunks) < 4_000
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(chunks, chunks[1:]))
+    plain = running_state(df, ["user_id"], ["ts", "event_id"], lags={"before": (F.col("event_id"), 1)})
+    cut = running_state(df, ["user_id"], ["ts", "event_id"], lags={"before": (F.col("event_id"), 1)}, hot_rows=2_000)
+    assert plain.exceptAll(cut).count() == cut.exceptAll(plain).count() == 0

@@ -54,6 +54,10 @@ def test_edit_distance_with_many_tokens(spark):
     a, b = F.sequence(F.lit(1), F.lit(600)), F.sequence(F.lit(301), F.lit(900))
     text = lambda c: F.transform(c, lambda x: x.cast("string"))
     assert one(spark, d=A.edit_distance(text(a), text(b))).d == 600
+    # more tokens than the basic plane has characters: a few in common, all others of one side alone
+    far = lambda n, at: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.when(x % 20_000 == 0, F.concat(F.lit("c"), x.cast("string"))).otherwise(F.concat(F.lit(at), x.cast("string"))))
+    short = F.array(F.lit("c20000"), F.lit("b"), F.lit("c40000"))
+    assert one(spark, d=A.edit_distance(far(70_000, "a"), short)).d == 70_000 - 2
 
 
 def test_completion_scores(spark):

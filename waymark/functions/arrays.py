@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-MAX_SYMBOLS = 35_000  # code points from U+4E00 up to the surrogates
+FIRST_SYMBOL, MAX_SYMBOLS = 0x10000, 0x100000  # code points beyond the basic plane, where none is a surrogate
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,16 +98,19 @@ def equal_rate(a: Column, b: Column) -> Column:
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance between two arrays, one element being one token.
 
-    The distinct tokens of the two arrays are numbered within the row and written
-    as one character each, for the built-in levenshtein.
+    Tokens of both arrays are numbered within the row and written as one character
+    each, for the built-in levenshtein. A token of one array alone never matches, so
+    all such tokens of an array share one character, and only tokens in common need
+    characters of their own: there are more than a million.
     """
-    def text(values: Column, symbols: Column) -> Column:
-        codes = F.transform(values, lambda x: F.lpad(F.hex(F.array_position(symbols, x) + 0x4DFF), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-
-    return let(F.array_distinct(F.concat(a, b)), lambda symbols: F.when(
-        F.size(symbols) > MAX_SYMBOLS, F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int"))
-        .otherwise(F.levenshtein(text(a, symbols), text(b, symbols))))
+    def text(values: Column, symbols: Column, other: int) -> Column:
+        place = lambda x: F.array_position(symbols, x)
+        codes = F.transform(values, lambda x: let(place(x), lambda p: F.lpad(F.hex(F.when(p > 0, p + 1).otherwise(other) + FIRST_SYMBOL), 8, "0")))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+    return let(F.array_intersect(a, b), lambda symbols: F.when(
+        F.size(symbols) > MAX_SYMBOLS - 2, F.raise_error(F.lit("more than a million tokens in common")).cast("int"))
+        .otherwise(F.levenshtein(text(a, symbols, 0), text(b, symbols, 1))))
 
 
 def edit_rate(a: Column, b: Column) -> Column:

@@ -4,38 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, small
+
+GROUP = 10_000  # members of one group that meet under one key
+SALTS = 32      # parts of a component's members when they look their label up
+
+
+def _split(rows: DataFrame, size: int) -> DataFrame:
+    """(g, m) of groups of about `size` members at most that connect what the given groups connect.
+
+    A larger group becomes a tree: its members are dealt by hash to parts, and the
+    smallest members of the parts form a group of their own, which is split again.
+    """
+    levels, level = [], 0
+    rows = rows.select(F.struct(F.lit(0).alias("level"), F.col("g"), F.lit(0).cast("bigint").alias("part")).alias("g"), "m")
+    while True:
+        sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        large = small(sizes.filter(F.col("n") > size))
+        if large.isEmpty():
+            return _union([*levels, rows])
+        level += 1
+        dealt = cut_lineage(rows.join(large, "g").withColumn("part", F.pmod(F.xxhash64("m", F.lit(level)), F.ceil(F.col("n") / size) + 1)))
+        parts = dealt.select(F.struct(F.lit(-level).alias("level"), F.col("g.g").alias("g"), F.col("part")).alias("g"), "m")
+        levels += [rows.join(large, "g", "left_anti"), parts]
+        tops = dealt.groupBy("g", "part").agg(F.min("m").alias("m"))
+        rows = cut_lineage(tops.select(F.struct(F.lit(level).alias("level"), F.col("g.g").alias("g"), F.lit(0).cast("bigint").alias("part")).alias("g"), "m"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def merge_groups(groups: DataFrame, member: str = "member", group: str = "group_id",
-                 stop: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+                 stop: DataFrame | None = None, group_size: int = GROUP) -> DataFrame:
     """member, component: members of overlapping groups share a component.
 
     Members in ``stop`` are removed first and groups left with one member do not
-    connect anything. The component is the smallest member in it. Each round
-    takes the minimum over groups and then over members (both combine on the map
-    side, so a group holding much of the table is no single task) and follows
-    labels to their own label, which halves the distance left; members of groups
-    that were dropped are not in the result.
+    connect anything. The component is the smallest member in it. Groups of more than
+    ``group_size`` members are split into trees of small ones first, so no key holds a
+    large group. Each round takes the minimum over groups and then over members (both
+    combine on the map side) and follows labels to their own label, salted, as a label
+    may have any number of members; that halves the distance left. Rounds end when no
+    label changes. Members of groups that were dropped are not in the result.
     """
     rows = groups.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
     if stop is not None:
         rows = rows.join(stop.select(F.col(member).alias("m")), "m", "left_anti")
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut_lineage(rows.join(sizes.filter("n >= 2").select("g"), "g", "left_semi"))
+    rows = cut_lineage(_split(cut_lineage(rows.join(sizes.filter("n >= 2").select("g"), "g", "left_semi")), group_size))
     labels = cut_lineage(rows.select("m").distinct().withColumn("label", F.col("m")))
-    for _ in range(max_rounds):
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    while True:
         by_group = rows.join(labels, "m").groupBy("g").agg(F.min("label").alias("low"))
-        near = rows.join(by_group, "g").groupBy("m").agg(F.min("low").alias("low"))
+        near = cut_lineage(rows.join(by_group, "g").groupBy("m").agg(F.min("low").alias("low")))
         # labels are members too: take over the label of the label
-        jump = near.select(F.col("m").alias("low"), F.col("low").alias("lower"))
-        new = cut_lineage(near.join(jump, "low", "left")
+        jump = near.join(near.select(F.col("low").alias("m")).distinct(), "m", "left_semi").select(F.col("m").alias("low"), F.col("low").alias("lower"), salts)
+        new = cut_lineage(near.withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS))).join(jump, ["low", "salt"], "left")
                           .select("m", F.least("low", F.coalesce("lower", "low")).alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "m").filter("label <> old")
         if changed.isEmpty():
             return new.select(F.col("m").alias(member), F.col("label").alias("component"))
         labels = new
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def component_of(members: DataFrame, components: DataFrame, member: str = "member") -> DataFrame:

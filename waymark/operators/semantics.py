@@ -50,41 +50,43 @@ def best_match(left: DataFrame, right: DataFrame, group: str, name: str, thresho
     """For each left name the right name of the same group with the largest token overlap.
 
     Overlap is Jaccard over white-space tokens and must reach the threshold; ties
-    go to the smaller ``rank`` (default: the name). Names are joined on shared
-    tokens, but only on the rarest few of each: two names reaching the threshold
-    always share one of those, so the result is exact while common tokens do not
-    pair everything with everything.
+    go to the smaller ``rank`` (default: the name). Names with the same tokens are one
+    set, compared once and expanded at the end. Sets are joined on the rarest few tokens
+    of each: of two sets that reach the threshold both have one of those in common. A
+    pair is dropped before it is compared if its sizes, or the tokens left behind the
+    common one in order of rarity, can't reach the threshold. So the result is exact,
+    while common tokens do not pair everything with everything.
     """
     rank = rank or name
-
-    def tokens(df: DataFrame, *extra: str) -> DataFrame:
-        split = F.array_distinct(F.filter(F.split(F.trim(F.col(name)), r"\s+"), lambda t: t != ""))
-        return cut_lineage(df.select(group, name, *extra, split.alias("tokens")).distinct())  # read three times
-
-    a = tokens(left)
-    b = tokens(right, *([rank] if rank != name else []))
-    a, b = a.withColumnRenamed(name, "name"), b.select(
-        group, F.col(name).alias("match"), F.col(rank).alias("rank"), F.col("tokens").alias("other"))
-    common = (a.select(group, F.explode("tokens").alias("t")).unionByName(b.select(group, F.explode("other").alias("t")))
+    tokens = F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.col(name)), r"\s+"), lambda t: t != "")))
+    a = cut_lineage(left.select(group, name, tokens.alias("tokens")).filter(F.size("tokens") > 0).distinct())  # read three times
+    b = cut_lineage(right.select(group, F.struct(F.col(rank).alias("rank"), F.col(name).alias("match")).alias("first"), tokens.alias("tokens"))
+                    .filter(F.size("tokens") > 0).groupBy(group, "tokens").agg(F.min("first").alias("first")))
+    sets = cut_lineage(a.select(group, "tokens").distinct())
+    common = (sets.select(group, F.explode("tokens").alias("t")).unionByName(b.select(group, F.explode("tokens").alias("t")))
               .groupBy(group, "t").agg(F.count(F.lit(1)).alias("df")))
 
-    def rarest(df: DataFrame, key: str, column: str) -> DataFrame:
-        """Of n tokens the n - ceil(threshold * n) + 1 rarest ones."""
-        size = F.size(column)
-        need = size - F.ceil(F.lit(threshold) * size) + 1
-        w = Window.partitionBy(group, key).orderBy("df", "t")
-        return (df.select(group, key, need.alias("need"), F.explode(column).alias("t")).join(common, [group, "t"])
-                .withColumn("n", F.row_number().over(w)).filter(F.col("n") <= F.col("need")).select(group, key, "t"))
-
-    pairs = rarest(a, "name", "tokens").join(rarest(b, "match", "other"), [group, "t"]).select(
-        group, "name", "match").distinct()
-    inter = F.size(F.array_intersect("tokens", "other"))
-    score = inter / F.size(F.array_union("tokens", "other"))
-    scored = (pairs.join(a, [group, "name"]).join(b, [group, "match"]).withColumn("score", score)
-              .filter(F.col("score") >= threshold))
-    best = F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), F.col("rank")))
-    return scored.groupBy(group, "name").agg(best.alias("b")).select(
-        group, F.col("name").alias(name), "b.match", "b.score")
+    def least(size: Column, share: float) -> Column:
+        return F.ceil(F.lit(share) * size - 1e-9)
+
+    def rarest(df: DataFrame, column: str) -> DataFrame:
+        """Of n tokens the n - ceil(threshold * n) + 1 rarest ones, with their places."""
+        size = F.size("tokens")
+        w = Window.partitionBy(group, "tokens").orderBy("df", "t")
+        placed = df.select(group, "tokens", F.explode("tokens").alias("t")).join(common, [group, "t"]).withColumn("n", F.row_number().over(w))
+        kept = placed.filter(F.col("n") <= size - least(size, threshold) + 1)
+        return kept.select(group, "t", F.col("tokens").alias(column), F.col("n").alias(f"{column}_at"))
+
+    x, y = F.size("one"), F.size("two")
+    sizes = (y >= least(x, threshold)) & (x >= least(y, threshold))
+    behind = 1 + F.least(x - F.col("one_at"), y - F.col("two_at")) >= least(x + y, threshold / (1 + threshold))
+    # the first token in common has the most tokens behind it, so a pair that can count is kept
+    pairs = rarest(sets, "one").join(rarest(b, "two"), [group, "t"]).filter(sizes & behind).select(group, "one", "two").distinct()
+    score = F.size(F.array_intersect("one", "two")) / F.size(F.array_union("one", "two"))
+    scored = pairs.withColumn("score", score).filter(F.col("score") >= threshold).join(b.withColumnRenamed("tokens", "two"), [group, "two"])
+    best = F.min(F.struct((-F.col("score")).alias("less"), F.col("first.rank"), F.col("first.match")))
+    chosen = scored.groupBy(group, F.col("one").alias("tokens")).agg(best.alias("b"))
+    return a.join(chosen, [group, "tokens"]).select(group, name, F.col("b.match").alias("match"), (-F.col("b.less")).alias("score"))
 
 
 def describe(steps: DataFrame, semantics: DataFrame) -> DataFrame:
