@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from collections.abc import Callable
 
@@ -34,6 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for files of one run."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if it is seen to have at most max_rows rows.
 

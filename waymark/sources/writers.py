@@ -18,7 +18,7 @@ def write_steps(df: DataFrame, path: str, order: str, steps: str = "steps") -> N
     """Long step table with ids seq_0001, seq_0002, ... in the given order; rows stay in order."""
     numbered = running_state(df.withColumn("__all", F.lit(0)), ["__all"], [order], index="__n")
     rows = numbered.select(F.col("__n"), F.posexplode(steps).alias("__p", "STEP"))
-    placed = rows.repartitionByRange("__n", "__p").sortWithinPartitions("__n", "__p")
+    placed = rows.repartitionByRange("__n").sortWithinPartitions("__n", "__p")  # a sequence stays in one file
     _csv(placed.select(F.format_string("seq_%04d", F.col("__n") + 1).alias("SEQUENCE_ID"), "STEP"), path)
 
 
