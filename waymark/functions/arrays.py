@@ -52,6 +52,11 @@ def reconstruct(prefix: Column, prediction: Column) -> Column:
     return F.concat(F.coalesce(prefix, nothing), F.coalesce(prediction, nothing))
 
 
+def merged(*lists: Column) -> Column:
+    """The lists behind one another, each value where it first occurs."""
+    return F.array_distinct(F.concat(*lists))
+
+
 def collapse(values: Column) -> Column:
     """Drop elements equal to the one before."""
     return let(values, lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))

@@ -98,7 +98,8 @@ def rerank(prefixes: DataFrame, book: RuleBook, k: int = 5, mode: str = "off",
         return F.struct(group.alias("group"), c["rank"].alias("rank"), c["next"].alias("next"))
 
     placed = F.array_sort(F.transform("candidates", place))
-    out = prefixes.withColumn("reranked", F.slice(F.transform(placed, lambda x: x["next"]), 1, k))
+    # a scorer may name a step twice, which then ranks where it first does
+    out = prefixes.withColumn("reranked", F.slice(A.merged(F.transform(placed, lambda x: x["next"])), 1, k))
     return out.drop("allowed") if kinds is not None else out
 
 

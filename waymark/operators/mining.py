@@ -186,6 +186,13 @@ def split(df: DataFrame, group: str, order: Sequence[str], val: float = 0.1, tes
     return ranked.withColumn("part", part).drop("__rank", "__n")
 
 
+def strided(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, index: str = "i", hot_rows: int | None = None) -> DataFrame:
+    """n rows of each key at equal distances, from the first on; all of them where there are fewer."""
+    placed = running_state(df, keys, order, index=index, total="__n", hot_rows=hot_rows)
+    stride = F.greatest(F.lit(1), F.floor(F.col("__n") / n))
+    return placed.filter((F.col(index) % stride == 0) & (F.col(index) < stride * n)).drop("__n")
+
+
 def holdout_examples(df: DataFrame, holdout: str, fraction: float, *, held_out: bool = False,
                      first: int | None = None, order: str | None = None) -> DataFrame:
     """Cut every sequence (family, steps) of the other families, or of the held-out one, at a fraction.

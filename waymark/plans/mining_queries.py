@@ -239,11 +239,12 @@ def weighted_draws(spark, sf):
     return M.weighted_sample(weights, "user_id", "weight", weights.count(), seed=7)
 
 
-@query("strided_sample", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
-SELECT o_orderkey, i FROM r WHERE i % 64 = 0""")
+@query("strided_sample", """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, i FROM r WHERE i % greatest(1, n // 64) = 0 AND i < 64 * greatest(1, n // 64)""")
 def strided_sample(spark, sf):
+    """64 orders at equal distances."""
     rows = table(spark, sf, "orders").select(F.lit(0).alias("g"), "o_orderkey")
-    return running_state(rows, ["g"], ["o_orderkey"], index="i").filter("i % 64 = 0").select("o_orderkey", "i")
+    return M.strided(rows, ["g"], ["o_orderkey"], 64).select("o_orderkey", "i")
 
 
 @query("scaling_curve", """SELECT o_orderpriority AS series, CAST(year(o_orderdate) AS INT) AS x,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.functions import arrays as A
 from waymark.functions import steps as S
 from waymark.operators import components, decode, inject, mining as M, repair
 from waymark.operators.ordered import running_state
-from waymark.operators.rules import Milestone, Windowed, any_broken, with_state
+from waymark.operators.rules import Milestone, Windowed, any_broken, array_violations, rule_name, with_state
 from waymark.plans.inputs import (ORDER, ROUTES, ROUTE_SEGMENTS, classed_segments, names, route_segments, routes,
                                   table)
 from waymark.plans.registry import query
@@ -189,6 +190,21 @@ def repair_to_valid(spark, sf):
                       F.array_join("remaining", ",").alias("remaining"))
 
 
+_SEVERITY = "CASE rule " + " ".join(f"WHEN '{r.rule}' THEN {r.severity}" for r in fab.BY_CLASS.rules) + " END"
+_ORDER = "CASE rule " + " ".join(f"WHEN '{r.rule}' THEN {n}" for n, r in enumerate(fab.BY_CLASS.rules, 1)) + " END"
+
+
+@query("most_severe_violation", f"""WITH {ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS}
+SELECT user_id, rule, CAST({_SEVERITY} AS INT) AS severity, CAST(step_index AS INT) AS pos, step FROM cv
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_SEVERITY} DESC, step_index, {_ORDER}) = 1""")
+def most_severe_violation(spark, sf):
+    """The violation that a repair takes up first."""
+    worst = repair.worst(array_violations(fab.BY_CLASS, F.col("steps")))
+    out = classed_segments(spark, sf, fab.BY_CLASS).withColumn("w", A.once(worst)).filter("w IS NOT NULL")
+    return out.select("user_id", rule_name(fab.BY_CLASS, F.col("w.rule_no")).alias("rule"), F.col("w.severity").alias("severity"),
+                      F.col("w.pos").alias("pos"), F.col("w.step").alias("step"))
+
+
 @query("certified_sequences", f"""WITH {ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS},
 n AS (SELECT user_id, count(*) AS n FROM cv GROUP BY 1)
 SELECT user_id, CAST(0 AS BIGINT) AS segment, n IS NULL AS is_valid, CAST(coalesce(n, 0) AS INT) AS n_violations
@@ -208,7 +224,7 @@ def model_and_prefixes(spark, sf, k=None):
     """
     rows = routes(spark, sf).withColumn("step", S.canonical(F.col("step")))
     state = with_state(S.with_classes(rows), fab.BY_CLASS, KEYS, ORDER, mask=F.col("class_mask"), total="n",
-                       lags={"lag1": (F.col("step"), 1), "lag2": (F.col("step"), 2),
+                       lags={"lag1": (F.col("step"), 1), "lag2": (F.col("step"), 2), "lag3": (F.col("step"), 3),
                              "previous_category": (F.col("category"), 1)},
                        sums={"tests_before": (F.col("step") == decode.LAST_TEST).cast("bigint")})
     lagged = M.with_lags(rows, KEYS, ORDER)
@@ -231,7 +247,7 @@ def model_and_prefixes(spark, sf, k=None):
         F.col("step_index") == F.greatest(F.lit(1), F.floor(F.col("n") * F.col("fraction"))))
     prefixes = cuts.withColumns({"prefix_valid": F.col("broken_before") == 0, "has_test": F.col("tests_before") > 0,
                                  "cut": F.col("step_index")})
-    keep = [*KEYS, "fraction", "cut", "lag1", "lag2", "previous_category", "prefix_valid", "has_test",
+    keep = [*KEYS, "fraction", "cut", "lag1", "lag2", "lag3", "previous_category", "prefix_valid", "has_test",
             *decode.state_columns(fab.BY_CLASS), F.col("step").alias("gold")]
     return decode.candidates(counts, profile, k), profile, pairs, prefixes.select(*keep)
 
@@ -243,9 +259,10 @@ RERANK = f"""{ROUTES}, {CLASS_FLAGS}, {CLASS_VIOLATIONS},
 {NGRAMS.replace('FROM j', 'FROM c')},
 n AS (SELECT user_id, count(*) AS n FROM j GROUP BY 1),
 d AS (SELECT DISTINCT step AS next, category AS kind, level AS c_level, {', '.join(f'{f} AS c_{f}' for f in _CANDIDATE)} FROM cx),
-e AS (SELECT l.user_id, l.step AS gold, l.lag1, l.lag2, fr AS fraction, {', '.join('cx.' + s for s in _STATE)}, pc.category AS kind0
+e AS (SELECT l.user_id, l.step AS gold, l.lag1, l.lag2, lc.step AS lag3, fr AS fraction, {', '.join('cx.' + s for s in _STATE)}, pc.category AS kind0
   FROM l JOIN n USING (user_id) JOIN cx ON cx.user_id = l.user_id AND cx.step_index = l.step_index
-  LEFT JOIN c pc ON pc.user_id = l.user_id AND pc.step_index = l.step_index - 1,
+  LEFT JOIN c pc ON pc.user_id = l.user_id AND pc.step_index = l.step_index - 1
+  LEFT JOIN c lc ON lc.user_id = l.user_id AND lc.step_index = l.step_index - 3,
   (SELECT unnest([0.6::DOUBLE, 0.8::DOUBLE]) AS fr) WHERE l.step_index = greatest(1, floor(n * fr))),
 gr AS (SELECT DISTINCT a.category AS k0, b.category AS k1 FROM c a JOIN c b ON b.user_id = a.user_id
   AND b.step_index = a.step_index + 1),
@@ -264,17 +281,17 @@ rr AS (SELECT user_id, fraction, any_value(gold) AS gold,
   string_agg(next, '|' ORDER BY place) FILTER (place <= 5) AS reranked,
   string_agg(next, '|' ORDER BY rank) FILTER (rank <= 3) AS baseline3,
   string_agg(next, '|' ORDER BY place) FILTER (place <= 3) AS model3,
-  any_value(CASE WHEN lag2 IS NULL THEN lag1 ELSE lag2 || ' -> ' || lag1 END) AS tail FROM o GROUP BY 1, 2)"""
+  any_value(CASE WHEN lag2 IS NULL THEN lag1 ELSE coalesce(lag3 || ' -> ', '') || lag2 || ' -> ' || lag1 END) AS tail FROM o GROUP BY 1, 2)"""
 
 
-def reranked(spark, sf):
+def reranked(spark, sf, mode="soft"):
     lists, _, pairs, prefixes = model_and_prefixes(spark, sf)
     with_candidates = M.back_off(prefixes, small(lists), ["lag1", "lag2"])
-    out = decode.rerank(with_candidates, fab.BY_CLASS, 5, "soft", pairs)
+    out = decode.rerank(with_candidates, fab.BY_CLASS, 5, mode, pairs)
     model = F.transform("candidates", lambda c: c["next"])
     return out.select("user_id", "fraction", "gold", F.array_join(F.slice(model, 1, 5), "|").alias("model_next"),
                       F.array_join("reranked", "|").alias("reranked"),
-                      F.concat_ws(" -> ", "lag2", "lag1").alias("prefix_tail"))
+                      F.concat_ws(" -> ", "lag3", "lag2", "lag1").alias("prefix_tail"))
 
 
 @query("legality_rerank", f"WITH {RERANK} SELECT user_id, fraction, gold, model_next, reranked FROM rr")
@@ -282,6 +299,23 @@ def legality_rerank(spark, sf):
     return reranked(spark, sf).drop("prefix_tail")
 
 
+_SEEN_PAIR = "WHEN EXISTS (SELECT 1 FROM gr WHERE k0 = kind0 AND k1 = kind) THEN 0 ELSE 1 END"
+
+
+@query("constrained_next_step", f"""WITH {RERANK.replace(_SEEN_PAIR, 'ELSE 0 END')}
+SELECT user_id, fraction, gold, model_next, reranked FROM rr""")
+def constrained_next_step(spark, sf):
+    """Legal candidates first, whatever their category."""
+    return reranked(spark, sf, "off").drop("prefix_tail")
+
+
+@query("strict_next_step", f"""WITH {RERANK.replace(_SEEN_PAIR, _SEEN_PAIR.replace('ELSE 1', 'ELSE 2'))}
+SELECT user_id, fraction, gold, model_next, reranked FROM rr""")
+def strict_next_step(spark, sf):
+    """A candidate in a category never seen after the previous one counts as illegal."""
+    return reranked(spark, sf, "hard").drop("prefix_tail")
+
+
 @query("baseline_next_to_model", f"""WITH {RERANK}
 SELECT user_id, fraction, tail AS prefix_tail, baseline3 AS baseline_next, model3 AS model_next FROM rr""")
 def baseline_next_to_model(spark, sf):
@@ -392,10 +426,28 @@ e AS (SELECT DISTINCT a.m AS x, b.m AS y FROM g a JOIN g b USING (gid)),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT x AS member, min(y) AS component FROM r GROUP BY x""")
 def synonym_components(spark, sf):
+    merged = components.merge_groups(order_groups(spark, sf))
+    return components.component_of(table(spark, sf, "orders").select(F.col("o_orderkey").alias("member")), merged)
+
+
+def order_groups(spark, sf):
     orders = table(spark, sf, "orders")
     month = orders.select(F.concat(F.col("o_custkey"), F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("group_id"),
                           F.col("o_orderkey").alias("member"))
     priority = orders.select(F.concat(F.col("o_custkey"), F.lit("p"), "o_orderpriority", F.year("o_orderdate")).alias("group_id"),
                              F.col("o_orderkey").alias("member"))
-    merged = components.merge_groups(month.unionByName(priority))
-    return components.component_of(orders.select(F.col("o_orderkey").alias("member")), merged)
+    return month.unionByName(priority)
+
+
+@query("stop_set_components", """WITH RECURSIVE g0 AS (
+  SELECT o_custkey || 'm' || strftime(o_orderdate, '%Y-%m') AS gid, o_orderkey AS m FROM orders
+  UNION SELECT o_custkey || 'p' || o_orderpriority || year(o_orderdate), o_orderkey FROM orders),
+g1 AS (SELECT * FROM g0 WHERE m % 5 <> 0),
+g AS (SELECT * FROM g1 WHERE gid IN (SELECT gid FROM g1 GROUP BY 1 HAVING count(*) > 1)),
+e AS (SELECT DISTINCT a.m AS x, b.m AS y FROM g a JOIN g b USING (gid)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT x AS member, min(y) AS component FROM r GROUP BY x""")
+def stop_set_components(spark, sf):
+    """Merged groups without the members that connect too much; groups left with one member connect nothing."""
+    stop = table(spark, sf, "orders").select(F.col("o_orderkey").alias("member")).filter("member % 5 = 0")
+    return components.merge_groups(order_groups(spark, sf), stop=stop)
