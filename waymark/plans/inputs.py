@@ -81,9 +81,9 @@ def routes(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("user_id") % 3 == 2, pick(NOVEL_STEPS)).otherwise(pick(ROUTE_STEPS)).alias("step"))
 
 
-def journey_segments(spark: SparkSession, sf: str) -> DataFrame:
+def journey_segments(spark: SparkSession, sf: str, graded: bool = False) -> DataFrame:
     """Array form: user_id, segment, steps (at most MAX_LEN each)."""
-    rows = running_state(journeys(spark, sf), ["user_id"], ORDER)
+    rows = running_state(journeys(spark, sf, graded), ["user_id"], ORDER)
     return segments(rows, ["user_id"], {"step": F.col("step")}, max_len=MAX_LEN)
 
 

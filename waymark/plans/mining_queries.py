@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Window, functions as F
 
 from waymark.functions import arrays as A
 from waymark.functions import steps as S
+from waymark.functions.scorers import score_prefixes
 from waymark.operators import mining as M
 from waymark.operators.ordered import running_state, segments
-from waymark.plans.inputs import JOURNEYS, MAX_LEN, ORDER, ROUTES, names, routes, table
+from waymark.plans.inputs import (JOURNEYS, MAX_LEN, ORDER, ROUTES, SEGMENTS, journey_segments, journeys, names, routes,
+                                  table)
 from waymark.plans.registry import query
 from waymark.plans.score_queries import LAGGED, NGRAMS, lagged_journeys, journey_ngrams, rounded
 from waymark.plans.sql_text import category_case
@@ -247,6 +251,53 @@ def strided_sample(spark, sf):
     return M.strided(rows, ["g"], ["o_orderkey"], 64).select("o_orderkey", "i")
 
 
+# -- custom scorers and small list functions -------------------------------------------------------------
+
+def frequent_so_far(prefixes):
+    """A scorer that rates a step by how often the prefix has it; a map, in order of first occurrence."""
+    return [dict(Counter(steps)) for steps in prefixes]
+
+
+@query("scored_candidates", f"""WITH {JOURNEYS}, {SEGMENTS},
+e AS (SELECT user_id, i, steps[i] AS step FROM (SELECT user_id, steps, unnest(range(1, CAST(len(steps) AS BIGINT) + 1)) AS i FROM s)),
+c AS (SELECT user_id, step, count(*) AS n, min(i) AS first FROM e WHERE step <> 'error' GROUP BY 1, 2)
+SELECT user_id, string_agg(step || ' ' || n, '|' ORDER BY n DESC, first) AS ranked FROM c GROUP BY 1""")
+def scored_candidates(spark, sf):
+    """Candidates of a scorer that gives score maps, best first, without a name that mustn't rank."""
+    rows = score_prefixes(journey_segments(spark, sf), "steps", frequent_so_far, drop=("error",))
+    named = F.transform("candidates", lambda c: F.concat_ws(" ", c["next"], c["p"].cast("int").cast("string")))
+    return rows.select("user_id", F.array_join(named, "|").alias("ranked"))
+
+
+@query("cycling_journeys", f"""WITH {JOURNEYS}, t AS (SELECT user_id, step_index, list(step) OVER (PARTITION BY user_id ORDER BY ts, event_id
+  ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS l FROM j)
+SELECT user_id, CAST(step_index AS INT) AS pos FROM t WHERE len(l) = 8 AND (
+  {' OR '.join('(' + ' AND '.join(f'l[{i + 1}] = l[{i % p + 1}]' for i in range(p, 8)) + ')' for p in (1, 2, 3, 4))})""")
+def cycling_journeys(spark, sf):
+    """Positions at which the last eight steps repeat with period 1 to 4."""
+    heads = journey_segments(spark, sf).select("user_id", "steps", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("n"))
+    return heads.filter(A.is_cycling(A.head(F.col("steps"), F.col("n")))).select("user_id", (F.col("n") - 1).alias("pos"))
+
+
+@query("merged_rankings", f"""WITH {JOURNEYS}, {SEGMENTS},
+m AS (SELECT user_id, list_concat(steps[1:3], list_concat(list_reverse(steps[len(steps) - 2:]), ['view', 'click', 'signup'])) AS l FROM s),
+e AS (SELECT user_id, l[i] AS step, min(i) AS first FROM (SELECT user_id, l, unnest(range(1, CAST(len(l) AS BIGINT) + 1)) AS i FROM m) GROUP BY 1, 2)
+SELECT user_id, string_agg(step, '|' ORDER BY first) AS ranks FROM e GROUP BY 1""")
+def merged_rankings(spark, sf):
+    """Several lists as one, each step where it first occurs."""
+    default = F.array(*map(F.lit, ("view", "click", "signup")))
+    ranks = A.merged(F.slice("steps", 1, 3), F.reverse(A.tail(F.col("steps"), 3)), default)
+    return journey_segments(spark, sf).select("user_id", F.array_join(ranks, "|").alias("ranks"))
+
+
+@query("other_categories", f"""WITH {JOURNEYS} SELECT step, CASE WHEN step IN ('purchase') THEN 'SALE' WHEN starts_with(upper(step), 'SIGN') THEN 'ACCOUNT'
+  WHEN contains(upper(step), 'I') THEN 'BROWSE' ELSE 'UNKNOWN' END AS category, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1, 2""")
+def other_categories(spark, sf):
+    """Categories of another domain: names, then prefixes, then words."""
+    kind = S.category(F.col("step"), {"SALE": ["purchase"]}, [("SIGN", "ACCOUNT")], [("I", "BROWSE")])
+    return journeys(spark, sf).groupBy("step", kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scaling_curve", """SELECT o_orderpriority AS series, CAST(year(o_orderdate) AS INT) AS x,
   round(avg(o_totalprice), 2) AS y FROM orders GROUP BY 1, 2""")
 def scaling_curve(spark, sf):

@@ -8,7 +8,8 @@ from waymark.functions import arrays as A
 from waymark.operators import evaluate as E
 from waymark.operators import mining as M
 from waymark.operators.ordered import running_state
-from waymark.plans.inputs import (FAMILIES, JOURNEYS, ORDER, ROUTES, ROUTE_SEGMENTS, SEGMENTS, journey_segments,
+from waymark.operators.rules import RuleBook, Windowed, check, oracle
+from waymark.plans.inputs import (FAMILIES, GRADED, JOURNEY_BOOK, JOURNEYS, ORDER, ROUTES, ROUTE_SEGMENTS, SEGMENTS, journey_segments,
                                   journeys, names, route_segments, routes)
 from waymark.plans.registry import query
 from waymark.plans.rule_queries import JOURNEY_RULES, journey_violations
@@ -300,6 +301,50 @@ def logic_validity(spark, sf):
     return rounded(E.logic_validity(found, journeys(spark, sf), ["user_id"]), ["validity"])
 
 
+# the rules of the journeys over prefixes with a predicted step behind them, as sequences of their own
+_COMPLETED_RULES = JOURNEY_RULES[len(GRADED) + 2:].replace("FROM j)", "FROM j2)")
+COMPLETED = f"""{GRADED}, {NGRAMS}, {CUTS},
+w AS (SELECT p.user_id * 10 + CASE WHEN p.fraction < 0.7 THEN 6 ELSE 8 END AS user_id, j.step_index, j.step
+  FROM p JOIN j ON j.user_id = p.user_id AND j.step_index < p.step_index
+  UNION ALL SELECT user_id * 10 + CASE WHEN fraction < 0.7 THEN 6 ELSE 8 END, step_index, ranks[1] FROM p),
+j2 AS (SELECT user_id, step_index AS ts, 0 AS event_id, step_index, step, split_part(step, ' ', 1) AS kind,
+  CAST(split_part(step, ' ', 2) AS BIGINT) AS grade FROM w),
+{_COMPLETED_RULES}"""
+COMPLETED_BOOK = RuleBook(events=JOURNEY_BOOK.events, rules=[r for r in JOURNEY_BOOK.rules if not isinstance(r, Windowed)])
+
+
+def completed(spark, sf):
+    """(user_id, fraction, step_index, step) of every prefix with its first predicted step behind it."""
+    rows = predicted(journeys(spark, sf, graded=True), ["user_id"])
+    guess = rows.select("user_id", "fraction", F.slice("ranks", 1, 1).alias("prediction"))
+    prefixes = examples(journey_segments(spark, sf, graded=True)).select("user_id", "fraction", F.col("partial").alias("prefix"))
+    return E.reconstructed(prefixes.join(guess, ["user_id", "fraction"]), ["user_id", "fraction"])
+
+
+@query("completed_verdicts", f"""WITH {COMPLETED}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rule_ord, step_index) AS k
+  FROM v WHERE rule_ord > 2)
+SELECT w.user_id // 10 AS user_id, (w.user_id % 10) / 10.0::DOUBLE AS fraction, CAST(b.rule IS NULL AS INT) AS is_valid, coalesce(b.rule, '') AS rule
+FROM (SELECT DISTINCT user_id FROM w) w LEFT JOIN b ON b.user_id = w.user_id AND k = 1""")
+def completed_verdicts(spark, sf):
+    """Validity of each completed prefix and the rule that it breaks first."""
+    keys, rows = ["user_id", "fraction"], completed(spark, sf)
+    return oracle(check(rows, COMPLETED_BOOK, keys, ["step_index"]), rows, COMPLETED_BOOK, keys)
+
+
+@query("completed_validity", f"""WITH {COMPLETED}, b AS (SELECT DISTINCT user_id FROM v WHERE rule_ord IN (4, 5))
+SELECT w.user_id % 3 AS part, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(b.user_id IS NULL AS INT)), 6) AS validity
+FROM (SELECT DISTINCT user_id // 10 AS user_id, user_id AS k FROM w) w LEFT JOIN b ON b.user_id = w.k GROUP BY 1""")
+def completed_validity(spark, sf):
+    """Share of completed prefixes that break no milestone, for each third of the users."""
+    keys, rows = ["user_id", "fraction"], cut_lineage(completed(spark, sf))
+    found = check(rows, COMPLETED_BOOK, keys, ["step_index"]).filter("rule <> 'VIEW_LEVEL_SKIP'")
+    out = None
+    for part in range(3):
+        one = E.logic_validity(found, rows.filter(F.col("user_id") % 3 == part), keys).select(F.lit(part).cast("bigint").alias("part"), "n", "validity")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, ["validity"])
+
+
 # -- anomaly verdicts: the milestone rules are the truth, the earliest violation is the guess -----
 
 def anomaly(spark, sf):
