@@ -7,11 +7,12 @@ ROLLUP over the columns of the window gives the counts of phrases of every lengt
 single words and of all words, and no length is exploded or counted by itself.
 
 Windows are pruned before they are counted: a phrase of at least `least` occurrences holds
-only words and neighbouring pairs of at least as many, so a window is padded from the first
-word or pair that is rarer, and rare words are counted together. Which are rarer is told by
-a sketch: counters for hashes of words and pairs, summed over all texts, which never count
-too little. Its size follows the number of words up to SKETCH; beyond that it lets more
-windows through, which are then counted in the shuffle with the same results.
+only words and runs of words of at least as many, so a window is padded from where a rarer
+one would begin, and rare words are counted together. Which are rarer is told by sketches:
+counters for hashes of words and neighbouring pairs, then of longer runs whose pairs are
+frequent, summed over all texts; they never count too little. Their size follows the number
+of words up to SKETCH; beyond that they let more windows through, which are then counted in
+the shuffle with the same results.
 
 A candidate is a phrase of two words or more with at least `least` occurrences. A cut of it
 after k words scores floor(2000000 * a / (l + r)), with its own occurrences and those of
@@ -29,7 +30,7 @@ at a time, so a text's length only adds work.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +42,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.llm.tables import lookup, written
 
-SLICE = 12 << 20          # bytes of text in words at a time
+SLICE = 2 << 20          # bytes of text in words at a time
+TASK = 128 << 20          # bytes of text of a task, where the table has more for each core: larger ones send fewer counts
 LOAD = 8                  # words for each counter of the sketch
-LEAST_BITS, SKETCH = 16, 27  # powers of two that bound the number of counters
-CHUNKS, GROUPS = 64, 32   # pieces in which tasks' sketches are summed, and groups of tasks
+LEAST_BITS, SKETCH = 24, 27  # powers of two that bound the number of counters
+CHUNKS, MERGED = 64, 16   # pieces in which tasks' sketches are summed, tasks of a group whose sums come first
 SALTS = 64                # parts in which the first phrases of a language are found first
 
 STOP = r"[.,;:!?\n-\r]"
@@ -79,14 +81,27 @@ class Words:
         self.hash = np.fromiter((xxhash.xxh64_intdigest(w or "") for w in self.words.to_pylist()), np.uint64, len(self.words))
         self.lang_hash = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.langs.to_pylist()), np.uint64, len(self.langs))
 
-    def counters(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sketch's counters of every word, and of it with the next one."""
-        own, shift = self.hash[self.code], np.uint64(64 - bits)
-        word = (own ^ self.lang_hash[self.lang]) * MIX[0]
-        after = np.zeros(len(own), np.uint64)
-        after[:-1] = own[1:]
-        pair = (word ^ (after * MIX[1])) * MIX[2]
-        return (word ^ word >> np.uint64(29)) * MIX[1] >> shift, (pair ^ pair >> np.uint64(31)) * MIX[0] >> shift
+    def counters(self, size: int, bits: int) -> np.ndarray:
+        """The sketch's counter of the run of `size` words from each place."""
+        own, h = self.hash[self.code], self.lang_hash[self.lang]
+        for k in range(size):
+            ahead = np.zeros(len(own), np.uint64)
+            ahead[:max(0, len(own) - k)] = own[k:]
+            h = (h ^ ahead * MIX[1]) * MIX[2]
+            h ^= h >> np.uint64(31)
+        return h * MIX[0] >> np.uint64(64 - bits)
+
+    def frequent(self, sketch: np.ndarray, bits: int, least: int, longest: int) -> list[np.ndarray]:
+        """For 1, 2, ... words whether the run from each place lies in a piece, its words and pairs frequent."""
+        usual = sketch[self.counters(1, bits)] >= least
+        led = self.joined & usual & (sketch[self.counters(2, bits)] >= least)
+        led[:-1] &= usual[1:]
+        runs = [usual]
+        for k in range(1, longest):
+            n, here = max(0, len(usual) - k), np.zeros(len(usual), bool)
+            here[:n] = runs[-1][:n] & led[k - 1:k - 1 + n]
+            runs.append(here)
+        return runs
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -104,6 +119,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             else:
                 yield Words(texts.slice(begin, end - begin), langs.slice(begin, end - begin))
             begin = end
+        pa.default_memory_pool().release_unused()
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -116,33 +132,39 @@ def _parts(text: str) -> Iterator[str]:
         begin = end
 
 
-def _sketch(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Counters of all words and neighbouring pairs, up to `least` each."""
+def _sketch(rows: DataFrame, least: int, bits: int, places: Callable[[Words], list[np.ndarray]]) -> np.ndarray:
+    """Counters of what `places` tells for the words of all texts, up to `least` each."""
     kind, size = (np.uint8 if least < 256 else np.uint32), 1 << bits
     chunks = min(CHUNKS, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, kind)
         for words in _slices(batches):
-            word, pair = words.counters(bits)
-            at, times = np.unique(np.concatenate([word, pair[words.joined]]), return_counts=True)
+            at, times = np.unique(np.concatenate(places(words)), return_counts=True)
             total[at] = np.minimum(total[at] + times, least)
-        parts = [(n, x) for n, x in enumerate(total.reshape(chunks, -1)) if x.any()]
-        group = TaskContext.get().partitionId() % GROUPS
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in parts], pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())],
+        # packed, a task's sketch takes as many bytes as it has words rather than counters
+        parts = [(n, packed(x)) for n, x in enumerate(total.reshape(chunks, -1)) if x.any()]
+        group = TaskContext.get().partitionId() // MERGED
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in parts], pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array([x for _, x in parts], pa.binary())],
                                          ["chunk", "part", "data"])
 
+    def packed(counters: np.ndarray) -> bytes:
+        return pa.compress(counters.tobytes(), "zstd", asbytes=True)
+
+    def unpacked(data: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(data, size // chunks * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size // chunks, np.int64)
         for data in rows["data"]:
-            total = np.minimum(total + np.frombuffer(data, kind), least)
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "data": [total.astype(kind).tobytes()]})
+            total = np.minimum(total + unpacked(data), least)
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "data": [packed(total.astype(kind))]})
 
     parts = rows.mapInArrow(count, "chunk int, part int, data binary")
     grouped = parts.groupBy("chunk", "part").applyInPandas(added, "chunk int, data binary")
     total = np.zeros((chunks, size // chunks), kind)
     for row in grouped.groupBy("chunk").applyInPandas(added, "chunk int, data binary").collect():  # at most CHUNKS rows
-        total[row.chunk] = np.frombuffer(bytes(row.data), kind)
+        total[row.chunk] = unpacked(bytes(row.data))
     return total.ravel()
 
 
@@ -168,22 +190,27 @@ def windows(rows: DataFrame, longest: int, least: int) -> DataFrame:
     """Rows (lang, w1, w2, ..., times): the padded longest windows, counted in part."""
     names = [f"w{k}" for k in range(1, longest + 1)]
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK)))
     bits = int(np.clip(np.ceil(np.log2(size / 8 / LOAD + 1)), LEAST_BITS, SKETCH))
-    sketch = rows.sparkSession.sparkContext.broadcast(_sketch(rows, least, bits))  # at most 2 ** SKETCH counters
+    share = rows.sparkSession.sparkContext.broadcast  # at most 2 ** SKETCH counters each
+    pairs = share(_sketch(rows, least, bits, lambda words: [words.counters(1, bits), words.counters(2, bits)[words.joined]]))
+
+    def longer(words: Words) -> list[np.ndarray]:
+        runs = words.frequent(pairs.value, bits, least, longest)
+        return [words.counters(k, bits)[runs[k - 1]] for k in range(3, longest + 1)]
+
+    longs = share(_sketch(rows, least, bits, longer)) if longest > 2 else pairs
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
-            word, pair = words.counters(bits)
-            usual = sketch.value[word] >= least
-            led = words.joined & usual & (sketch.value[pair] >= least)
-            led[:-1] &= usual[1:]
-            columns, here = [words.lang, np.where(usual, words.code, -1)], usual.copy()
-            for k in range(1, longest):
-                n = max(0, len(here) - k)
-                here[n:] = False
-                here[:n] &= led[k - 1:k - 1 + n]
-                lead = np.full(len(here), -1, words.code.dtype)
-                lead[:n] = words.code[k:k + n]
+            runs = words.frequent(pairs.value, bits, least, longest)
+            columns, here = [words.lang], np.ones(len(words.code), bool)
+            for k in range(1, longest + 1):
+                here &= runs[k - 1]
+                if k > 2:
+                    here &= longs.value[words.counters(k, bits)] >= least
+                n, lead = max(0, len(here) - k + 1), np.full(len(here), -1, words.code.dtype)
+                lead[:n] = words.code[k - 1:]
                 columns.append(np.where(here, lead, -1))
             (lang, *codes), times = _distinct(columns)
             yield pa.RecordBatch.from_arrays([words.langs.take(pa.array(lang)), *[words.words.take(pa.array(c, mask=c < 0)) for c in codes], pa.array(times, pa.int64())],
