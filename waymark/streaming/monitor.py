@@ -24,7 +24,7 @@ from waymark.operators.rules import Fold, RuleBook
 from waymark.session import ensure_checkpoint_dir
 
 FOUND = "rule string, step_index long, step string, ts long, tie long, late boolean"
-FOLD = "position long, last array<long>, level int, newest long"
+FOLD = "position long, last array<long>, level int, newest long, timer long"
 WAITING = "ts array<long>, tie array<long>, step array<string>, mask array<int>, lvl array<int>"
 # Event time of the row that closes a stream which has come to its end.
 FAR = "9000-01-01 00:00:00"
@@ -48,20 +48,27 @@ class _Monitor(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "cell long", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        mark, cells = timerValues.getCurrentWatermarkInMs() * 1000, []
         for batch in rows:
             old = batch["ts"] < mark
             for cell, part in batch[~old].groupby(batch["ts"] // self.cell):
                 self._wait(int(cell), part)
+                cells.append(int(cell))
             if old.any():
                 yield self._frame(key, [(None, None, r.step, r.ts, r.tie, True) for r in batch[old].itertuples()])
+        if cells:
+            *fold, timer = self._folded()
+            first = self._end(min(cells))
+            if timer < 0 or first < timer:
+                self.handle.registerTimer(first)
+                self.state.update((*fold, first))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs()
         cells = sorted(k[0] for k in self.waiting.keys())
-        due = [c for c in cells if (c + 1) * self.cell <= mark]
+        due = [c for c in cells if self._end(c) <= now]
         none = (0, [-1] * len(self.rules.names), None)
-        position, last, level, newest = self._folded()
+        position, last, level, newest, _ = self._folded()
         for cell in due:
             out = []
             for ts, tie, step, mask, new_level in sorted(zip(*self.waiting.getValue((cell,))), key=lambda r: r[:2]):
@@ -76,30 +83,37 @@ class _Monitor(StatefulProcessor):
             self.waiting.removeKey((cell,))
             if out:
                 yield self._frame(key, out)
-        over = position == 0 or self.idle is not None and newest + self.idle < mark
-        if over and len(due) == len(cells):
+        # one timer at a time: the end of the next cell, then the time at which the key has been idle
+        if len(due) < len(cells):
+            timer = self._end(cells[len(due)])
+        elif position == 0 or self.idle is None or (newest + self.idle) // 1000 < now:
+            timer = -1
+        else:
+            timer = (newest + self.idle) // 1000 + 1
+        if timer < 0 and (position == 0 or self.idle is not None):
             self.state.clear()
-        elif due:
-            self.state.update((position, last, level, newest))
-            if self.idle is not None:
-                self.handle.registerTimer((newest + self.idle) // 1000 + 1)
+            return
+        self.state.update((position, last, level, newest, timer))
+        if timer >= 0:
+            self.handle.registerTimer(timer)
+
+    def _end(self, cell: int) -> int:
+        return -(-(cell + 1) * self.cell // 1000)
 
     def close(self) -> None:
         pass
 
     def _folded(self) -> tuple:
         if not self.state.exists():
-            return 0, [-1] * len(self.rules.names), None, -1
-        position, last, level, newest = self.state.get()
-        return int(position), [int(x) for x in last], None if level is None else int(level), int(newest)
+            return 0, [-1] * len(self.rules.names), None, -1, -1
+        position, last, level, newest, timer = self.state.get()
+        return int(position), [int(x) for x in last], None if level is None else int(level), int(newest), int(timer)
 
     def _wait(self, cell: int, part: pd.DataFrame) -> None:
         levels = [None if pd.isna(v) else int(v) for v in part["lvl"]]
         new = [part["ts"].tolist(), part["tie"].tolist(), part["step"].tolist(), part["mask"].tolist(), levels]
         if self.waiting.containsKey((cell,)):
             new = [[*held, *more] for held, more in zip(self.waiting.getValue((cell,)), new)]
-        else:
-            self.handle.registerTimer(-(-(cell + 1) * self.cell // 1000))
         self.waiting.updateValue((cell,), tuple(new))
 
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
@@ -117,8 +131,8 @@ def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, s
     stream, has passed their cell of time, and are judged in order of (ts, tie). A step
     older than the watermark changes nothing; it is given out as late, with a null rule.
     A key's sequence begins anew after the event ``terminal``, and after a gap of more than
-    ``idle`` in event time; its state goes when the watermark has passed either. Rules give the same violations as the batch
-    check on the rows that aren't late. Rows at or after FAR only move the watermark.
+    ``idle`` in event time; its state goes when the watermark has passed either. Rules give
+    the same violations as the batch check on the rows that aren't late. Rows at or after FAR only move the watermark.
     """
     kind = stream.schema[key].dataType.simpleString()
     at = F.timestamp_micros(micros(F.col(ts), stream.schema[ts].dataType))
