@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waymark.operators.ordered import running_state
 from waymark.rulesets.fabrication import SPECIAL_TOKENS
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, small
 
 SEP = "|"
 
@@ -100,7 +100,8 @@ def sequence_nll(lagged: DataFrame, counts: DataFrame, keys: Sequence[str], step
     # counted per distinct pair first: one row per sequence and pair joins the model
     seen = (lagged.filter(F.col("lag1").isNotNull()).groupBy(*keys, "lag1", step)
             .agg(F.count(F.lit(1)).alias("times")))
-    scored = seen.join(pairs, ["lag1", step], "left").join(totals, "lag1", "left")
+    # the model is broadcast where it is seen to be small, so a frequent pair meets in no task
+    scored = seen.join(small(pairs), ["lag1", step], "left").join(small(totals), "lag1", "left")
     return scored.groupBy(*keys).agg((-F.sum(F.log(p) * F.col("times")) / F.sum("times")).alias("nll"))
 
 
@@ -211,7 +212,7 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int,
                     hot_rows: int | None = None) -> DataFrame:
     """n draws with replacement, each key with probability proportional to its weight.
 
-    Draws are hashed uniform numbers placed on the line of running weights; each
+    Draws are uniform numbers from digests, placed on the line of running weights; each
     takes the key whose stretch it falls into (an as-of lookup in one scan).
     """
     items = cut_lineage(df.filter(F.col(weight) > 0).select(F.lit(0).alias("__all"), F.col(key).alias("key"),
@@ -220,7 +221,7 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int,
     total = items.agg(F.sum("w")).scalar()
     draws = df.sparkSession.range(n).select(
         F.lit(0).alias("__all"), F.col("id").alias("draw"),
-        (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)) / float(1 << 53) * total).alias("at"))
+        (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 13), 16, 10).cast("bigint") / float(1 << 52) * total).alias("at"))
     both = line.select("__all", F.col("start").alias("at"), "key", F.lit(None).cast("long").alias("draw"),
                        F.lit(0).alias("kind")).unionByName(
         draws.withColumn("kind", F.lit(1)).withColumn("key", F.lit(None).cast(df.schema[key].dataType)))

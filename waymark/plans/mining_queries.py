@@ -17,7 +17,7 @@ from waymark.plans.registry import query
 from waymark.plans.score_queries import LAGGED, NGRAMS, lagged_journeys, journey_ngrams, rounded
 from waymark.plans.sql_text import category_case
 from waymark.rulesets import fabrication as fab
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, small
 
 
 @query("category_grammar", f"""WITH {ROUTES}, {LAGGED} SELECT DISTINCT {category_case('lag1')} AS from_kind,
@@ -95,7 +95,7 @@ def encoded(spark, sf, limit=MAX_LEN + 3):
     """[BOS] [FAM] steps [EOS] as ids per segment; ids come from a join on the rows."""
     rows = running_state(routes(spark, sf), ["user_id", "family"], ORDER)
     vocab = M.vocabulary(routes(spark, sf)).select("token", F.col("id").cast("int").alias("id"))
-    coded = rows.withColumn("token", S.to_token(F.col("step"))).join(vocab, "token", "left")
+    coded = rows.withColumn("token", S.to_token(F.col("step"))).join(small(vocab), "token", "left")
     parts = segments(coded, ["user_id", "family"], {"id": F.coalesce("id", F.lit(1))}, steps="ids", max_len=MAX_LEN)
     family = F.element_at(F.array(*[F.lit(7 + i) for i in range(3)]),
                           (F.col("user_id") % 3 + 1).cast("int"))
@@ -236,7 +236,14 @@ def nll_verdicts(spark, sf):
                          F.round(M.p_valid(F.col("nll"), limit), 6).alias("p_valid"))
 
 
-@query("weighted_draws")
+@query("weighted_draws", f"""WITH {LENGTHS}, b AS (SELECT *, least(7, (n - (SELECT min(n) FROM n)) * 8 //
+  greatest(1, (SELECT max(n) - min(n) FROM n))) AS bucket FROM n),
+c AS (SELECT bucket, count(*) AS in_bucket FROM b GROUP BY 1),
+w AS (SELECT user_id, 1.0::DOUBLE / (in_bucket * (SELECT count(*) FROM c)) AS w FROM b JOIN c USING (bucket)),
+line AS (SELECT user_id, coalesce(sum(w) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w),
+d AS (SELECT draw, CAST('0x' || substr(md5('7|' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * (SELECT sum(w) FROM w) AS place
+  FROM (SELECT unnest(range((SELECT count(*) FROM w))) AS draw))
+SELECT draw, arg_max(user_id, start) AS user_id FROM d JOIN line ON start <= place GROUP BY 1""")
 def weighted_draws(spark, sf):
     """As many draws with replacement as there are journeys, by length-bucket weight."""
     weights = M.bucket_weights(lengths(spark, sf), "n")

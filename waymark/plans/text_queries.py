@@ -8,8 +8,9 @@ from waymark.functions import quantities as Q
 from waymark.functions import steps as S
 from waymark.operators import semantics as D
 from waymark.operators import serving
-from waymark.plans.inputs import routes, table
+from waymark.plans.inputs import ROUTES, routes, table
 from waymark.plans.registry import query
+from waymark.plans.sql_text import category_case
 from waymark.rulesets import fabrication as fab
 from waymark.session import spread
 
@@ -135,7 +136,21 @@ def jaccard_best_match(spark, sf):
     return D.best_match(left, right, "p_brand", "name").withColumn("score", F.round("score", 6))
 
 
-@query("step_descriptions")
+_TOKENS = "list_distinct(list_filter(string_split_regex(trim({}), '\\s+'), lambda x: x <> ''))"
+
+
+@query("step_descriptions", f"""WITH {ROUTES},
+k AS (SELECT step, min(event_id) AS ord, {category_case('step')} AS kind FROM j WHERE family <> 'MOSFET' GROUP BY 1),
+t AS (SELECT step, 'does ' || lower(step) AS text, kind, {_TOKENS.format('step')} AS tokens FROM k),
+w AS (SELECT DISTINCT step, {category_case('step')} AS kind, {_TOKENS.format('step')} AS tokens FROM j),
+tw AS (FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in fab.DOCUMENTED_TWINS.items())}) v(step, twin)),
+p AS (SELECT w.step, t.step AS match, t.text, CAST(len(list_intersect(w.tokens, t.tokens)) AS DOUBLE) / len(list_distinct(list_concat(w.tokens, t.tokens))) AS score
+  FROM w JOIN t USING (kind)),
+b AS (SELECT step, text FROM p WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY step ORDER BY score DESC, match) = 1)
+SELECT w.step, w.step || ': ' || coalesce(own.text, of_twin.text, b.text, '(' || lower(w.kind) || ' operation)')
+  || coalesce('  [params: ' || k.ord || ' nm]', '') AS line
+FROM w LEFT JOIN t own ON own.step = w.step LEFT JOIN tw ON tw.step = w.step LEFT JOIN t of_twin ON of_twin.step = tw.twin
+LEFT JOIN b ON b.step = w.step LEFT JOIN k ON k.step = w.step""")
 def step_descriptions(spark, sf):
     """Best description of each route step, from texts recorded for the steps of one family."""
     rows = routes(spark, sf)
