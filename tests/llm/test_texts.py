@@ -315,6 +315,16 @@ def test_short_and_partly_kept_items_against_brute_force(spark):
         assert share >= 0.65 and decontamination.common_subsequence(items[i].split(), docs[d].split()) >= 0.65 * len(items[i].split())
 
 
+@pytest.mark.parametrize("fit_docs, least", [(12_000, 0.99), (30, 0.95)])
+def test_recall_of_the_latent_search_alone(spark, fit_docs, least):
+    items, docs = placed_items(random.Random(21), [5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 24, 28, 32, 40, 50, 60] * 2)
+    want = leaks_by_brute_force(items, docs)
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(table, asked, fit_docs=fit_docs, exact=False).collect()}
+    assert len(want & got) >= least * len(want)
+
+
 def test_leaks_with_directions_of_a_sample(spark):
     items, docs = placed_items(random.Random(22), [5, 6, 8, 10, 16, 19, 25, 33, 47, 60])
     want = leaks_by_brute_force(items, docs)
