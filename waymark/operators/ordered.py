@@ -126,9 +126,9 @@ def _cuts(rows: DataFrame, keys, order) -> DataFrame:
     number = F.floor(F.col("__r") * F.col("__chunks") / F.col("__m"))
     before = F.floor((F.col("__r") - 1) * F.col("__chunks") / F.col("__m"))
     points = placed.filter((F.col("__r") > 0) & (number > before))
-    sets = points.groupBy(*keys).agg(F.array_sort(F.collect_set("__at")).alias("__all"), F.first("__chunks").alias("__chunks"))
-    run = F.ceil(F.sqrt(F.size("__all"))).cast("int")
-    runs = F.transform(F.sequence(F.lit(1), F.size("__all"), run), lambda i: F.slice("__all", i, run))
+    sets = points.groupBy(*keys).agg(F.array_sort(F.collect_set("__at")).alias("__points"), F.first("__chunks").alias("__chunks"))
+    run = F.ceil(F.sqrt(F.size("__points"))).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), F.size("__points"), run), lambda i: F.slice("__points", i, run))
     return sets.select(*keys, runs.alias("__cuts"), run.alias("__run"))
 
 
