@@ -1,5 +1,7 @@
 """Injection, repair, legality and completion: properties on the routes of the events table."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,36 @@ def test_completion_in_rounds_gives_the_same(spark, sf, monkeypatch):
     assert [read(run()) for run in runs] == folded and any(r[4] for f in folded for r in f)
 
 
+def test_equal_states_share_one_beam_search(spark, sf, monkeypatch):
+    """Prefixes moved along, and with an enabler beyond its window moved further away, are searched once; the rounds search each."""
+    lists, profile, _, prefixes = T.model_and_prefixes(spark, sf)
+    one = prefixes.filter("prefix_valid AND last_CLEAN_SURFACE IS NOT NULL").orderBy("user_id", "fraction").limit(1)
+    move, far = F.col("id") * 100, F.when(F.col("id") > 2, 50 + F.col("id")).otherwise(0)
+    places = {c: F.col(c) + move for c in decode.state_columns(fab.BY_CLASS) if c != "previous_level"}
+    moved = one.crossJoin(spark.range(6)).withColumns({**places, "user_id": F.col("id"), "cut": F.lit(7)})
+    moved = T.cut_lineage(moved.withColumn("step_index", F.col("step_index") + 200).withColumn("last_CLEAN_SURFACE", F.col("last_CLEAN_SURFACE") - far)
+                          .withColumn("last_EXPOSE", F.when(F.col("id") == 5, F.col("step_index") - 1)).drop("id"))
+    searched, fold = [], decode._beam_fold
+    monkeypatch.setattr(decode, "_beam_fold", lambda states, *args: searched.append(states.count()) or fold(states, *args))
+    keys = ["user_id", "family", "fraction"]
+    run = lambda: decode.beam_complete(moved, keys, lists, fab.BY_CLASS, profile, beam=3, branch=4, max_steps=10)
+    read = lambda df: sorted([*[r[c] for c in (*keys, *decode.state_columns(fab.BY_CLASS), "lag1", "lag2", "has_test", "completion", "cut_short")], round(r.logp, 9)] for r in df.collect())
+    shared = read(run())
+    assert searched == [2] and len(shared) == 6 and any(r[-3] for r in shared)
+    monkeypatch.setattr(decode, "MODEL_LISTS", 0)
+    assert read(run()) == shared
+
+
+def test_cycles_with_the_next_step(spark):
+    rng = random.Random(4)
+    rows = sorted({"".join(rng.choice("ab") for _ in range(7)) for _ in range(60)} | {"abcabca", "abcdabc", "aaaaaaa", "ab", ""})
+    df = spark.createDataFrame([(list(t), x) for t in rows for x in "abcd"], "recent array<string>, x string")
+    both = df.select(F.array_contains(A.cycle_ends(F.col("recent")), F.col("x")).alias("ends"), F.concat("recent", F.array("x")).alias("all"),
+                     A.is_cycling(F.concat("recent", F.array("x"))).alias("cycles")).collect()
+    want = lambda s: len(s) >= 8 and any(all(s[i] == s[i % p] for i in range(8)) for p in (1, 2, 3, 4))
+    assert all(r.ends == r.cycles == want(r["all"]) for r in both) and any(r.ends for r in both)
+
+
 def test_prefix_state_agrees_with_full_validation(spark, sf):
     """Legality from the state columns equals validating prefix plus candidate."""
     lists, profile, _, prefixes = T.model_and_prefixes(spark, sf, 40)

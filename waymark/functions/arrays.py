@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
+CYCLE = 8  # steps in which a repeated pattern is looked for
 FIRST_SYMBOL, MAX_SYMBOLS = 0x10000, 0x100000  # code points beyond the basic plane, where none is a surrogate
 
 
@@ -124,11 +127,21 @@ def edit_rate(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(edit_distance(a, b) / longest)
 
 
-def is_cycling(generated: Column, span: int = 8) -> Column:
+def cycle_ends(recent: Column) -> Column:
+    """The steps that behind the last CYCLE - 1 ones make is_cycling true; fewer ones have none."""
+    def periodic(p: int) -> Column:
+        return F.slice(recent, 1, CYCLE - 1 - p) == F.slice(recent, p + 1, CYCLE - 1 - p)
+    ends = F.filter(F.array(*[F.when(periodic(p), F.get(recent, F.lit(CYCLE - 1 - p))) for p in (1, 2, 3, 4)]), lambda x: x.isNotNull())
+    return F.when(F.size(recent) == CYCLE - 1, ends).otherwise(F.array().cast("array<string>"))
+
+
+def is_cycling(generated: Column, span: int = CYCLE) -> Column:
     """True if the last span elements repeat with period 1 to 4."""
     def repeats(last: Column) -> Column:
-        return F.exists(F.array(*[F.lit(p) for p in (1, 2, 3, 4)]), lambda p: F.forall(
-            F.transform(last, lambda x, i: x == F.get(last, i % p)), lambda ok: ok))
+        # a period of p: without its first p elements it is the same as without its last p
+        periods = [F.slice(last, 1, span - p) == F.slice(last, p + 1, span - p) for p in (1, 2, 3, 4) if p < span]
+        # as before, a missing element is equal to nothing
+        return reduce(or_, periods) & ~F.exists(last, lambda x: x.isNull())
     return F.when(F.size(generated) < span, F.lit(False)).otherwise(let(tail(generated, span), repeats))
 
 
