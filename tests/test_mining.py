@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.scorers import ranked, score_prefixes
 from waymark.operators import mining as M
 from waymark.operators.components import component_of, merge_groups
+from waymark.session import cut_lineage
 from waymark.operators.semantics import best_match
 from waymark.rulesets.fabrication import NOT_SYNONYMS, SPECIAL_TOKENS, SYNONYM_SEEDS
 
@@ -128,6 +129,21 @@ def test_components_of_large_groups(spark):
     assert got == want
 
 
+def shuffled(spark):
+    """Bytes written for shuffles by all stages so far."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_rounds_do_not_move_the_names_of_groups(spark):
+    """A chain that takes several rounds, in groups of long names: the names are shuffled to find the groups only."""
+    name = F.concat(*[F.sha2(F.concat(F.lit(f"{i} "), "id"), 512) for i in range(4)])
+    chain = cut_lineage(spark.range(3000).select(name.alias("group_id"), F.explode(F.array("id", F.col("id") + 1)).alias("member")))
+    held, before = chain.agg(F.sum(F.length("group_id"))).first()[0], shuffled(spark)
+    got = merge_groups(chain).agg(F.count("*"), F.max("component")).first()
+    assert tuple(got) == (3001, 0) and shuffled(spark) - before < 2 * held
+
+
 def test_best_match_against_all_pairs(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(14)]
