@@ -193,6 +193,28 @@ def test_state_goes_at_the_terminal_step_or_when_idle(spark, tmp_path):
         assert [r[1] for r in rows(found.filter("rule = 'RULE_SHIP_BEFORE_TEST'"), "ts", "step_index")] == places
 
 
+def test_keys_of_one_bucket_are_judged_by_themselves(spark, sf, tmp_path):
+    """All keys share the calls to the state store; a key that waits or is idle leaves the others as they are."""
+    stream = parts(spark, sf, tmp_path / "e", 3)
+    found, _ = run_monitor(stream, "bucket", inputs.JOURNEY_BOOK, "user_id", "ts", "event_id", cell="3 days", buckets=1)
+    want = rows(check(inputs.journeys(spark, sf, graded=True), inputs.JOURNEY_BOOK, ["user_id"], inputs.ORDER), *STREAMED)
+    assert rows(found, *STREAMED) == want and want
+    at = lambda key, minute, n: (key, f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00", n, "SHIP LOT")
+    stream = in_files(spark, tmp_path / "i", [[at(1, 0, 0), at(2, 0, 1), at(None, 0, 2)], [at(2, 15, 3), at(3, 50, 4)], [at(1, 70, 5), at(2, 72, 6), at(None, 75, 7)]])
+    found, late = run_monitor(stream, "idle", fab.EXACT, "user_id", "ts", "event_id", cell="7 minutes", delay="60 minutes", idle="20 minutes", buckets=1)
+    got = {(r.tie, r.step_index) for r in found.filter("rule = 'RULE_SHIP_BEFORE_TEST'").collect()}
+    # the second SHIP LOT of key 2, within its idle time, is not its first one
+    assert got == {(0, 0), (1, 0), (2, 0), (4, 0), (5, 0), (6, 0), (7, 0)} and late.count() == 0
+
+
+def test_delayed_files_in_parts(spark, sf, monkeypatch):
+    from waymark.plans import stream_queries
+    read = lambda: sorted(map(tuple, stream_queries.stream_late_steps(spark, sf).collect()))
+    whole = read()
+    monkeypatch.setattr(stream_queries, "PART_ROWS", 50)
+    assert read() == whole and whole
+
+
 def test_one_long_key_in_cells(spark, tmp_path):
     steps = [(1, f"2024-01-01 {n // 60 % 24:02d}:{n % 60:02d}:00", n, "purchase 0" if n % 7 == 0 else "click 0") for n in range(1200)]
     stream = in_files(spark, tmp_path / "e", [steps[::-1][:700], steps[:500]][::-1])

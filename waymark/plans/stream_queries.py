@@ -30,6 +30,9 @@ def stream_rule_monitor(spark, sf):
     return found.select("user_id", "rule", "step_index", "step")
 
 
+# Rows of a part of a delayed file, at least.
+PART_ROWS = 500_000
+
 # -- steps out of order ---------------------------------------------------------------------------
 
 # the file in which an event comes: eight days each, every tenth event one file later
@@ -39,12 +42,17 @@ late AS (SELECT * FROM filed WHERE ts < (SELECT date_trunc('milliseconds', max(n
 
 
 def delayed_files(spark, sf):
-    """The graded journeys in four files, one after the other, as a stream of one file at a time."""
+    """The graded journeys in four files, one after the other, as a stream of one file at a time.
+
+    Large files are written in parts, as many in each file, none of them empty.
+    """
     folder, rows = shared_folder(spark, "delayed"), journeys(spark, sf, graded=True)
     number = F.least(F.lit(3), F.floor(F.dayofmonth("ts") / 8) + (F.col("event_id") % 10 == 0).cast("int"))
+    counts = [r["n"] for r in rows.groupBy(number.alias("file")).agg(F.count(F.lit(1)).alias("n")).filter("file IN (0, 1, 2, 3)").collect()]
+    parts = max(1, min(counts) // PART_ROWS) if len(counts) == 4 else 1
     for file in range(4):
-        rows.filter(number == file).coalesce(1).write.mode("append").parquet(folder)
-    return read_event_stream(spark, folder, rows.schema, files_per_trigger=1)
+        rows.filter(number == file).repartition(parts).write.mode("append").parquet(folder)
+    return read_event_stream(spark, folder, rows.schema, files_per_trigger=parts)
 
 
 @query("stream_late_steps", f"""WITH {_LATE} SELECT user_id, event_id,

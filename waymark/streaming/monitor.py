@@ -4,7 +4,8 @@ Event classes and levels are columns, computed before the grouping. What is left
 for the keyed operator is a fold over small integers: the position, the latest
 position of each enabler and the last level. Its state does not grow with the
 length of a sequence; only rows still waiting for the watermark are kept, in the
-state store, by cells of time.
+state store, by cells of time. Keys are dealt by hash to buckets, which share the
+calls to the state store and the timers; each key is judged by itself.
 """
 
 from __future__ import annotations
@@ -24,22 +25,23 @@ from waymark.operators.rules import Fold, RuleBook
 from waymark.session import ensure_checkpoint_dir
 
 FOUND = "rule string, step_index long, step string, ts long, tie long, late boolean"
-FOLD = "position long, last array<long>, level int, newest long, timer long"
-WAITING = "ts array<long>, tie array<long>, step array<string>, mask array<int>, lvl array<int>"
+FOLD = "key array<string>, position array<long>, last array<array<long>>, level array<int>, newest array<long>, timer long"
+WAITING = "key array<string>, ts array<long>, tie array<long>, step array<string>, mask array<int>, lvl array<int>"
+BUCKETS = 1024
 # Event time of the row that closes a stream which has come to its end.
 FAR = "9000-01-01 00:00:00"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Monitor(StatefulProcessor):
-    """The rules of one key: a value for the fold, a map of cells of time for the steps that wait.
+    """The rules of a bucket of keys: a value for their folds, a map of cells of time for the steps that wait.
 
     A cell is read when the watermark has passed its end, so that all its steps are
-    there, and by itself, so that a key with any number of steps needs the memory of one cell.
+    there, and by itself, so that a bucket with any number of steps needs the memory of one cell.
     """
 
-    def __init__(self, book: RuleBook, key: str, cell: int, idle: int | None, terminal: str | None):
-        self.book, self.key, self.cell, self.idle = book, key, cell, idle
+    def __init__(self, book: RuleBook, cell: int, idle: int | None, terminal: str | None):
+        self.book, self.cell, self.idle = book, cell, idle
         self.end_bit = book.bits[terminal] if terminal else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,45 +57,48 @@ class _Monitor(StatefulProcessor):
                 self._wait(int(cell), part)
                 cells.append(int(cell))
             if old.any():
-                yield self._frame(key, [(None, None, r.step, r.ts, r.tie, True) for r in batch[old].itertuples()])
+                yield self._frame([(r.key, None, None, r.step, r.ts, r.tie, True) for r in batch[old].itertuples()])
         if cells:
-            *fold, timer = self._folded()
+            folds, timer = self._folded()
             first = self._end(min(cells))
             if timer < 0 or first < timer:
                 self.handle.registerTimer(first)
-                self.state.update((*fold, first))
+                self._keep(folds, first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         cells = sorted(k[0] for k in self.waiting.keys())
         due = [c for c in cells if self._end(c) <= now]
         none = (0, [-1] * len(self.rules.names), None)
-        position, last, level, newest, _ = self._folded()
+        folds, _ = self._folded()
         for cell in due:
             out = []
-            for ts, tie, step, mask, new_level in sorted(zip(*self.waiting.getValue((cell,))), key=lambda r: r[:2]):
+            for own, ts, tie, step, mask, new_level in sorted(zip(*self.waiting.getValue((cell,))), key=lambda r: r[1:3]):
+                position, last, level, newest = folds.get(own, (*none, -1))
                 if self.idle is not None and newest >= 0 and ts - newest > self.idle:
                     position, last, level = none
-                out += [(rule, position, step, ts, tie, False) for rule in self.rules.broken(position, last, level, mask, new_level)]
+                out += [(own, rule, position, step, ts, tie, False) for rule in self.rules.broken(position, last, level, mask, new_level)]
                 last = [position if mask & bit else at for at, bit in zip(last, self.rules.bits)]
                 level = level if new_level is None else new_level
-                position, newest = position + 1, ts
-                if mask & self.end_bit:
-                    position, last, level = none
+                folds[own] = (*none, ts) if mask & self.end_bit else (position + 1, last, level, ts)
             self.waiting.removeKey((cell,))
             if out:
-                yield self._frame(key, out)
-        # one timer at a time: the end of the next cell, then the time at which the key has been idle
-        if len(due) < len(cells):
-            timer = self._end(cells[len(due)])
-        elif position == 0 or self.idle is None or (newest + self.idle) // 1000 < now:
+                yield self._frame(out)
+        # steps to come are not older than the watermark, nor those that wait than their cell; a key idle by then begins anew
+        left = cells[len(due):]
+        coming = min(now * 1000, left[0] * self.cell) if left else now * 1000
+        folds = {own: f for own, f in folds.items() if f[0] and (self.idle is None or f[3] + self.idle >= coming)}
+        # one timer at a time: the end of the next cell, then the time at which a key has been idle
+        if left:
+            timer = self._end(left[0])
+        elif self.idle is None or not folds:
             timer = -1
         else:
-            timer = (newest + self.idle) // 1000 + 1
-        if timer < 0 and (position == 0 or self.idle is not None):
+            timer = (min(f[3] for f in folds.values()) + self.idle) // 1000 + 1
+        if timer < 0 and not folds:
             self.state.clear()
             return
-        self.state.update((position, last, level, newest, timer))
+        self._keep(folds, timer)
         if timer >= 0:
             self.handle.registerTimer(timer)
 
@@ -103,28 +108,32 @@ class _Monitor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _folded(self) -> tuple:
+    def _folded(self) -> tuple[dict, int]:
+        """(position, latest enablers, last level, newest step) by key, and the timer."""
         if not self.state.exists():
-            return 0, [-1] * len(self.rules.names), None, -1, -1
-        position, last, level, newest, timer = self.state.get()
-        return int(position), [int(x) for x in last], None if level is None else int(level), int(newest), int(timer)
+            return {}, -1
+        keys, positions, lasts, levels, newest, timer = self.state.get()
+        return {k: (p, list(last), level, at) for k, p, last, level, at in zip(keys, positions, lasts, levels, newest)}, int(timer)
+
+    def _keep(self, folds: dict, timer: int) -> None:
+        columns = [list(c) for c in zip(*folds.values())] or [[], [], [], []]
+        self.state.update((list(folds), *columns, timer))
 
     def _wait(self, cell: int, part: pd.DataFrame) -> None:
         levels = [None if pd.isna(v) else int(v) for v in part["lvl"]]
-        new = [part["ts"].tolist(), part["tie"].tolist(), part["step"].tolist(), part["mask"].tolist(), levels]
+        new = [part["key"].tolist(), part["ts"].tolist(), part["tie"].tolist(), part["step"].tolist(), part["mask"].tolist(), levels]
         if self.waiting.containsKey((cell,)):
             new = [[*held, *more] for held, more in zip(self.waiting.getValue((cell,)), new)]
         self.waiting.updateValue((cell,), tuple(new))
 
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["rule", "step_index", "step", "ts", "tie", "late"])
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["key", "rule", "step_index", "step", "ts", "tie", "late"])
         frame["step_index"] = frame["step_index"].astype("Int64")
-        frame.insert(0, self.key, key[0])
         return frame
 
 
 def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, step: str = "step", mask=None, delay: str = "0 seconds",
-            cell: str = "1 hour", idle: str | None = None, terminal: str | None = None) -> DataFrame:
+            cell: str = "1 hour", idle: str | None = None, terminal: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """key, rule, step_index, step, ts, tie, late: violations as the steps arrive, and the steps that came too late.
 
     Steps of a key wait until the watermark, ``delay`` behind the newest step of the
@@ -133,16 +142,19 @@ def monitor(stream: DataFrame, book: RuleBook, key: str, ts: str, tie: str, *, s
     A key's sequence begins anew after the event ``terminal``, and after a gap of more than
     ``idle`` in event time; its state goes when the watermark has passed either. Rules give
     the same violations as the batch check on the rows that aren't late. Rows at or after FAR only move the watermark.
+    Keys must be the same after a cast to string and back; a task holds the steps of one cell and the folds of one of ``buckets`` at a time.
     """
     kind = stream.schema[key].dataType.simpleString()
     at = F.timestamp_micros(micros(F.col(ts), stream.schema[ts].dataType))
-    marked = stream.select(F.col(key).alias("key"), at.alias("at"), F.col(tie).cast("long").alias("tie"), F.col(step).alias("step"),
+    marked = stream.select(F.col(key).cast("string").alias("key"), at.alias("at"), F.col(tie).cast("long").alias("tie"), F.col(step).alias("step"),
                            (book.mask(F.col(step)) if mask is None else mask).cast("int").alias("mask"), book.level_of(F.col(step)).alias("lvl"))
     # late rows have to reach the processor, so the column with the watermark is left out
     timed = marked.withWatermark("at", delay).filter(F.col("at") < F.lit(FAR).cast("timestamp")).withColumn("ts", F.unix_micros("at")).drop("at")
     micro = lambda span: int(pd.Timedelta(span).total_seconds() * 1_000_000)
-    processor = _Monitor(book, key, micro(cell), micro(idle) if idle else None, terminal)
-    return timed.groupBy("key").transformWithStateInPandas(processor, f"`{key}` {kind}, {FOUND}", "Append", "EventTime")
+    processor = _Monitor(book, micro(cell), micro(idle) if idle else None, terminal)
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    found = dealt.groupBy("bucket").transformWithStateInPandas(processor, f"key string, {FOUND}", "Append", "EventTime")
+    return found.select(F.col("key").cast(kind).alias(key), *[c for c in found.columns if c != "key"])
 
 
 def run_monitor(stream: DataFrame, name: str, *args, **options) -> tuple[DataFrame, DataFrame]:
