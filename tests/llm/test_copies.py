@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm import brute
@@ -88,6 +89,35 @@ def test_repeats(spark, monkeypatch, length):
     assert sum(w[2] for w in want) > 1000 and repeats.without_repeats(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_repeats_copies_and_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = variants(4, 8, 6) + ["short", "", "y" * 49, "z" * 50]
+    rows = [(rng.randrange(-50, 400), t, None) for t in texts * 9] + [(7, texts[0], None), (7, texts[0], None), ((1 << 63) - 1, texts[1], None), (-(1 << 63), texts[1], None)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(repeats, "HELD", 4000)
+    got = sorted((a, b, c, d, bytes(e)) for a, b, c, d, e in repeats.without_repeats(spark.createDataFrame(rows, DOC).repartition(7)).collect())
+    assert got == sorted(brute.without_repeats([r[:2] for r in rows], 50))
+
+
+def test_repeats_shuffle_little():
+    """What one chunk sends for a text that repeats and its copies, against the bytes of the texts."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(3000)) for _ in range(10)]
+    docs = pd.DataFrame({"doc_id": range(1000, 1080), "text": texts * 8})
+    size = lambda rows: sum(len(x) for c in rows.columns for x in rows[c] if isinstance(x, bytes))
+    dealt = pd.concat(repeats._dealt(1)(iter([docs])))
+    assert size(dealt) < 0.6 * sum(map(len, texts)) and len(dealt) == 1
+    held, ids, least = repeats._documents(dealt)
+    assert sorted(held) == sorted(t.encode() for t in texts) and sorted(np.concatenate(ids)) == list(range(1000, 1080)) and least.tolist() == list(range(1000, 1010))
+    hashes = repeats._sent_hashes(1, 50)(dealt)
+    n = len(repeats._chunk_anchors(held, 50).value)
+    assert size(hashes) < 3.5 * n
+    everything = pd.DataFrame({"bucket": [0], "shared": [np.packbits(np.ones(n, bool)).tobytes()]})
+    sent = repeats._sent_texts(1, 50)(dealt, everything)
+    assert size(sent) < 48 * n  # a place, an id, a text's number, two sizes and some 62 bytes
+    assert len(repeats._removed(50)(sent)) == 0
+
+
 def test_previous_factors():
     rng = random.Random(8)
     texts = ["".join(rng.choices("ab", k=rng.randint(0, 40))).encode() for _ in range(30)]

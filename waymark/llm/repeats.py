@@ -5,18 +5,22 @@ document of a smaller id. Equal strings have the same anchor, the leftmost small
 hash among their substrings of `GRAM` bytes, so only strings around equal anchors need
 to be compared:
 
-1. each chunk of documents sends the hashes of its anchors, once each, to buckets;
-   a bucket answers every chunk with those that two documents have;
-2. each chunk sends the text around those anchors (each different text once, from its
+1. each task deals its texts to chunks by their hash, each different text once with
+   the ids of its copies; the copies of a text beyond its smallest id are told there
+   and cost no more than their ids;
+2. each chunk sends the hashes of its anchors, once each, to buckets; a bucket answers
+   every chunk with a bit for each, set for those that two texts have;
+3. each chunk sends the text around those anchors (each different text once, from its
    smallest document; further copies in the chunk are removed at once);
-3. a bucket sorts the suffixes of its texts and finds, for each, the previous and the
+4. a bucket sorts the suffixes of its texts and finds, for each, the previous and the
    next smaller document in suffix order; where the common prefix with one of them has
    `length` bytes, the longest previous factor is long enough and the string goes;
-4. each chunk takes the removed strings together and cuts its documents.
+5. each chunk takes the removed strings together and cuts its documents.
 
-Chunks and buckets hold a bounded number of bytes; a string in any number of documents
-costs a bucket one text for each chunk. Texts are shuffled once, the exchange is used
-three times.
+Chunks hold a bounded number of bytes, buckets a bounded number of chunks' shares,
+which they sort in parts; a string in any number of documents costs a bucket one text
+for each chunk. Texts are shuffled once, the exchange is used three times. Everything
+that is shuffled is packed: texts compressed, numbers as differences, byte by byte.
 
 Null text is empty; texts shorter than `length` stay whole; a null id is not smaller
 or larger than any other, so such rows stay whole; rows of one id never remove each
@@ -26,20 +30,49 @@ other. Empty tables give empty results, other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from waymark.llm.shingles import mixed
 from waymark.llm.tables import partitions_for
 
-LENGTH, GRAM, BATCH = 50, 24, 1 << 19
+LENGTH, GRAM, BATCH, HELD = 50, 24, 1 << 19, 32 << 20
+# A bucket takes the shares of so many chunks, and sorts them in as many parts.
+PARTS = 4
+# Bits of an anchor's hash that are sent; equal ones of different anchors only send text in vain.
+LOW = np.uint64(30)
 PLACE = np.uint64((1 << 24) - 1)
 MANY = 0x9E3779B97F4A7C15
-PACKED = "bucket int, p int, local boolean, keys binary, ids binary, lows binary, sizes binary, data binary"
+DEALT = "p int, texts binary, ids binary, data binary"
+SENT = "bucket int, p int, local boolean, numbers binary, data binary"
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers in columns of one length, as compressed planes of their bytes; small ones take few bytes."""
+    numbers = np.ascontiguousarray(np.stack(columns).astype("<i8", copy=False))
+    planes = numbers.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return len(numbers[0]).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], columns * n * 8, "zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(columns, n)
+
+
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """Differences, whose running sum gives the numbers again, whatever wraps around."""
+    return np.diff(rising, prepend=np.zeros(1, rising.dtype))
+
+
+def _pieces(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    whole, ends = pa.decompress(data, int(sizes.sum()), "zstd", asbytes=True), np.cumsum(sizes)
+    return [whole[e - s:e] for e, s in zip(ends.tolist(), sizes.tolist())]
 
 
 def _powers(k: int) -> np.uint64:
@@ -110,26 +143,71 @@ def _runs(texts: list[bytes], most: int = BATCH) -> Iterator[tuple[int, list[byt
         yield start, texts[start:]
 
 
-def _chunk_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, Anchors]]:
+def _chunk_anchors(texts: list[bytes], length: int) -> Anchors:
+    """The anchors of all texts of a chunk, in their order."""
+    parts = [anchors([], length)]
     for start, run in _runs(texts):
-        if len(run) == 1 and len(run[0]) > 8 * BATCH:
-            # A very long text in pieces that overlap by a string less one byte.
-            for at in range(0, len(run[0]) - length + 1, 8 * BATCH):
-                found = anchors([run[0][at:at + 8 * BATCH + length - 1]], length)
-                found.low += at
-                yield start, found
-        else:
-            yield start, anchors(run, length)
+        # A very long text in pieces that overlap by a string less one byte.
+        pieces = range(0, len(run[0]) - length + 1, 8 * BATCH) if len(run) == 1 and len(run[0]) > 8 * BATCH else None
+        for at in pieces or [0]:
+            found = anchors([run[0][at:at + 8 * BATCH + length - 1]] if pieces else run, length)
+            found.text += start
+            found.low += at
+            parts.append(found)
+    return Anchors(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Anchors)))
 
 
 def _texts(rows: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
 
 
+def _dealt(chunks: int):
+    """A task's different texts by chunk, each with the ids of its copies."""
+    def packed(held: dict[bytes, list[int]]) -> pd.DataFrame:
+        texts, out = list(held), []
+        for p, mine in _cut(np.array([xxhash.xxh3_64_intdigest(t) % chunks for t in texts], np.int64), chunks):
+            own = [texts[i] for i in mine.tolist()]
+            ids = [held[t] for t in own]
+            out.append((p, _packed(np.array([len(t) for t in own]), np.array([len(i) for i in ids])), _packed(np.concatenate(ids)), pa.compress(b"".join(own), "zstd", asbytes=True)))
+        return pd.DataFrame(out, columns=["p", "texts", "ids", "data"])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = {}, 0
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].tolist(), _texts(batch)):
+                ids = held.setdefault(text, [])
+                size += 40 if ids else len(text) + 200
+                ids.append(doc_id)
+                if size > HELD:
+                    yield packed(held)
+                    held, size = {}, 0
+        if held:
+            yield packed(held)
+    return rows
+
+
+def _documents(chunk: pd.DataFrame) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """A chunk's different texts, the ids of each and the least of them; by least id and text, so in any order of the rows."""
+    held: dict[bytes, list[np.ndarray]] = {}
+    for shape, ids, data in zip(chunk["texts"], chunk["ids"], chunk["data"]):
+        sizes, copies = _unpacked(shape, 2)
+        for text, own in zip(_pieces(data, sizes), np.split(_unpacked(ids, 1)[0], np.cumsum(copies)[:-1])):
+            held.setdefault(text, []).append(own)
+    own = {text: np.concatenate(ids) for text, ids in held.items()}
+    least = {text: int(ids.min()) for text, ids in own.items()}
+    texts = sorted(own, key=lambda t: (least[t], t))
+    return texts, [own[t] for t in texts], np.array([least[t] for t in texts], np.int64)
+
+
 def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _codes(value: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket and the bits that are sent of each hash."""
+    return (_bucket(value, buckets).astype(np.uint64) << LOW) | (value & ((np.uint64(1) << LOW) - np.uint64(1)))
+
+
 def _cut(order_key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(order_key, kind="stable")
     cuts = np.searchsorted(order_key[order], np.arange(buckets + 1))
@@ -138,78 +216,75 @@ def _cut(order_key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
             yield b, order[cuts[b]:cuts[b + 1]]
 
 
+def _lists(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the list of each bucket begins among sorted codes."""
+    return np.searchsorted(codes, np.arange(buckets + 1, dtype=np.uint64) << LOW)
+
+
 def _sent_hashes(buckets: int, length: int):
-    """A chunk's anchor hashes by bucket; `twice` tells those that two of its documents have."""
+    """A chunk's anchor hashes by bucket; `twice` tells those that two of its texts have."""
     def rows(chunk: pd.DataFrame) -> pd.DataFrame:
-        values, owners = [], []
-        for start, found in _chunk_anchors(_texts(chunk), length):
-            values.append(found.value)
-            owners.append(found.text + start)
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        order = np.lexsort((owner, value))
-        value, owner = value[order], owner[order]
-        distinct, begin = np.unique(value, return_index=True)
-        end = np.append(begin[1:], len(value)) - 1
-        twice = owner[begin] != owner[np.maximum(end, 0)] if len(value) else np.zeros(0, bool)
-        out = []
-        for b, mine in _cut(_bucket(distinct, buckets), buckets):
-            low = (distinct[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            by_value = np.argsort(low)
-            out.append((b, int(chunk["p"].iloc[0]), low[by_value].tobytes(), np.packbits(twice[mine][by_value]).tobytes()))
+        found = _chunk_anchors(_documents(chunk)[0], length)
+        code = _codes(found.value, buckets)
+        order = np.lexsort((found.text, code))
+        owner = found.text[order]
+        distinct, begin, count = np.unique(code[order], return_index=True, return_counts=True)
+        twice = owner[begin] != owner[begin + count - 1]
+        cuts, out = _lists(distinct, buckets), []
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            mine = slice(cuts[b], cuts[b + 1])
+            out.append((b, int(chunk["p"].iloc[0]), _packed(_steps(distinct[mine] - (np.uint64(b) << LOW))), np.packbits(twice[mine]).tobytes()))
         return pd.DataFrame(out, columns=["bucket", "p", "values", "twice"])
     return rows
 
 
 def _answered(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk the hashes of a bucket that two documents have, wherever they are."""
-    values = [np.frombuffer(v, np.uint32) for v in rows["values"]]
+    """For each chunk which hashes of its list two texts have, wherever they are."""
+    values = [np.cumsum(_unpacked(v, 1)[0]) for v in rows["values"]]
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(v)).astype(bool) for t, v in zip(rows["twice"], values)])
-    everything = np.concatenate(values)
-    distinct, index, count = np.unique(everything, return_inverse=True, return_counts=True)
+    _, index, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     shared = count > 1
     shared[index[twice]] = True
     keep, out, at = shared[index], [], 0
     for p, v in zip(rows["p"], values):
-        mine = v[keep[at:at + len(v)]]
+        mine = keep[at:at + len(v)]
         at += len(v)
-        if len(mine):
-            out.append((int(rows["bucket"].iloc[0]), int(p), mine.tobytes()))
-    return pd.DataFrame(out, columns=["bucket", "p", "values"])
+        if mine.any():
+            out.append((int(rows["bucket"].iloc[0]), int(p), np.packbits(mine).tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "p", "shared"])
 
 
 def _sent_texts(buckets: int, length: int):
     """The text around each shared anchor of a chunk, by bucket; later copies within the chunk as removed places."""
-    def rows(chunk: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c.split()[0]: [] for c in PACKED.split(", ")})
-        if not len(chunk) or not len(shared):
+    def rows(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c.split()[0]: [] for c in SENT.split(", ")})
+        if not len(chunk) or not len(answers):
             return empty
-        chunk = chunk.sort_values("doc_id", ignore_index=True)
-        texts, keys, ids = _texts(chunk), chunk["key"].to_numpy(np.int64), chunk["doc_id"].to_numpy(np.int64)
-        known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(v, np.uint32).astype(np.uint64) for b, v in zip(shared["bucket"], shared["values"])]))
-        seen: dict[int, int] = {}
-        sent, local = ([], [], [], [], []), []  # bucket, text, place, size and the text around each anchor
-        for start, found in _chunk_anchors(texts, length):
-            bucket = _bucket(found.value, buckets)
-            code = (bucket.astype(np.uint64) << np.uint64(32)) | (found.value & np.uint64(0xFFFFFFFF))
-            place = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            for i in np.flatnonzero(known[place] == code).tolist():
-                t = int(found.text[i]) + start
-                low, size = int(found.low[i]), int(found.size[i])
-                around = texts[t][low:low + size]
-                name = xxhash.xxh3_64_intdigest(around)
-                if seen.setdefault(name, int(ids[t])) == ids[t]:
-                    for column, value in zip(sent, (int(bucket[i]), t, low, size, around)):
-                        column.append(value)
-                else:
-                    local.append((t, low, size))
+        texts, _, ids = _documents(chunk)
+        found = _chunk_anchors(texts, length)
+        distinct, index = np.unique(_codes(found.value, buckets), return_inverse=True)
+        cuts, shared = _lists(distinct, buckets), np.zeros(len(distinct), bool)
+        for b, bits in zip(answers["bucket"], answers["shared"]):
+            shared[cuts[b]:cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b])
+        seen: dict[bytes, int] = {}
+        anchor, around, local = [], [], []  # the anchors that are sent, the text around each, and those that are not
+        asked = np.flatnonzero(shared[index])
+        for i, t, low, size, doc_id in zip(*(x.tolist() for x in (asked, found.text[asked], found.low[asked], found.size[asked], ids[found.text[asked]]))):
+            string = texts[t][low:low + size]
+            if seen.setdefault(string, doc_id) == doc_id:
+                anchor.append(i)
+                around.append(string)
+            else:
+                local.append(i)
         p, out = int(chunk["p"].iloc[0]), []
         if local:
-            t, low, size = (np.array(x, np.int64) for x in zip(*local))
-            out.append((int(mixed(np.array([p], np.uint64))[0] % np.uint64(buckets)), p, True, keys[t].tobytes(), b"", low.tobytes(), size.tobytes(), b""))
-        if sent[0]:
-            t, low, size = (np.array(x, np.int64) for x in sent[1:4])
-            for b, mine in _cut(np.array(sent[0]), buckets):
-                out.append((b, p, False, keys[t[mine]].tobytes(), ids[t[mine]].tobytes(), low[mine].tobytes(), size[mine].tobytes(), b"".join(map(sent[4].__getitem__, mine.tolist()))))
+            out.append((int(mixed(np.array([p], np.uint64))[0] % np.uint64(buckets)), p, True, _packed(_steps(found.text[local]), found.low[local], found.size[local]), b""))
+        anchor = np.array(anchor, np.int64)
+        value, text = found.value[anchor], found.text[anchor]
+        part = ((value >> np.uint64(32)) // np.uint64(buckets) % np.uint64(PARTS)).astype(np.int64)
+        for b, mine in _cut(_bucket(value, buckets), buckets):
+            numbers = _packed(_steps(text[mine]), _steps(ids[text[mine]]), found.low[anchor[mine]], found.size[anchor[mine]], part[mine])
+            out.append((b, p, False, numbers, pa.compress(b"".join(map(around.__getitem__, mine.tolist())), "zstd", asbytes=True)))
         return pd.DataFrame(out, columns=empty.columns) if out else empty
     return rows
 
@@ -251,64 +326,86 @@ def previous_factors(texts: list[bytes], rank: np.ndarray, length: int) -> tuple
     return text[found], place[found]
 
 
+def _spans(whole: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, size) of the removed runs of texts that come from documents with these ids."""
+    number: dict[bytes, int] = {}
+    kind = np.array([number.setdefault(t, len(number)) for t in whole], np.int64)
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, ids)
+    later = ids > least[kind]
+    _, rank = np.unique(least, return_inverse=True)
+    text, place = previous_factors(list(number), rank, length)
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    head = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)) if len(text) else np.zeros(0, bool)
+    tail = np.append(head[1:], True) if len(text) else head
+    span_text, span_low, span_size = text[head], place[head], place[tail] - place[head] + length
+    first, count = np.searchsorted(span_text, np.arange(len(number))), np.bincount(span_text, minlength=len(number))
+    kept = np.flatnonzero(~later & (count[kind] > 0))
+    each = np.repeat(kept, count[kind[kept]])
+    span = np.arange(len(each)) - np.repeat(np.cumsum(count[kind[kept]]) - count[kind[kept]], count[kind[kept]]) + first[kind[each]]
+    gone = np.flatnonzero(later)
+    sizes = np.array([len(t) for t in whole], np.int64)
+    return np.concatenate([gone, each]), np.concatenate([np.zeros(len(gone), np.int64), span_low[span]]), np.concatenate([sizes[gone], span_size[span]])
+
+
 def _removed(length: int):
     """The removed places by chunk, from all texts of a bucket."""
     def rows(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in batch[batch["local"]].itertuples():
-            out.append((row.p, row.keys, row.lows, row.sizes))
-        sent = batch[~batch["local"]]
-        if len(sent):
-            keys, ids, lows, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in sent[c]]) for c in ("keys", "ids", "lows", "sizes"))
-            p = np.repeat(sent["p"].to_numpy(), [len(x) // 8 for x in sent["keys"]])
-            data, ends = b"".join(sent["data"]), np.cumsum(sizes)
-            whole = [data[e - s:e] for e, s in zip(ends.tolist(), sizes.tolist())]
-            number: dict[bytes, int] = {}
-            kind = np.array([number.setdefault(t, len(number)) for t in whole])
-            least = np.full(len(number), np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, ids)
-            later = ids > least[kind]
-            _, rank = np.unique(least, return_inverse=True)
-            text, place = previous_factors(list(number), rank, length)
-            order = np.lexsort((place, text))
-            text, place = text[order], place[order]
-            head = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)) if len(text) else np.zeros(0, bool)
-            tail = np.append(head[1:], True) if len(text) else head
-            span_text, span_low, span_size = text[head], place[head], place[tail] - place[head] + length
-            first, count = np.searchsorted(span_text, np.arange(len(number))), np.bincount(span_text, minlength=len(number))
-            kept = np.flatnonzero(~later & (count[kind] > 0))
-            each = np.repeat(kept, count[kind[kept]])
-            span = np.arange(len(each)) - np.repeat(np.cumsum(count[kind[kept]]) - count[kind[kept]], count[kind[kept]]) + first[kind[each]]
-            who = np.concatenate([np.flatnonzero(later), each])
-            low = np.concatenate([lows[later], lows[each] + span_low[span]])
-            size = np.concatenate([sizes[later], span_size[span]])
-            for chunk in np.unique(p[who]):
-                mine = p[who] == chunk
-                out.append((int(chunk), keys[who[mine]].tobytes(), low[mine].tobytes(), size[mine].tobytes()))
-        return pd.DataFrame(out, columns=["p", "keys", "lows", "sizes"])
+        local = batch[batch["local"]]
+        out = list(zip(local["p"].tolist(), local["numbers"]))
+        sent, taken = batch[~batch["local"]], [np.zeros((4, 0), np.int64)]
+        columns = [_unpacked(x, 5) for x in sent["numbers"]]
+        strings = [_pieces(x, size) for x, (_, _, _, size, _) in zip(sent["data"], columns)]
+        for part in range(PARTS):
+            whole, rest = [], [np.zeros((4, 0), np.int64)]  # chunk, text, id and place
+            for p, (text, ids, low, _, parts), own in zip(sent["p"], columns, strings):
+                mine = np.flatnonzero(parts == part)
+                whole += map(own.__getitem__, mine.tolist())
+                rest.append(np.stack([np.full(len(mine), p), np.cumsum(text)[mine], np.cumsum(ids)[mine], low[mine]]))
+            p, text, ids, low = np.concatenate(rest, axis=1)
+            if whole:
+                who, place, size = _spans(whole, ids, length)
+                taken.append(np.stack([p[who], text[who], low[who] + place, size]))
+        p, text, low, size = np.concatenate(taken, axis=1)
+        order = np.lexsort((low, text, p))
+        chunks, begin = np.unique(p[order], return_index=True)
+        for chunk, mine in zip(chunks.tolist(), np.split(order, begin[1:])):
+            out.append((chunk, _packed(_steps(text[mine]), low[mine], size[mine])))
+        return pd.DataFrame(out, columns=["p", "numbers"])
     return rows
 
 
-def _cut_texts(chunk: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
-    spans: dict[int, list[tuple[int, int]]] = {}
-    if len(removed):
-        keys, lows, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in removed[c]]) for c in ("keys", "lows", "sizes"))
-        order = np.lexsort((lows, keys))
-        for key, low, size in zip(keys[order].tolist(), lows[order].tolist(), sizes[order].tolist()):
-            own = spans.setdefault(key, [])
-            if own and low <= own[-1][1]:
-                own[-1] = (own[-1][0], max(own[-1][1], low + size))
-            else:
-                own.append((low, low + size))
-    out = []
-    for doc_id, key, text in zip(chunk["doc_id"].tolist(), chunk["key"].tolist(), _texts(chunk)):
-        own, at, kept = spans.get(key, []), 0, []
-        for low, high in own:
-            kept.append(text[at:low])
-            at = high
-        kept.append(text[at:])
-        out.append((doc_id, len(text), sum(b - a for a, b in own), len(own), b"".join(kept)))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _cut_texts(length: int):
+    """Every document of a chunk without its removed places; later copies of a text have none of it left."""
+    def rows(chunk: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
+        spans: dict[int, list[tuple[int, int]]] = {}
+        if len(removed):
+            text, low, size = np.concatenate([np.concatenate([np.cumsum(n[:1], axis=1), n[1:]]) for n in (_unpacked(x, 3) for x in removed["numbers"])], axis=1)
+            order = np.lexsort((low, text))
+            for t, begin, size in zip(text[order].tolist(), low[order].tolist(), size[order].tolist()):
+                own = spans.setdefault(t, [])
+                if own and begin <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(own[-1][1], begin + size))
+                else:
+                    own.append((begin, begin + size))
+        out: list[list] = [[], [], [], []]
+        doc_ids = [np.zeros(0, np.int64)]
+        for t, (text, ids, least) in enumerate(zip(*_documents(chunk))) if len(chunk) else []:
+            own, at, kept = spans.get(t, []), 0, []
+            for low, high in own:
+                kept.append(text[at:low])
+                at = high
+            kept.append(text[at:])
+            first, later = (len(text), sum(b - a for a, b in own), len(own), b"".join(kept)), (len(text), len(text), 1, b"")
+            if len(text) < length:
+                later = first
+            doc_ids.append(np.sort(ids))
+            firsts = int((ids == least).sum())
+            for column, a, b in zip(out, first, later):
+                column += [a] * firsts + [b] * (len(ids) - firsts)
+        return pd.DataFrame(dict(zip(["doc_id", "n_bytes", "n_removed", "n_spans", "kept"], [np.concatenate(doc_ids), *out])))
+    return rows
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,14 +413,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     chunks = partitions_for(spark, 4 * docs.rdd.getNumPartitions(), 1)
-    key = F.xxhash64("doc_id", "text")
-    dealt = rows.filter("doc_id IS NOT NULL").withColumn("key", key).withColumn("p", F.pmod("key", F.lit(chunks)).cast("int")).repartition(chunks, "p")
+    buckets = partitions_for(spark, chunks, PARTS)
+    dealt = rows.filter("doc_id IS NOT NULL").mapInPandas(_dealt(chunks), DEALT).repartition(chunks, "p")
     by_chunk = dealt.groupBy("p")
-    hashes = by_chunk.applyInPandas(_sent_hashes(chunks, length), "bucket int, p int, values binary, twice binary")
-    shared = hashes.groupBy("bucket").applyInPandas(_answered, "bucket int, p int, values binary")
-    texts = by_chunk.cogroup(shared.groupBy("p")).applyInPandas(_sent_texts(chunks, length), PACKED)
-    removed = texts.groupBy("bucket").applyInPandas(_removed(length), "p int, keys binary, lows binary, sizes binary")
-    result = by_chunk.cogroup(removed.groupBy("p")).applyInPandas(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    hashes = by_chunk.applyInPandas(_sent_hashes(buckets, length), "bucket int, p int, values binary, twice binary")
+    shared = hashes.groupBy("bucket").applyInPandas(_answered, "bucket int, p int, shared binary")
+    texts = by_chunk.cogroup(shared.groupBy("p")).applyInPandas(_sent_texts(buckets, length), SENT)
+    removed = texts.groupBy("bucket").applyInPandas(_removed(length), "p int, numbers binary")
+    result = by_chunk.cogroup(removed.groupBy("p")).applyInPandas(_cut_texts(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     whole = rows.filter("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                                                  F.col("text").cast("binary").alias("kept"))
     return result.unionByName(whole)
