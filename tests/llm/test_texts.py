@@ -334,6 +334,16 @@ def test_leaks_with_directions_of_a_sample(spark):
     assert whole == sampled and want <= {r[:2] for r in sampled}
 
 
+def test_directions_are_fitted_on_all_documents(spark):
+    base = [" ".join(f"b{n}x{k}" for k in range(20)) for n in range(20)]
+    single = [f"only{n} some{n} word{n} of{n} its{n} own{n}" for n in range(30)]
+    rows = [(i, base[i % 20]) for i in range(14_000)] + [(20_000 + i, t) for i, t in enumerate(single)]
+    numbered = [(i, decontamination.word_numbers(t).tobytes()) for i, t in rows]
+    latent = decontamination.fit(spark.createDataFrame(numbered, "doc_id int, words binary").repartition(4))
+    place = latent.coordinates(decontamination.passages([decontamination.word_numbers(t) for t in base + single]))
+    assert (np.abs(np.linalg.norm(place, axis=1) - 1) < 1e-3).all() and (np.abs(place @ place.T - np.eye(50)) < 0.5).all()
+
+
 def test_clean_judges_each_row(spark):
     rng = random.Random(23)
     prose = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
