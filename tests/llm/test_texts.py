@@ -358,6 +358,14 @@ def test_clean_judges_each_row(spark):
 
 # -- pipeline --------------------------------------------------------------------------------
 
+def test_pipeline_fits_directions_on_all_documents(spark, sf, monkeypatch):
+    fitted, fit = [], decontamination.fit
+    monkeypatch.setattr(decontamination, "fit", lambda words, **options: fitted.append((words.count(), options.get("fit_docs"))) or fit(words, **options))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, sf)
+    assert fitted == [(docs.count(), None)]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
